@@ -23,6 +23,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tetraflow.llm._shared import stage
+
 #: The explicit rules: verdict, host, path. A rule fits the host and its subdomains.
 RULES: tuple[tuple[str, str, str], ...] = (
     ("block", "com", "/en/"),
@@ -65,7 +67,7 @@ def _raw_segments(path: Column, depth: int) -> Column:
     return F.transform(parts, lambda s: F.when(s.rlike(_VARIABLE), "*").otherwise(s))
 
 
-def template_tree(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
+def template_tree(urls: DataFrame) -> DataFrame:
     """(host, raw, template, n, bad, labelled) for each raw template of ``urls`` (host, raw, bad).
 
     ``raw`` is an array of segments, ``bad`` 1, 0 or null. Children of a parent
@@ -73,8 +75,8 @@ def template_tree(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
     has RARE_SHARE of its urls at most.
     """
     tree = urls.groupBy("host", "raw").agg(F.count("*").alias("n"), F.sum(F.coalesce("bad", F.lit(0))).alias("bad"), F.count("bad").alias("labelled"))
-    tree = tree.withColumn("template", F.lit(""))
-    for level in range(depth + 1):
+    tree = stage(tree.withColumn("template", F.lit("")), "url-tree")
+    for level in range(tree.agg(F.max(F.size("raw"))).first()[0] or 0):
         segment = F.get("raw", F.lit(level))
         child = tree.where(segment.isNotNull()).groupBy("host", "template", segment.alias("segment")).agg(F.sum("n").alias("n"))
         stats = child.groupBy("host", "template").agg(F.count("*").alias("children"), F.max("n").alias("most"), F.sum("n").alias("all"))
@@ -82,6 +84,7 @@ def template_tree(urls: DataFrame, depth: int = DEPTH) -> DataFrame:
         tree = tree.join(loose, ["host", "template"], "left")
         named = F.when(F.col("loose"), "*").otherwise(segment)
         tree = tree.withColumn("template", F.when(segment.isNotNull(), F.concat("template", F.lit("/"), named)).otherwise(F.col("template"))).drop("loose")
+        tree = stage(tree, "url-tree")  # each level reads the one before twice
     return tree
 
 
