@@ -70,11 +70,11 @@ class Node:
         return None
 
     def visible(self) -> bool:
-        if self.tag in _HIDDEN:
+        if self.tag in _HIDDEN or self.tag == "dialog" and self.get("open") is None:
             return False
         if not self.attributes:
             return True
-        if self.get("hidden") is not None or self.tag == "dialog" and self.get("open") is None:
+        if self.get("hidden") is not None:
             return False
         style = self.get("style")
         return not (style and _INVISIBLE.search(style))
@@ -141,7 +141,7 @@ def build(html: str) -> Node:
             close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(html, at)
             body = html[at : close.start() if close else size]
             if name in ("textarea", "xmp"):
-                node.children.append(unescape(body) if name == "textarea" else body)
+                node.children.append(unescape(body.removeprefix("\n")) if name == "textarea" else body)
             at = html.find(">", close.end()) + 1 if close else size
             at = at or size
             continue

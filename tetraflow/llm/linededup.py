@@ -36,9 +36,8 @@ def line_windows(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """(row, doc_id, i, fp, win, lines): every window, its fingerprint and the numbers of its lines."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("row"), _numbered(_lines(F.col("text"))).alias("s"))
     rows = rows.where(F.size("s") >= min_run)
-    window = F.slice(F.col("s"), F.col("i") + 1, min_run)
-    each = rows.select("row", "doc_id", "s", F.explode(F.sequence(F.lit(0), F.size("s") - min_run)).alias("i"))
-    each = each.select("row", "doc_id", "i", window.alias("w"))
+    windows = F.transform(F.sequence(F.lit(0), F.size("s") - min_run), lambda i: F.struct(i.alias("i"), F.slice(F.col("s"), i + 1, min_run).alias("w")))
+    each = rows.select("row", "doc_id", F.explode(windows).alias("e")).select("row", "doc_id", "e.i", "e.w")
     return each.select(
         "row", "doc_id", "i",
         F.array_min(F.transform("w", lambda x: x["h"])).alias("fp"),

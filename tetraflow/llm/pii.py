@@ -27,7 +27,7 @@ Span = tuple[int, int]
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")  # the pattern, without its retries within a run of digits
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
@@ -127,16 +127,18 @@ class Rewriting:
         self.edits: list[tuple[int, int, int, int]] = []  # here from, here to, source from, source to
 
     def _source(self, at: int, right: bool) -> int:
-        """The source offset of a boundary in the current text."""
-        i = bisect_right(self.edits, at, key=lambda e: e[0]) - 1
+        """The source offset of a boundary in the current text; what was deleted there lies outside."""
+        if right:
+            i = bisect_left(self.edits, at, key=lambda e: e[0])
+            if i < len(self.edits) and self.edits[i][0] == at:
+                return self.edits[i][2]
+            i -= 1
+        else:
+            i = bisect_right(self.edits, at, key=lambda e: e[0]) - 1
         if i < 0:
             return at
-        a, b, c, d = self.edits[i]
-        if at == a == b:
-            return c if right else d
-        if at >= b:
-            return d + at - b
-        return d if right and at > a else c
+        _, b, c, d = self.edits[i]
+        return d + at - b if at >= b else d if right else c
 
     def source_span(self, start: int, end: int) -> Span:
         return self._source(start, False), self._source(end, True)
@@ -147,14 +149,17 @@ class Rewriting:
         return (i < len(self.edits) and self.edits[i][0] < end) or (i > 0 and self.edits[i - 1][1] > start)
 
     def apply(self, changes: list[tuple[int, int, str]]) -> None:
-        """Replace disjoint, ordered intervals of the current text."""
+        """Replace disjoint, ordered intervals of the current text by one character or none each.
+
+        Longer replacements could be cut by a later interval, which the map does not know.
+        """
         if not changes:
             return
         old, starts = self.edits, [e[0] for e in self.edits]
         merged: list[tuple[int, int, int, int]] = []
         pieces, done, shift, k = [], 0, 0, 0
         for start, end, new in changes:
-            while k < len(old) and old[k][1] <= start and not (old[k][0] == old[k][1] == start and start < end):
+            while k < len(old) and old[k][1] <= start:
                 a, b, c, d = old[k]
                 merged.append((a + shift, b + shift, c, d))
                 k += 1

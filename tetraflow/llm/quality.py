@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tetraflow.llm._shared import slices
 
@@ -133,7 +134,7 @@ def keep_good(docs: DataFrame, version: str = CURRENT) -> DataFrame:
             measured = pa.StructArray.from_arrays(made, list(_MEASURES))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], measured], [*columns, "__m"])
 
-    schema = docs.schema.add("__m", "struct<" + ", ".join(f"{x}: bigint" for x in _MEASURES) + ">")
+    schema = T.StructType([*docs.schema.fields, T.StructField("__m", T.StructType([T.StructField(x, T.LongType()) for x in _MEASURES]))])
     measured = docs.select("*", F.col("text").alias("__m")).mapInArrow(run, schema)
     fails = F.lit(False)
     for name, rule in RULES.items():
