@@ -57,18 +57,25 @@ class Encoder:
         self.by_word = kind["model"]["type"] == "BPE" and kind["normalizer"] is None and first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space")
         self.words = regex.compile(public_tokenizers.PATTERN).findall
         self.letters, self.tokenize, self.size = _byte_letters(), self.whole.model.tokenize, self.type.itemsize
+        self.packed = [i.to_bytes(self.size, "little") for i in range(self.whole.get_vocab_size())]
         self.after_space, self.at_start = _Cache(self, " "), _Cache(self, "")
         self.line_break = self.fresh("\n") if self.by_word else b""
 
     def fresh(self, text: str) -> bytes:
         """The ids of a text as little-endian integers, by the library's model, word by word."""
+        word = text[1:] if text[0] == " " else text
+        if word.isalpha():
+            return self._word(text)
+        if word[:-1].isalpha() and word[-1] in ".,":
+            return (self.after_space if len(word) < len(text) else self.at_start)[word[:-1]] + self.at_start[word[-1]]
         words = self.words(text)
         if len(words) > 1:
             return b"".join([self.after_space[w[1:]] if w[0] == " " else self.at_start[w] for w in words])
-        if not words:
-            return b""
-        letters, size = words[0].encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters), self.size
-        return b"".join([t.id.to_bytes(size, "little") for t in self.tokenize(letters)])
+        return self._word(text)
+
+    def _word(self, word: str) -> bytes:
+        letters, packed = word.encode("utf-8", "surrogatepass").decode("latin-1").translate(self.letters), self.packed
+        return b"".join([packed[t.id] for t in self.tokenize(letters)])
 
     def encode(self, text: str | None) -> np.ndarray:
         """The ids of a text; none for null and empty ones."""

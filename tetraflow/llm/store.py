@@ -44,31 +44,50 @@ TASK_DIGESTS = 1_000_000
 _GEAR = np.random.Generator(np.random.PCG64(77)).integers(0, 2**32, 65536, dtype=np.uint32)
 
 
-def cut(ids: np.ndarray) -> list[int]:
-    """Ends of the chunks: after ids where the rolling hash of ROLL ids is a multiple of MEAN, LEAST to MOST ids apart."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n] if n else []
-    gear = _GEAR[ids & 0xFFFF] + (ids.astype(np.uint32) >> np.uint32(16)) * np.uint32(2654435761)
+def marks(ids: np.ndarray) -> np.ndarray:
+    """Where a chunk may end: after ids at which the hash of the last ROLL ids is a multiple of MEAN."""
+    gear = _GEAR[ids & 0xFFFF]
+    if ids.itemsize > 2:
+        gear = gear + (ids.astype(np.uint32) >> np.uint32(16)) * np.uint32(2654435761)
     roll, width = gear, 1
-    while width < ROLL:  # hash of 2w ids from two of w: doubling, the older half shifted
+    while width < ROLL:  # the hash of 2w ids from two of w: the older half shifted
         grown = roll.copy()
         grown[width:] += roll[:-width] * np.uint32(pow(0x9E3779B1, width, 2**32))
         roll, width = grown, 2 * width
-    marks = np.flatnonzero((roll >> np.uint32(8)) % np.uint32(MEAN) == 0).tolist()
-    ends, last = [], 0
-    for mark in marks:
-        at = mark + 1
-        while at - last > MOST:
+    return np.flatnonzero(((roll >> np.uint32(8)) & np.uint32(MEAN - 1)) == 0) + 1
+
+
+def cuts(ids: np.ndarray, bounds: list[int]) -> list[list[int]]:
+    """For each document between two bounds the ends of its chunks, LEAST to MOST ids apart but for the last.
+
+    Documents lie side by side: a hash reaches into the one before only within
+    its first ROLL ids, where no chunk may end.
+    """
+    at, out = marks(ids).tolist(), []
+    k = 0
+    for start, stop in zip(bounds, bounds[1:]):
+        ends, last = [], start
+        while k < len(at) and at[k] < stop:
+            mark = at[k]
+            k += 1
+            while mark - last > MOST:
+                last += MOST
+                ends.append(last)
+            if mark - last >= LEAST:
+                ends.append(mark)
+                last = mark
+        while stop - last > MOST:
             last += MOST
             ends.append(last)
-        if at - last >= LEAST and at < n:
-            ends.append(at)
-            last = at
-    while n - last > MOST:
-        last += MOST
-        ends.append(last)
-    return [*ends, n]
+        while k < len(at) and at[k] <= stop:
+            k += 1
+        out.append([*ends, stop] if stop > start else [])
+    return out
+
+
+def cut(ids: np.ndarray) -> list[int]:
+    """The ends of one document's chunks."""
+    return cuts(ids, [0, len(ids)])[0]
 
 
 def digest(payload: bytes) -> bytes:
@@ -96,23 +115,30 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = END_ID, path: str | No
 
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, row = encoder(vocabulary), TaskContext.get().partitionId() << 40
+        end = np.array([end_id], dtype=coder.type)
         written: set[bytes] = set()
         for batch in slices(batches, 256):
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.append(coder.encode(text), coder.type.type(end_id))
-                at = 0
-                for seq, end in enumerate(cut(ids)):
-                    payload = ids[at:end].tobytes()
+            encoded = [coder.encode(x) for x in batch.column(1).to_pylist()]
+            bounds = np.cumsum([0, *(len(x) + 1 for x in encoded)]).tolist()
+            ids = np.concatenate([y for x in encoded for y in (x, end)] or [end])
+            flat, size, columns = ids.tobytes(), ids.itemsize, ([], [], [], [], [], [])
+            for doc_id, at, ends in zip(batch.column(0).to_pylist(), bounds, cuts(ids, bounds)):
+                n = len(ends)
+                for stop in ends:
+                    payload = flat[at * size : stop * size]
                     name = digest(payload)
                     known = name in written
                     if not known and len(written) < TASK_DIGESTS:
                         written.add(name)
-                    rows.append((doc_id, row, seq, name, end - at, None if known else payload))
-                    at = end
+                    columns[3].append(name)
+                    columns[4].append(stop - at)
+                    columns[5].append(None if known else payload)
+                    at = stop
+                for values, more in zip(columns, ([doc_id] * n, [row] * n, range(n))):
+                    values.extend(more)
                 row += 1
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names)
+            if columns[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], names)
 
     names = ["doc_id", "row", "seq", "digest", "n_ids", "ids"]
     types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
@@ -186,19 +212,20 @@ def _apply(tables: np.ndarray, crc: np.ndarray) -> np.ndarray:
 _ADVANCE: list[np.ndarray] = []
 
 
-def join_crcs(crcs: np.ndarray, sizes: np.ndarray) -> int:
-    """The CRC-32 of a concatenation from the CRCs and sizes in bytes of its parts."""
+def join_crcs(crcs: np.ndarray, sizes: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """The CRC-32 of each concatenation from the CRCs and sizes in bytes of its parts; firsts: where each begins."""
     if not _ADVANCE:
         _ADVANCE.extend(_advance_tables(48))
-    after = np.concatenate((np.cumsum(sizes[::-1])[::-1][1:], [0]))
+    ends = np.cumsum(sizes)
+    stop = np.append(firsts[1:], len(sizes)) - 1
+    after = np.repeat(ends[stop], stop - firsts + 1) - ends
     crcs = crcs.astype(np.uint32)
     for k, tables in enumerate(_ADVANCE):
-        on = (after >> k & 1).astype(bool)
-        if on.any():
-            crcs[on] = _apply(tables, crcs[on])
-        elif not (after >> k).any():
+        if not (after >> k).any():
             break
-    return int(np.bitwise_xor.reduce(crcs))
+        on = np.flatnonzero(after >> k & 1)
+        crcs[on] = _apply(tables, crcs[on])
+    return np.bitwise_xor.reduceat(crcs, firsts)
 
 
 def verify(spark: SparkSession, path: str) -> DataFrame:
@@ -222,16 +249,22 @@ def verify(spark: SparkSession, path: str) -> DataFrame:
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 4096):
-            totals, crcs = [], []
-            for parts, root, n_tokens in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
-                if any(p["n"] is None for p in parts) or merkle([p["digest"] for p in parts]) != root:
-                    raise ValueError("a recipe does not match the store")
-                n = np.array([p["n"] for p in parts], dtype=np.int64)
-                if int(n.sum()) != n_tokens:
-                    raise ValueError("a recipe's length does not match its chunks")
-                totals.append(int(n.sum()))
-                crcs.append(parts[0]["crc"] if len(parts) == 1 else join_crcs(np.array([p["crc"] for p in parts], dtype=np.int64), 4 * n))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(totals, pa.int64()), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+            if not batch.num_rows:
+                continue
+            parts = batch.column(2)
+            firsts, flat = np.array(parts.offsets.to_pylist(), dtype=np.int64), parts.values
+            flat = flat.slice(firsts[0], firsts[-1] - firsts[0])
+            bounds = (firsts - firsts[0]).tolist()
+            if flat.field("n").null_count:
+                raise ValueError("a recipe names a chunk that the store does not have")
+            names, n = flat.field("digest").to_pylist(), flat.field("n").to_numpy(zero_copy_only=False)
+            if any(merkle(names[a:b]) != root for a, b, root in zip(bounds, bounds[1:], batch.column(3).to_pylist())):
+                raise ValueError("a recipe does not match its Merkle root")
+            totals = np.add.reduceat(n, bounds[:-1])
+            if totals.tolist() != batch.column(4).to_pylist():
+                raise ValueError("a recipe's length does not match its chunks")
+            crcs = join_crcs(flat.field("crc").to_numpy(zero_copy_only=False), 4 * n, np.array(bounds[:-1]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(totals, pa.int64()), pa.array(crcs.astype(np.int64))], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     chunks = spark.read.parquet(f"{path}/chunks").select("digest", "ids").mapInArrow(check, "digest binary, n long, crc long")
     recipes = spark.read.parquet(f"{path}/recipes")
