@@ -89,4 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SimHash, packing, the token store, disguised personal data, the template tree and layout have none: tests hold them against brute force."""
+    from tetraflow.llm.oracles import ORACLES
+
+    return dict(ORACLES)
