@@ -168,7 +168,7 @@ def interface_tables(sections: DataFrame) -> DataFrame:
         rows = _select(sections, items, "row", {"lid": "long", "gid": "long", "k": "long"})
         met = rows.withColumn("k", F.col("k") + 1).join(head, ["part", "k"])
         one = met.select(F.lit(kind).alias("kind"), F.col("part").alias("part_in"), "part_out", (F.col("row") - 1).alias("pos"), "lid", "gid")
-        out = one if out is None else out.unionAll(one.join(out.select("part_in").distinct(), "part_in", "left_anti"))
+        out = one if out is None else out.unionByName(one.join(out.select("part_in").distinct(), "part_in", "left_anti"))
     return out
 
 
