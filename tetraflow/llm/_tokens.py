@@ -11,13 +11,12 @@ tests compare them.
 
 from __future__ import annotations
 
-import json
 import os
 import re
 
 import numpy as np
 
-CACHE_WORDS = 900_000
+CACHE_WORDS = 600_000
 _TWO_BLANKS = re.compile(r"\s\s")
 
 
@@ -31,12 +30,18 @@ def _byte_letters() -> dict[int, str]:
 class _Cache(dict):
     def __init__(self, encoder: Encoder, before: str) -> None:
         self.encoder, self.before = encoder, before
+        self.letters = "".join(encoder.letters[b] for b in before.encode())
 
     def __missing__(self, piece: str) -> bytes:
         if len(self) >= CACHE_WORDS:
             for old in list(self)[CACHE_WORDS // 4 :]:
                 del self[old]
-        ids = self[piece] = self.encoder.fresh(self.before + piece)
+        known = self.encoder
+        if piece.isascii() and piece.isalpha():
+            ids = b"".join([known.packed[t.id] for t in known.tokenize(self.letters + piece)])
+        else:
+            ids = known.fresh(self.before + piece)
+        self[piece] = ids
         return ids
 
 
@@ -48,13 +53,14 @@ class Encoder:
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer
+        from tokenizers.models import BPE
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.whole = Tokenizer.from_file(path)
         self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
         self.type = np.dtype("<u2" if self.whole.get_vocab_size() <= 65536 else "<u4")
-        kind = json.loads(self.whole.to_str())
-        first = kind["pre_tokenizer"] or {}
-        self.by_word = kind["model"]["type"] == "BPE" and kind["normalizer"] is None and first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space")
+        first = self.whole.pre_tokenizer
+        self.by_word = isinstance(self.whole.model, BPE) and self.whole.normalizer is None and isinstance(first, ByteLevel) and first.use_regex and not first.add_prefix_space
         self.words = regex.compile(public_tokenizers.PATTERN).findall
         self.letters, self.tokenize, self.size = _byte_letters(), self.whole.model.tokenize, self.type.itemsize
         self.packed = [i.to_bytes(self.size, "little") for i in range(self.whole.get_vocab_size())]

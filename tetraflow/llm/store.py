@@ -3,11 +3,12 @@
 Writing. Each document's ids, with the end id, are cut into chunks where a
 rolling hash of the last ids hits a mark, so equal passages become equal
 chunks wherever they stand. A chunk is named by its BLAKE2b digest. Texts are
-tokenised once, into a staging table of (document, chunk, payload); from it
-come ``chunks`` (each digest once, whoever holds it) and ``recipes`` (one row
-per document in ascending doc_id order: where it starts and its chunks'
-digests, with the root of a Merkle tree over them). ``manifest`` has a Merkle
-root per recipe file and the root over all of them.
+tokenised once; one exchange by digest brings equal chunks together, and
+``chunks`` keeps the payload of each once. Its other rows, narrow and without
+a payload, say where the chunk stands; from those alone ``recipes`` is made:
+one row per document in ascending doc_id order, where it starts, its chunks'
+digests and the root of a Merkle tree over them. ``manifest`` has a digest of
+the roots of each recipe file.
 
 Reading. Every chunk file is read once and each chunk is held against its
 name; chunk lengths and CRCs meet the recipes as narrow rows, and a document's
@@ -30,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -140,16 +142,26 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = END_ID, path: str | No
             if columns[0]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types)], names)
 
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Keep the payload of each digest's first row; a digest's rows are all in one exchange partition."""
+        met: set[bytes] = set()
+        for batch in batches:
+            keep = []
+            for name, there in zip(batch.column(3).to_pylist(), batch.column(5).is_valid().to_pylist()):
+                keep.append(there and name not in met)
+                if there:
+                    met.add(name)
+            ids = pc.if_else(pa.array(keep, pa.bool_()), batch.column(5), pa.scalar(None, batch.schema.field(5).type))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], ids], names)
+
     names = ["doc_id", "row", "seq", "digest", "n_ids", "ids"]
     types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.binary()]
     schema = "doc_id long, row long, seq int, digest binary, n_ids int, ids binary"
-    staged = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tokenise, schema)
-    staged.write.option("compression", "zstd").parquet(f"{path}/staging")
-    staged = spark.read.schema(schema).parquet(f"{path}/staging")
-
-    width = 2 if _width(vocabulary) == 2 else 4
-    unique = staged.where("ids is not null").groupBy("digest").agg(F.first("ids").alias("ids"))
-    unique.write.option("compression", "zstd").parquet(f"{path}/chunks")
+    cut_up = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(tokenise, schema)
+    refs = F.when(F.col("ids").isNull(), F.col("row")).otherwise(0)  # references need not meet their payload, so a hot digest spreads
+    cut_up.repartition("digest", refs).mapInArrow(once, schema).write.option("compression", "zstd").parquet(f"{path}/chunks")
+    staged = spark.read.schema(schema).parquet(f"{path}/chunks").drop("ids")
+    width = _width(vocabulary)
 
     parts = staged.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "digest"))).alias("c"), F.sum("n_ids").alias("n_tokens"))
     ordered = parts.select("doc_id", "row", "n_tokens", F.col("c.digest").alias("digests"))
@@ -173,7 +185,6 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = END_ID, path: str | No
     files = recipes.groupBy("file").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_docs"), F.sha2(F.concat_ws("", F.transform(roots, F.hex)), 256).alias("root"))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per recipe file
     files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).withColumn("id_bytes", F.lit(width)).coalesce(1).write.parquet(f"{path}/manifest")
-    _drop(spark, f"{path}/staging")
     return path
 
 
@@ -181,11 +192,6 @@ def _width(vocabulary: str) -> int:
     return encoder(vocabulary).size
 
 
-def _drop(spark: SparkSession, path: str) -> None:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
 def _times_x(crc: np.ndarray, bits: int) -> np.ndarray:
     """The CRC-32 register advanced by ``bits`` zero bits, for small counts."""
     for _ in range(bits):
@@ -266,7 +272,7 @@ def verify(spark: SparkSession, path: str) -> DataFrame:
             crcs = join_crcs(flat.field("crc").to_numpy(zero_copy_only=False), 4 * n, np.array(bounds[:-1]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(totals, pa.int64()), pa.array(crcs.astype(np.int64))], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    chunks = spark.read.parquet(f"{path}/chunks").select("digest", "ids").mapInArrow(check, "digest binary, n long, crc long")
+    chunks = spark.read.parquet(f"{path}/chunks").where("ids is not null").select("digest", "ids").mapInArrow(check, "digest binary, n long, crc long")
     recipes = spark.read.parquet(f"{path}/recipes")
     starts = F.broadcast(spark.read.parquet(f"{path}/manifest").select("file", F.col("start").alias("file_start")))  # one row per file
     each = recipes.select("row", F.posexplode("digests").alias("seq", "digest"))
@@ -279,7 +285,7 @@ def reconstruct(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids) with each document's ids, in bytes as stored, put together again."""
     recipes = spark.read.parquet(f"{path}/recipes")
     starts = F.broadcast(spark.read.parquet(f"{path}/manifest").select("file", F.col("start").alias("file_start")))
-    each = recipes.select("row", F.posexplode("digests").alias("seq", "digest")).join(spark.read.parquet(f"{path}/chunks"), "digest")
+    each = recipes.select("row", F.posexplode("digests").alias("seq", "digest")).join(spark.read.parquet(f"{path}/chunks").where("ids is not null").select("digest", "ids"), "digest")
     whole = each.groupBy("row").agg(F.array_sort(F.collect_list(F.struct("seq", "ids"))).alias("c"))
     ids = F.unhex(F.concat_ws("", F.transform("c.ids", F.hex)))
     return recipes.join(starts, "file").join(whole, "row").select("doc_id", (F.col("start_in_file") + F.col("file_start")).alias("start"), "n_tokens", ids.alias("ids"))
