@@ -62,4 +62,48 @@ f AS (SELECT *, CAST((CASE WHEN n_words < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed, failed_bits = 0 AS kept, n_lines, n_upper_words, n_letterless_words, failed_bits FROM f
 """
 
-ORACLES = {"op2_substring": OP2, "op4_linededup": OP4, "op8_decontamination": OP8, "op9_quality": OP9}
+_RAW_VARIABLE = r"^([0-9]+|[0-9a-f]{8,}|[0-9]{4}-[0-9]{2}(-[0-9]{2})?)(\.[A-Za-z0-9]{1,5})?$"
+_RAW_MIXED = r"^[A-Za-z0-9_~-]{16,}(\.[A-Za-z0-9]{1,5})?$"
+
+
+def _levels(n: int) -> str:
+    """One level of the template tree after the other; a parent with 24 children or more, none over a twentieth, has them all generalised."""
+    out = ", t0 AS (SELECT host, raw, n, bad, labelled, '' AS template FROM tree)"
+    for i in range(n):
+        out += f"""
+, c{i} AS (SELECT host, template, raw[{i + 1}] AS seg, sum(n) AS n FROM t{i} WHERE len(raw) > {i} GROUP BY host, template, raw[{i + 1}]),
+o{i} AS (SELECT host, template FROM c{i} GROUP BY host, template HAVING count(*) >= 24 AND max(n) <= 0.05 * sum(n)),
+t{i + 1} AS (SELECT t.host, raw, n, bad, labelled, CASE WHEN len(raw) > {i} THEN t.template || '/' || CASE WHEN o.host IS NOT NULL THEN '*' ELSE raw[{i + 1}] END ELSE t.template END AS template
+  FROM t{i} t LEFT JOIN o{i} o ON o.host = t.host AND o.template = t.template)"""
+    return out
+
+
+_DEEPEST = 6
+OP7 = (
+    rf"""
+WITH u AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, translate(regexp_extract(coalesce(rest, ''), '^([^/?#]*)', 1), {_A_Z}) AS host, regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r AS (SELECT *, CASE WHEN (host = 'example.com' OR host LIKE '%.example.com') AND starts_with(path, '/en/7') THEN 'example.com/en/7'
+  WHEN (host = 'example.net' OR host LIKE '%.example.net') AND starts_with(path, '/de/8') THEN 'example.net/de/8'
+  WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/en/') THEN 'com/en/' WHEN (host = 'net' OR host LIKE '%.net') AND starts_with(path, '/de/') THEN 'net/de/'
+  WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/es/') THEN 'org/es/' END AS rule FROM h),
+v AS (SELECT *, CASE WHEN rule IN ('example.com/en/7', 'net/de/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS by_rule,
+  list_filter(string_split(path, '/'), lambda s: s <> '') AS segs FROM r),
+s AS (SELECT *, list_transform(CASE WHEN len(segs) > 5 THEN list_append(list_slice(segs, 1, 5), '**') ELSE segs END, lambda s: CASE WHEN regexp_matches(s, '{_RAW_VARIABLE}') OR (regexp_matches(s, '{_RAW_MIXED}') AND regexp_matches(s, '[0-9]')) THEN '*' ELSE s END) AS raw FROM v),
+tree AS (SELECT host, raw, count(*) AS n, count(*) FILTER (WHERE by_rule = 'block') AS bad, count(by_rule) AS labelled FROM s GROUP BY host, raw)
+"""
+    + _levels(_DEEPEST)
+    + rf"""
+, leaf AS (SELECT host, template, sum(bad) AS bad, sum(labelled) AS labelled, regexp_extract(template, '^(.*)/[^/]*$', 1) AS parent FROM t{_DEEPEST} GROUP BY host, template),
+lag_ AS (SELECT *, lag(bad) OVER w AS bad0, lag(labelled) OVER w AS lab0 FROM leaf WHERE labelled > 0 WINDOW w AS (PARTITION BY host, parent ORDER BY bad / labelled, template)),
+apart AS (SELECT *, CASE WHEN bad0 IS NULL OR abs(bad / labelled - bad0 / lab0) > 1.0 * sqrt((bad + bad0 + 1) / (labelled + lab0 + 2) * (1 - (bad + bad0 + 1) / (labelled + lab0 + 2)) * (1 / labelled + 1 / lab0)) THEN 1 ELSE 0 END AS cut FROM lag_),
+br AS (SELECT *, sum(cut) OVER (PARTITION BY host, parent ORDER BY bad / labelled, template) AS branch FROM apart),
+pool AS (SELECT host, template, sum(bad) OVER p AS b, sum(labelled) OVER p AS m FROM br WINDOW p AS (PARTITION BY host, parent, branch)),
+pure AS (SELECT host, template, (b + 1.0) / (m + 4.0) AS q, m + 4.0 AS t FROM pool),
+rej AS (SELECT host, template FROM pure WHERE q - sqrt(q * (1 - q) / t) >= 0.8),
+hit AS (SELECT x.host, x.raw, x.template FROM t{_DEEPEST} x JOIN rej USING (host, template))
+SELECT page_id, s.host, path, rule, coalesce(by_rule, CASE WHEN hit.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, hit.template FROM s LEFT JOIN hit ON hit.host = s.host AND hit.raw = s.raw
+"""
+)
+
+ORACLES = {"op2_substring": OP2, "op4_linededup": OP4, "op7_url_filter": OP7, "op8_decontamination": OP8, "op9_quality": OP9}
