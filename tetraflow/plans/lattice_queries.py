@@ -653,6 +653,124 @@ def medit_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.join(t, "part").select("part", "n_vertices", "n_tetra", "sum_x")
 
 
+_CUT_FACES = ", cutf AS (SELECT DISTINCT f.f0, f.f1, f.f2 FROM fac f JOIN fac g ON f.f0 = g.f0 AND f.f1 = g.f1 AND f.f2 = g.f2 WHERE f.part <> g.part)"
+
+
+@_query("parallel_edges", "SELECT DISTINCT unnest([f0, f0, f1]) AS a, unnest([f1, f2, f2]) AS b FROM cutf", _CUT_FACES)
+def parallel_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topology.parallel_edges(topology.interface_faces(lattice(spark, sf_dir)[1]))
+
+
+@_query("nonmanifold_edges", ", op AS (SELECT * FROM se WHERE fid % 5 <> 0) SELECT a, b, count(*) AS n FROM op GROUP BY a, b HAVING count(*) <> 2", _SKIN)
+def nonmanifold_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges of the skin with holes in it."""
+    return topology.nonmanifold_edges(_skin(spark, sf_dir)[0].where("fid % 5 <> 0"))
+
+
+@_query("edge_tags", f", bt AS (SELECT DISTINCT unnest([f0, f0, f1]) AS a, unnest([f1, f2, f2]) AS b FROM cutf) SELECT e.a, e.b, CASE WHEN e.a % 3 = 0 THEN {S.GEO} ELSE 0 END + CASE WHEN bt.a IS NULL THEN 0 ELSE {S.PARBDY} END AS tag FROM (SELECT DISTINCT a, b FROM edg) e LEFT JOIN bt ON bt.a = e.a AND bt.b = e.b", _CUT_FACES)
+def edge_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, tetra, _ = lattice(spark, sf_dir)
+    edges = topology.unique_edges(tetra).select("a", "b", F.when(F.col("a") % 3 == 0, S.GEO).otherwise(0).alias("tag"))
+    tagged = topology.parallel_edges(topology.interface_faces(tetra)).select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(S.PARBDY).alias("tag"))
+    return topology.edge_tags(edges, tagged)
+
+
+@_query("vertex_tags_from_edges", f"SELECT vid, {S.REF} AS tag FROM (SELECT unnest([a, b]) AS vid, tag FROM ft WHERE tag & {S.REF} <> 0) u GROUP BY vid", _SKIN)
+def vertex_tags_from_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tags.vertices_from_edges(surface.edge_features(_skin(spark, sf_dir)[0]))
+
+
+@_query("boundary_between_refs", f"SELECT f0, f1, f2, CASE WHEN n = 2 AND ta.ref <> tb.ref AND ta.part <> tb.part THEN {S.PARBDY | S.PARBDYBDY | S.BDY} WHEN n = 2 AND ta.part <> tb.part THEN {S.PARBDY | S.BDY} ELSE {S.BDY} END AS tag FROM adj a JOIN tet ta ON ta.tid = a.ta JOIN tet tb ON tb.tid = a.tb WHERE n = 1 OR ta.ref <> tb.ref OR ta.part <> tb.part")
+def boundary_between_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tags.boundary_between_refs(topology.face_adjacency(lattice(spark, sf_dir)[1]))
+
+
+@_query("stable_labels", "SELECT vid AS gid, max(part) AS owner, vid AS label FROM bv GROUP BY vid HAVING count(*) > 1")
+def stable_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return numbering.stable_labels(topology.interface_nodes(lattice(spark, sf_dir)[1], "block"))
+
+
+@_query("location_statistics", "SELECT count(*) AS n, count(*) AS n_inside, CAST(0 AS BIGINT) AS n_nearest FROM loc", _ASKED)
+def location_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vertices, tetra, m = lattice(spark, sf_dir)
+    return stats.candidate_counts(locate.locate(_asked(spark, sf_dir, m), tetra, vertices)).select("n", "n_inside", "n_nearest")
+
+
+@_query("surface_distance", """
+, out AS (SELECT pid, x, y, z, m FROM pts WHERE x >= m - 1.4 AND x > 0 AND y BETWEEN 1 AND m - 2 AND z BETWEEN 1 AND m - 2) SELECT pid, round(m - 1 - x, 6) AS distance FROM out""", _ASKED)
+def surface_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points near one wall of the cube and far from the others: the distance is along x."""
+    vertices, tetra, m = lattice(spark, sf_dir)
+    faces = topology.boundary_faces(tetra)
+    triangles = faces.select((F.col("tid") * 4 + F.col("ifac")).alias("fid"), F.col("n0").alias("v0"), F.col("n1").alias("v1"), F.col("n2").alias("v2"))
+    inner = F.col("y").between(1, m - 2) & F.col("z").between(1, m - 2)
+    points = _asked(spark, sf_dir, m).where((F.col("x") >= m - 1.4) & inner)
+    return locate.locate_on_surface(points, triangles, vertices, 0.41).select("pid", F.round("distance", 6).alias("distance"))
+
+
+@_query("cut_size", "SELECT count(*) AS n_inner, count(*) FILTER (WHERE ta.part <> tb.part) AS n_cut FROM adj a JOIN tet ta ON ta.tid = a.ta JOIN tet tb ON tb.tid = a.tb WHERE n = 2")
+def cut_size(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return partition.cut_size(lattice(spark, sf_dir)[1])
+
+
+@_query("repair_empty", ", big AS (SELECT part FROM tet GROUP BY part ORDER BY count(*) DESC, part LIMIT 1), k AS (SELECT tid, row_number() OVER (ORDER BY tid) AS r FROM tet WHERE part = (SELECT part FROM big)) SELECT t.tid, CAST(CASE WHEN r = 1 THEN 4 WHEN r = 2 THEN 5 ELSE t.part END AS INTEGER) AS part FROM tet t LEFT JOIN k USING (tid)")
+def repair_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Six parts of which two are empty: each gets an element of the largest."""
+    return partition.repair_empty(lattice(spark, sf_dir)[1].select("tid", "part"), 6)
+
+
+@_query("reachable_pieces", ", st AS (SELECT tid, CAST((i // 3) % 2 AS INTEGER) AS part, i // 3 AS slab, min(tid) OVER (PARTITION BY i // 3) AS comp FROM tet) SELECT part, comp, 1 - part AS part_out FROM st WHERE (SELECT count(DISTINCT slab) FROM st) > 1 GROUP BY part, comp")
+def reachable_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stripes in two parts: every piece touches the other part."""
+    striped = _striped(spark, sf_dir)
+    return components.reachable(components.part_components(striped), topology.interface_faces(striped))
+
+
+@_query("ls_carried_field", "SELECT a, b, 200000.0::DOUBLE AS val FROM crs", _LS)
+def ls_carried_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The field whose level is cut, carried to the cut points: it is the level there."""
+    vertices, tetra, _ = lattice(spark, sf_dir)
+    _, points = levelset.discretise(tetra, vertices, vertices.select("vid", F.col("val").alias("v")), LS_VALUE)
+    fresh = points.where("a is not null").select("vid", "a", "b", "s")
+    got = levelset.carried(fresh, vertices.select("vid", F.array("val").alias("val")))
+    return fresh.join(got, "vid").select("a", "b", F.round(F.get("val", F.lit(0)), 0).alias("val"))
+
+
+@_query("ls_materials", """
+, ed AS (SELECT DISTINCT e.a, e.b FROM edg e JOIN ls p ON p.vid = e.a JOIN ls q ON q.vid = e.b WHERE e.ref = 0 AND p.v * q.v < 0)
+SELECT t.ref AS was, count(*) AS n_parents, count(*) FILTER (WHERE c.kk > 0) AS n_cut FROM tet t LEFT JOIN (SELECT e.tid, count(*) AS kk FROM edg e JOIN ed USING (a, b) GROUP BY e.tid) c USING (tid) GROUP BY t.ref""", _LS)
+def ls_materials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One material is split, the other not: tetra of either that are bisected, and refs that are kept."""
+    vertices, tetra, _ = lattice(spark, sf_dir)
+    materials = spark.createDataFrame([(0, True, 10, 20), (1, False, None, None)], "ref int, split boolean, ref_in int, ref_out int")
+    cut, _ = levelset.discretise(tetra, vertices, vertices.select("vid", F.col("val").alias("v")), LS_VALUE, materials=materials)
+    pieces = cut.groupBy("parent").agg(F.count("*").alias("k"))
+    return tetra.join(pieces, F.col("tid") == F.col("parent")).groupBy(F.col("ref").alias("was")).agg(F.count("*").alias("n_parents"), F.count_if(F.col("k") > 1).alias("n_cut"))
+
+
+@_query("catalog_round_trip", "SELECT 'tetra' AS entity, part, count(*) AS n FROM tet GROUP BY part UNION ALL SELECT 'vertices', part, count(*) FROM pv GROUP BY part")
+def catalog_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The mesh saved as a Parquet catalog, loaded, and counted by part."""
+    import uuid
+
+    from tetraflow.frame import MeshFrame
+    from tetraflow.plans.files import localised
+    from tetraflow.sources import catalog
+    from tetraflow.staging import shared_folder
+
+    vertices, tetra, _ = lattice(spark, sf_dir)
+    path = f"{shared_folder(spark)}/catalog-{uuid.uuid4().hex}"
+    catalog.save(MeshFrame(spark, localised(_warped(vertices), tetra)), path)
+    return catalog.sizes(catalog.load(spark, path)).select("entity", "part", "n")
+
+
+@_query("load_balance")
+def load_balance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts after balancing, contiguous; iterative, held against invariants in the tests."""
+    vertices, tetra, _ = lattice(spark, sf_dir)
+    return partition.load_balance(tetra, vertices, S.AdaptParams()).select("tid", "part")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
