@@ -2,8 +2,8 @@
 
 Two rules of ownership exist side by side: the highest partition that touches
 an entity owns it for numbering the mesh, the lowest for interface lists.
-Numbers are a rank within the owner plus the owner's offset; offsets come from
-one row per owner.
+Numbers are a rank within a range partition plus the partition's offset; only
+the partitions' counts, a row each, meet in one task.
 """
 
 from __future__ import annotations
@@ -27,10 +27,11 @@ def offsets(counts: DataFrame, by: str, n: str = "n") -> DataFrame:
 
 
 def number_by_owner(owned: DataFrame, key: tuple[str, ...] = ("vid",), first: int = 1) -> DataFrame:
-    """``owned`` (key, owner, ...) with gnum: consecutive, owners in order, keys in order within an owner."""
-    rank = F.row_number().over(Window.partitionBy("owner").orderBy(*key))
-    starts = F.broadcast(offsets(owned.groupBy("owner").agg(F.count("*").alias("n")), "owner").select("owner", "offset"))  # a row per partition
-    return owned.withColumn("rank", rank).join(starts, "owner").withColumn("gnum", F.col("offset") + F.col("rank") - 1 + first).drop("rank", "offset")
+    """``owned`` (key, owner, ...) with gnum: consecutive, owners in order, keys in order within an owner.
+
+    Range partitions over (owner, key) even out owners of any size.
+    """
+    return dense_ids(owned, ("owner", *key), first, "gnum")
 
 
 def global_vertices(touch: DataFrame) -> DataFrame:
@@ -44,12 +45,7 @@ def global_triangles(touch: DataFrame) -> DataFrame:
     pure is true for a triangle that only separates partitions.
     """
     one = touch.groupBy("fid").agg(F.max("part").alias("top"), F.max("pure").alias("pure"))
-    slot = F.struct("pure", "top")
-    counts = one.groupBy("pure", "top").agg(F.count("*").alias("n")).withColumn("slot", slot)
-    starts = F.broadcast(offsets(counts, "slot").select("pure", "top", "offset"))
-    rank = F.row_number().over(Window.partitionBy("pure", "top").orderBy("fid"))
-    numbered = one.withColumn("rank", rank).join(starts, ["pure", "top"])
-    return numbered.select("fid", F.when(~F.col("pure"), F.col("top")).alias("owner"), (F.col("offset") + F.col("rank")).alias("gnum"))
+    return dense_ids(one, ("pure", "top", "fid"), 1, "gnum").select("fid", F.when(~F.col("pure"), F.col("top")).alias("owner"), "gnum")
 
 
 def interface_node_owners(iface_nodes: DataFrame) -> DataFrame:
@@ -67,12 +63,8 @@ def interface_node_counts(iface_nodes: DataFrame) -> DataFrame:
 
 def interface_face_owners(iface_faces: DataFrame) -> DataFrame:
     """(f0, f1, f2, owner, other, gnum): interface faces once, owned by the lowest partition, pair by pair."""
-    one = iface_faces.where("part_in < part_out")
-    pair = Window.partitionBy("part_in", "part_out").orderBy("f0", "f1", "f2")
-    counts = one.groupBy("part_in", "part_out").agg(F.count("*").alias("n")).withColumn("slot", F.struct("part_in", "part_out"))
-    starts = F.broadcast(offsets(counts, "slot").select("part_in", "part_out", "offset"))
-    ranked = one.withColumn("rank", F.row_number().over(pair)).join(starts, ["part_in", "part_out"])
-    return ranked.select("f0", "f1", "f2", F.col("part_in").alias("owner"), F.col("part_out").alias("other"), (F.col("offset") + F.col("rank")).alias("gnum"))
+    one = iface_faces.where("part_in < part_out").select("f0", "f1", "f2", F.col("part_in").alias("owner"), F.col("part_out").alias("other"))
+    return dense_ids(one, ("owner", "other", "f0", "f1", "f2"), 1, "gnum")
 
 
 def edge_owners(edge_touch: DataFrame) -> DataFrame:
