@@ -32,11 +32,11 @@ from tetraflow.llm._shared import slices
 from tetraflow.llm._vector import rolling, word_hashes, word_spans
 
 SHINGLE, CONTAINMENT, MINIMA = 5, 0.8, 64
-BLOCK_ITEMS = 20_000
+BLOCK_ITEMS, BLOCK_CHARS = 20_000, 20_000_000
 LEAST_RUN = 8
 BATCH_CHARS = 600_000
 _SEED = 31_337
-_BITMAP = 20
+_LEAST_BITS, _MOST_BITS = 12, 18
 _IS_WORD = np.array([1 if chr(b).isalnum() and b < 128 or b >= 128 else 0 for b in range(256)], dtype=np.int8)
 _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np.uint8)
 _SALT = np.random.Generator(np.random.PCG64(_SEED)).integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -106,6 +106,8 @@ class Items:
             tables = self.by_minimum.setdefault(self.run_of(len(self.sets[-1])), [defaultdict(list) for _ in range(minima)])
             for k in range(minima):
                 tables[k][int(permuted(texts.own(i), k).min())].append(number)
+        # a filter before the tables, by the leading bits of a minimum; small, so that it stays in the processor's cache
+        self.shift = np.uint64(64 - min(_MOST_BITS, max(_LEAST_BITS, (64 * len(self.ids)).bit_length())))
         self.bitmaps = {run: np.stack([self._bitmap(t) for t in tables]) for run, tables in self.by_minimum.items()}
 
     @staticmethod
@@ -113,10 +115,9 @@ class Items:
         """Half a window of the item's class: some window of two runs holds an item of at most that many shingles whole."""
         return max(LEAST_RUN, 1 << (size - 1).bit_length())
 
-    @staticmethod
-    def _bitmap(table: dict[int, list[int]]) -> np.ndarray:
-        out = np.zeros(1 << _BITMAP, dtype=bool)
-        out[np.fromiter(table, dtype=np.uint64, count=len(table)) >> np.uint64(64 - _BITMAP)] = True
+    def _bitmap(self, table: dict[int, list[int]]) -> np.ndarray:
+        out = np.zeros(1 << (64 - int(self.shift)), dtype=bool)
+        out[np.fromiter(table, dtype=np.uint64, count=len(table)) >> self.shift] = True
         return out
 
     def candidates(self, texts: Texts) -> dict[int, set[int]]:
@@ -131,7 +132,7 @@ class Items:
                 windows = shortest.copy() if run == LEAST_RUN else np.minimum.reduceat(shortest, starts)
                 windows[paired] = np.minimum(windows[paired], windows[paired + 1])
                 table = self.by_minimum[run][k]
-                for at in np.flatnonzero(self.bitmaps[run][k][windows >> np.uint64(64 - _BITMAP)]).tolist():
+                for at in np.flatnonzero(self.bitmaps[run][k][windows >> self.shift]).tolist():
                     hit = table.get(int(windows[at]))
                     if hit:
                         found[int(owner[at])].update(hit)
@@ -170,13 +171,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CON
     columns are ignored. Null, empty and texts of fewer than five words have
     no shingle and match nothing, on either side. Repeated documents and items
     match each for itself; null ids are carried. Either table empty gives no
-    rows. The benchmark goes out in blocks of ``block_items`` items, one pass
-    over the documents for each, so that what a task holds stays bounded.
+    rows. The benchmark goes out in blocks of ``block_items`` items (and BLOCK_CHARS
+    characters, or one longer item), one pass over the documents for each, so that what a task holds stays bounded.
     """
     spark = docs.sparkSession
     out = None
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     block: list[tuple[int, str | None]] = []
+    chars = 0
 
     def one_pass(rows: list[tuple[int, str | None]]) -> DataFrame:
         sent = spark.sparkContext.broadcast(rows)
@@ -197,8 +199,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CON
     schema = "doc_id long, item_id long, n_shared long, n_shingles long, containment double"
     for row in benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator():
         block.append((row[0], row[1]))
-        if len(block) == block_items:
-            done, block = one_pass(block), []
+        chars += len(row[1] or "")
+        if len(block) == block_items or chars >= BLOCK_CHARS:
+            done, block, chars = one_pass(block), [], 0
             out = done if out is None else out.unionAll(done)
     if block or out is None:
         done = one_pass(block)
