@@ -44,3 +44,19 @@ def test_spans_are_maximal(spark):
     docs = spark.createDataFrame([(1, "p q a b c d e r"), (2, "a b c d e"), (3, "z z y")], "doc_id long, text string")
     spans = {r.doc_id: [(s.start, s.end) for s in r.removed_spans] for r in substring.remove_repeats(docs, window=3).collect()}
     assert spans == {1: [(2, 7)], 2: [(0, 5)], 3: []}
+
+
+def test_colliding_hashes_are_told_apart_by_their_checks():
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    x = substring.keys(rng.integers(0, 40, 3000).astype("u8") << np.uint64(58), rng.integers(0, 3, 3000).astype("u2"))
+    pairs = Counter(zip(x["h"].tolist(), x["c"].tolist()))
+    ordered = substring.in_order(x)
+    assert list(zip(ordered["h"].tolist(), ordered["c"].tolist())) == sorted(zip(x["h"].tolist(), x["c"].tolist()))
+    assert (substring.unpack(substring.pack(ordered)) == ordered).all() and len(substring.unpack(substring.pack(ordered[:0]))) == 0
+    some = substring._distinct(ordered)[::2]
+    there = set(zip(some["h"].tolist(), some["c"].tolist()))
+    assert substring.found(x, some).tolist() == [(h, c) in there for h, c in zip(x["h"].tolist(), x["c"].tolist())]
+    twice = substring._twice(x)
+    assert Counter(zip(twice["h"].tolist(), twice["c"].tolist())) == Counter({k: min(2, n) for k, n in pairs.items()})

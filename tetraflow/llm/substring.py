@@ -3,16 +3,16 @@
 1. Texts are dealt once to blocks of bounded size by a hash of the row.
 2. In each block, Rabin-Karp hashes of every window are sorted; each goes to
    its hash range as often as it starts in the block, twice at most, packed as
-   byte planes of differences (about six bytes a window). A window that a
-   third of all documents share costs a block two entries.
+   byte planes of differences and a check of two bytes (about eight bytes a
+   window). A window that a third of all documents share costs a block two entries.
 3. Each hash range counts over all blocks and answers every block with the
    hashes of its own that repeat.
 4. Each block, whose texts come from the same exchange, hashes its windows
    again, marks the repeated ones, merges them into maximal intervals and cuts.
 
-Blocks and ranges grow with the input, so no task's share does. Hashes have
-64 bits: among n different windows some pair collides with probability
-n**2 / 2**65, 6e-4 for the 0.5 GB check table.
+Blocks and ranges grow with the input, so no task's share does. Two polynomials
+over independent bases, 64 and 16 bits, must agree: among n different windows
+some pair collides with probability n**2 / 2**81, 1e-8 for 0.5 GB of text.
 """
 
 from __future__ import annotations
@@ -34,15 +34,53 @@ _SEED = 20_011
 _IS_WORD = separated_by(SEPARATORS)
 
 
-def pack(hashes: np.ndarray) -> bytes:
-    """Sorted 64-bit values as byte planes of their differences."""
-    steps = np.diff(hashes, prepend=np.uint64(0)).astype("<u8")
-    return steps.view(np.uint8).reshape(-1, 8).T.tobytes()
+KEY = np.dtype([("h", "<u8"), ("c", "<u2")])
+
+
+def keys(h: np.ndarray, c: np.ndarray) -> np.ndarray:
+    out = np.empty(len(h), dtype=KEY)
+    out["h"], out["c"] = h, c
+    return out
+
+
+def in_order(x: np.ndarray) -> np.ndarray:
+    """Sorted by both parts; the second only matters where hashes of different windows collide."""
+    x = x[np.argsort(x["h"], kind="stable")]
+    h, c = x["h"], x["c"]
+    if bool(((h[1:] == h[:-1]) & (c[1:] != c[:-1])).any()):
+        x = x[np.lexsort((c, h))]
+    return x
+
+
+def same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return (a["h"] == b["h"]) & (a["c"] == b["c"])
+
+
+def found(x: np.ndarray, among: np.ndarray) -> np.ndarray:
+    """For each key whether it is one of the sorted, distinct ``among``."""
+    hit = np.zeros(len(x), dtype=bool)
+    if not len(among):
+        return hit
+    h, c = among["h"].copy(), among["c"].copy()
+    at = np.searchsorted(h, x["h"])
+    repeats = int(np.unique(h, return_counts=True)[1].max())  # one, unless hashes collide
+    for step in range(repeats):
+        place = np.minimum(at + step, len(h) - 1)
+        hit |= (h[place] == x["h"]) & (c[place] == x["c"])
+    return hit
+
+
+def pack(x: np.ndarray) -> bytes:
+    """Sorted keys as byte planes of the differences of their first parts, then the second parts."""
+    steps = np.diff(x["h"], prepend=np.uint64(0)).astype("<u8")
+    return steps.view(np.uint8).reshape(-1, 8).T.tobytes() + np.ascontiguousarray(x["c"]).tobytes()
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    planes = np.frombuffer(blob, dtype=np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+    n = len(blob) // 10
+    planes = np.frombuffer(blob, dtype=np.uint8, count=8 * n).reshape(8, n)
+    h = np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
+    return keys(h, np.frombuffer(blob, dtype="<u2", offset=8 * n))
 
 
 class Block:
@@ -55,39 +93,43 @@ class Block:
         self.starts, self.ends = word_spans(flat, _IS_WORD)
         begins = np.cumsum([0, *(len(x) + 1 for x in raw)])
         self.bounds = np.searchsorted(self.starts, begins)
-        hashes = rolling(word_hashes(flat, self.starts, self.ends, _SEED), window, _SEED)
+        words = word_hashes(flat, self.starts, self.ends, _SEED)
+        hashes = rolling(words, window, _SEED)
         left = self.bounds[1:] - window  # the last window of each text, if it has one
         own = np.repeat(left, np.diff(self.bounds))[: len(hashes)]
         self.at = np.flatnonzero(np.arange(len(hashes)) <= own)
-        self.hashes, self.window = hashes[self.at], window
+        checks = (rolling(words, window, _SEED + 2) >> np.uint64(48)).astype(np.uint16)
+        self.keys, self.window = keys(hashes[self.at], checks[self.at]), window
 
     def covered(self, repeated: np.ndarray) -> np.ndarray:
-        """For each word whether a window of the sorted ``repeated`` covers it."""
-        if not len(repeated):
-            return np.zeros(len(self.starts), dtype=bool)
-        found = np.searchsorted(repeated, self.hashes)
-        hit = self.at[repeated[np.minimum(found, len(repeated) - 1)] == self.hashes]
+        """For each word whether a window of the sorted, distinct ``repeated`` covers it."""
+        hit = self.at[found(self.keys, repeated)]
         depth = np.zeros(len(self.starts) + 1, dtype=np.int32)
         depth[hit] += 1
         depth[hit + self.window] -= 1
         return np.cumsum(depth[:-1]) > 0
 
 
-def _twice(hashes: np.ndarray) -> np.ndarray:
-    """Sorted, each value twice at most."""
-    x = np.sort(hashes)
-    return x if len(x) < 3 else x[np.concatenate(([True, True], x[2:] != x[:-2]))]
+def _twice(x: np.ndarray) -> np.ndarray:
+    """Sorted, each key twice at most."""
+    x = in_order(x)
+    return x if len(x) < 3 else x[np.concatenate(([True, True], ~same(x[2:], x[:-2])))]
+
+
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted keys, each once."""
+    return x[np.concatenate(([True], ~same(x[1:], x[:-1])))] if len(x) else x
 
 
 def _ranges(x: np.ndarray, n: int) -> np.ndarray:
-    edges = [0, *np.searchsorted(x, np.array([(2**64 * i) // n for i in range(1, n)], dtype=np.uint64)), len(x)]
+    edges = [0, *np.searchsorted(x["h"].copy(), np.array([(2**64 * i) // n for i in range(1, n)], dtype=np.uint64)), len(x)]
     return np.array(edges)
 
 
 def _hasher(window: int, n_ranges: int) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
-        x = _twice(Block(table["text"].to_pylist(), window).hashes)
+        x = _twice(Block(table["text"].to_pylist(), window).keys)
         edges = _ranges(x, n_ranges)
         full = np.flatnonzero(np.diff(edges))
         blobs = [pack(x[edges[i] : edges[i + 1]]) for i in full]
@@ -98,24 +140,21 @@ def _hasher(window: int, n_ranges: int) -> Callable:
 
 def _counter(table: pa.Table) -> pa.Table:
     blocks, arrays = table["block"].to_pylist(), [unpack(x) for x in table["blob"].to_pylist()]
-    every = np.sort(np.concatenate(arrays))
-    again = every[1:][every[1:] == every[:-1]]
-    repeated = again[np.concatenate(([True], again[1:] != again[:-1]))] if len(again) else again
+    every = in_order(np.concatenate(arrays))
+    repeated = _distinct(every[1:][same(every[1:], every[:-1])])
     out_blocks, out_blobs = [], []
     for block, own in zip(blocks, arrays):
-        if len(repeated):
-            at = np.minimum(np.searchsorted(repeated, own), len(repeated) - 1)
-            hit = np.unique(own[repeated[at] == own])
-            if len(hit):
-                out_blocks.append(block)
-                out_blobs.append(pack(hit))
+        hit = _distinct(own[found(own, repeated)])
+        if len(hit):
+            out_blocks.append(block)
+            out_blobs.append(pack(hit))
     return pa.table({"block": pa.array(out_blocks, pa.int64()), "blob": pa.array(out_blobs, pa.binary())})
 
 
 def _cutter(window: int, keep_text: bool) -> Callable:
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         own = [unpack(x) for x in answers["blob"].to_pylist()]
-        repeated = np.sort(np.concatenate(own)) if own else np.empty(0, dtype=np.uint64)
+        repeated = in_order(np.concatenate(own)) if own else np.empty(0, dtype=KEY)
         block = Block(docs["text"].to_pylist(), window)
         gone = block.covered(repeated)
         total = np.concatenate(([0], np.cumsum(gone)))
