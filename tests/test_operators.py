@@ -216,6 +216,13 @@ def test_snapping(spark, cube):
     assert abs(levelset.unsnapped_nonmanifold(t, lone).where("vid = 62").first().v - 100e-6) < 1e-12  # two negative pieces meet there
 
 
+def test_flat_tetra_near_the_surface_are_lowered(spark):
+    measured = spark.createDataFrame([(1, 1, 2, 3, 4, 0.0), (2, 3, 4, 5, 6, 0.9), (3, 7, 8, 9, 10, 0.0)], "tid long, v0 long, v1 long, v2 long, v3 long, quality double")
+    ls = spark.createDataFrame([(i, 1e-4 if i == 1 else float(i)) for i in range(1, 11)], "vid long, v double")
+    got = {r.vid: r.v for r in levelset.lowered_at_flat(measured, ls).collect()}
+    assert got == {i: (-1e-3 if i <= 4 else float(i)) for i in range(1, 11)}
+
+
 def test_carried_fields_follow_the_edge(spark):
     points = spark.createDataFrame([(9, 1, 2, 0.25)], "vid long, a long, b long, s double")
     values = spark.createDataFrame([(1, [0.0, 4.0]), (2, [8.0, 0.0])], "vid long, val array<double>")
