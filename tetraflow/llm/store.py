@@ -24,7 +24,6 @@ recipes as one row.
 from __future__ import annotations
 
 import hashlib
-import json
 import uuid
 import zlib
 from collections.abc import Iterator
