@@ -57,6 +57,12 @@ DISGUISED = [
     ("call plus one two zero two five five five zero one four seven now", "phone", "plus one two zero two five five five zero one four seven"),
     ("card four one one one one one one one one one one one one one one one end", "card", "four one one one one one one one one one one one one one one one"),
     ("ip 10 dot 0 dot 0 dot 255 x", "ip", "10 dot 0 dot 0 dot 255"),
+    ("ip 10[.]0[.]0[.]1 x", "ip", "10[.]0[.]0[.]1"),
+    ("ask ALICE AT EXAMPLE DOT COM today", "email", "ALICE AT EXAMPLE DOT COM"),
+    ("bob(at)mail(dot)example(dot)com", "email", "bob(at)mail(dot)example(dot)com"),
+    ("carol @ example . com", "email", "carol @ example . com"),
+    ("dan&#64;example&#46;org", "email", "dan&#64;example&#46;org"),
+    ("card \uff14\uff11\uff11\uff11 \uff11\uff11\uff11\uff11 \uff11\uff11\uff11\uff11 \uff11\uff11\uff11\uff11.", "card", "\uff14\uff11\uff11\uff11 \uff11\uff11\uff11\uff11 \uff11\uff11\uff11\uff11 \uff11\uff11\uff11\uff11"),
 ]
 
 
@@ -67,7 +73,7 @@ def test_disguises_map_back_to_the_source(text, kind, what):
     assert [("\u00e9 " + text)[a:b] for a, b in every[kind]] == [what]
 
 
-@pytest.mark.parametrize("text", ["we met at lunch. dot dot", "look at this one. two three", "one two three four five six", "a at b", "meet at home dot i", "1 at 2 dot 3"])
+@pytest.mark.parametrize("text", ["we met at lunch. dot dot", "look at this one. two three", "one two three four five six", "a at b", "meet at home dot i", "1 at 2 dot 3", "meet me @ noon. thanks", "a . b . c", "5 . 5 . 5"])
 def test_prose_is_left_alone(text):
     base, every = pii.find(text)
     assert base == every

@@ -94,7 +94,9 @@ HOMOGLYPHS = {
     "ν": "v", "ρ": "p", "ι": "i", "κ": "k", "∙": ".", "․": ".", "。": ".", "‐": "-", "‑": "-", "–": "-", "−": "-", "\xa0": " ",
 }
 DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+ENTITIES = {"&#64;": "@", "&#x40;": "@", "&commat;": "@", "&#46;": ".", "&#x2e;": ".", "&period;": "."}
 # End of fixed values.
+_ENTITY = re.compile("|".join(ENTITIES), re.I)
 GLYPHS = HOMOGLYPHS | {chr(0xFF01 + i): chr(0x21 + i) for i in range(94)} | {chr(b + i): str(i) for b in (0x660, 0x6F0, 0x966) for i in range(10)}
 _GLYPH = re.compile("[" + "".join(map(re.escape, GLYPHS)) + "]|[​‌‍⁠﻿\xad]")
 #: Ignorable characters, rewritten to nothing.
@@ -106,8 +108,8 @@ _SPELLED_ONE = re.compile(rf"({_SPELLED})", re.I)
 _SPELLED_GAP = re.compile(r"(?<=[A-Za-z0-9])(?:[\x20-]|\s?,\s?)(?=[A-Za-z0-9])")
 _PLUS = re.compile(r"(?<![A-Za-z0-9])plus\x20(?=[0-9])", re.I)
 _OPEN, _CLOSE = r"[\[({<]\s{0,2}", r"\s{0,2}[\])}>]"
-_AT_MARK = rf"\s{{0,2}}{_OPEN}(?:at|@){_CLOSE}\s{{0,2}}"
-_DOT_MARK = rf"\s{{0,2}}{_OPEN}(?:dot|\.){_CLOSE}\s{{0,2}}"
+_AT_MARK = rf"(?:\s{{0,2}}{_OPEN}(?:at|@){_CLOSE}\s{{0,2}}|\x20@\x20)"
+_DOT_MARK = rf"(?:\s{{0,2}}{_OPEN}(?:dot|\.){_CLOSE}\s{{0,2}}|\x20\.\x20)"
 _NAME = r"[A-Za-z0-9_%+-]"
 _ADDRESS = re.compile(
     rf"(?<![A-Za-z0-9._%+-]){_NAME}+(?:(?:\.|{_DOT_MARK}|\x20dot\x20){_NAME}+){{0,4}}"
@@ -116,7 +118,7 @@ _ADDRESS = re.compile(
 )
 _ADDRESS_SIGN = re.compile(rf"{_AT_MARK}|{_DOT_MARK}|\x20(?:at|dot)\x20", re.I)
 _DOTTED = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:{_DOT_MARK}|\x20dot\x20|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
-_HINT = re.compile(rf"@|\bat\b|\bdot\b|(?<![A-Za-z])(?:{_SPELLED})(?![A-Za-z])", re.I)
+_HINT = re.compile(rf"@|\x20\.\x20|[\[({{<]\s{{0,2}}\.|\bat\b|\bdot\b|(?<![A-Za-z])(?:{_SPELLED})(?![A-Za-z])", re.I)
 
 
 class Rewriting:
@@ -181,6 +183,8 @@ def normalise(text: str) -> Rewriting:
     out = Rewriting(text)
     if not text.isascii():
         out.apply([(m.start(), m.end(), "" if m[0] in _IGNORED else GLYPHS[m[0]]) for m in _GLYPH.finditer(text)])
+    if "&" in text:
+        out.apply([(m.start(), m.end(), ENTITIES[m[0].lower()]) for m in _ENTITY.finditer(out.text)])
     if not out.edits and not _HINT.search(out.text):
         return out
     changes = []
