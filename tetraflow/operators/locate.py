@@ -70,6 +70,7 @@ def _nearest(points: DataFrame, at: DataFrame, size: float) -> DataFrame:
 
     A vertex found within a ring is the nearest only if it is no farther than
     the ring reaches; else the next ring decides. A round with no points left ends it.
+    Meant for strays: a point farther off than the mesh is wide meets all its vertices.
     """
     corners = F.explode(F.array(*[F.struct(F.col(f"v{i}").alias("vid"), F.lit(i).alias("corner"), F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y"), F.col(f"z{i}").alias("z")) for i in range(4)]))
     each = at.select("tid", corners.alias("c")).select("tid", "c.*")
