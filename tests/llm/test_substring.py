@@ -40,6 +40,13 @@ def test_odd_rows(spark):
     assert substring.remove_repeats(docs.limit(0)).count() == 0
 
 
+def test_lots_of_a_block_change_nothing(spark, monkeypatch):
+    texts = ["a b", None, "c" * 30, "", "d e f", "g" * 9]
+    monkeypatch.setattr(substring, "LOT_CHARS", 10)
+    lots = [texts[x] for x in substring._lots(texts)]
+    assert [t for lot in lots for t in lot] == texts and len(lots) == 4 and list(substring._lots([])) == []
+
+
 def test_spans_are_maximal(spark):
     docs = spark.createDataFrame([(1, "p q a b c d e r"), (2, "a b c d e"), (3, "z z y")], "doc_id long, text string")
     spans = {r.doc_id: [(s.start, s.end) for s in r.removed_spans] for r in substring.remove_repeats(docs, window=3).collect()}

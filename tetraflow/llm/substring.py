@@ -10,7 +10,11 @@
 4. Each block, whose texts come from the same exchange, hashes its windows
    again, marks the repeated ones, merges them into maximal intervals and cuts.
 
-Blocks and ranges grow with the input, so no task's share does. Two polynomials
+The numbers of blocks and ranges grow with the input. So that a packed row
+still holds a hundred hashes or so, their sizes grow too, with the square root
+of the input, from 4 and 8 million characters below 28 GB of text to 0.3
+billion at 100 TB; within a block texts are hashed and cut a lot of 4 million
+characters at a time, so only the ten bytes of each window add up. Two polynomials
 over independent bases, 64 and 16 bits, must agree: among n different windows
 some pair collides with probability n**2 / 2**81, 1e-8 for 0.5 GB of text.
 """
@@ -18,7 +22,8 @@ some pair collides with probability n**2 / 2**81, 1e-8 for 0.5 GB of text.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +34,10 @@ from tetraflow.llm._vector import SEPARATORS, rolling, separated_by, word_hashes
 
 WINDOW = 35
 BLOCK_CHARS = 4_000_000
-RANGE_CHARS = 24_000_000
+RANGE_CHARS = 8_000_000
+LOT_CHARS = 4_000_000
+#: Characters of a block times those of a range, over those of the input: a hundred windows of under six characters.
+SPREAD = 570
 _SEED = 20_011
 _IS_WORD = separated_by(SEPARATORS)
 
@@ -110,6 +118,18 @@ class Block:
         return np.cumsum(depth[:-1]) > 0
 
 
+def _lots(texts: list[str | None]) -> Iterator[slice]:
+    """Places of the texts in lots of LOT_CHARS, or of one longer text."""
+    start = chars = 0
+    for i, text in enumerate(texts):
+        if chars and chars + len(text or "") > LOT_CHARS:
+            yield slice(start, i)
+            start, chars = i, 0
+        chars += len(text or "")
+    if start < len(texts):
+        yield slice(start, len(texts))
+
+
 def _twice(x: np.ndarray) -> np.ndarray:
     """Sorted, each key twice at most."""
     x = in_order(x)
@@ -129,7 +149,8 @@ def _ranges(x: np.ndarray, n: int) -> np.ndarray:
 def _hasher(window: int, n_ranges: int) -> Callable:
     def run(table: pa.Table) -> pa.Table:
         block = table["block"][0].as_py()
-        x = _twice(Block(table["text"].to_pylist(), window).keys)
+        texts = table["text"].to_pylist()
+        x = _twice(np.concatenate([Block(texts[lot], window).keys for lot in _lots(texts)]))
         edges = _ranges(x, n_ranges)
         full = np.flatnonzero(np.diff(edges))
         blobs = [pack(x[edges[i] : edges[i + 1]]) for i in full]
@@ -155,24 +176,26 @@ def _cutter(window: int, keep_text: bool) -> Callable:
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         own = [unpack(x) for x in answers["blob"].to_pylist()]
         repeated = in_order(np.concatenate(own)) if own else np.empty(0, dtype=KEY)
-        block = Block(docs["text"].to_pylist(), window)
-        gone = block.covered(repeated)
-        total = np.concatenate(([0], np.cumsum(gone)))
+        texts = docs["text"].to_pylist()
         kept_text, spans, words, removed, digests = [], [], [], [], []
-        for a, b in zip(block.bounds[:-1].tolist(), block.bounds[1:].tolist()):
-            out = int(total[b] - total[a])
-            here = np.flatnonzero(~gone[a:b]) + a if out else range(a, b)
-            if out:
-                text = b" ".join([block.data[s:e] for s, e in zip(block.starts[here].tolist(), block.ends[here].tolist())])
-                edges = np.flatnonzero(np.diff(np.concatenate(([False], gone[a:b], [False])))).tolist()
-            else:
-                text, edges = b" ".join(block.data[block.starts[a] : block.ends[b - 1]].split()) if b > a else b"", []
-            words.append(b - a)
-            removed.append(out)
-            digests.append(hashlib.sha256(text).hexdigest())
-            if keep_text:
-                kept_text.append(text.decode("utf-8", "surrogatepass"))
-                spans.append([{"start": s, "end": e} for s, e in zip(edges[::2], edges[1::2])])
+        for lot in _lots(texts):
+            block = Block(texts[lot], window)
+            gone = block.covered(repeated)
+            total = np.concatenate(([0], np.cumsum(gone)))
+            for a, b in zip(block.bounds[:-1].tolist(), block.bounds[1:].tolist()):
+                out = int(total[b] - total[a])
+                if out:
+                    here = np.flatnonzero(~gone[a:b]) + a
+                    text = b" ".join([block.data[s:e] for s, e in zip(block.starts[here].tolist(), block.ends[here].tolist())])
+                    edges = np.flatnonzero(np.diff(np.concatenate(([False], gone[a:b], [False])))).tolist()
+                else:
+                    text, edges = b" ".join(block.data[block.starts[a] : block.ends[b - 1]].split()) if b > a else b"", []
+                words.append(b - a)
+                removed.append(out)
+                digests.append(hashlib.sha256(text).hexdigest())
+                if keep_text:
+                    kept_text.append(text.decode("utf-8", "surrogatepass"))
+                    spans.append([{"start": s, "end": e} for s, e in zip(edges[::2], edges[1::2])])
         out = {"doc_id": docs["doc_id"], "n_words": pa.array(words, pa.int64()), "n_removed": pa.array(removed, pa.int64()), "kept_sha256": pa.array(digests, pa.string())}
         if keep_text:
             out |= {"kept_text": pa.array(kept_text, pa.string()), "removed_spans": pa.array(spans, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))}
@@ -181,7 +204,7 @@ def _cutter(window: int, keep_text: bool) -> Callable:
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, block_chars: int = BLOCK_CHARS, range_chars: int = RANGE_CHARS, keep_text: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, window: int = WINDOW, block_chars: int | None = None, range_chars: int | None = None, keep_text: bool = True) -> DataFrame:
     """Per row of ``docs`` what is left when repeated windows of words go.
 
     Columns: doc_id, n_words, n_removed, kept_sha256 and, with ``keep_text``,
@@ -195,6 +218,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block_chars: int = BLO
     """
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     chars = base.agg(F.sum(F.length("text"))).first()[0] or 0
+    grown = math.isqrt(SPREAD * chars)
+    block_chars, range_chars = block_chars or max(BLOCK_CHARS, grown), range_chars or max(RANGE_CHARS, grown)
     n_blocks, n_ranges = max(1, -(-chars // block_chars)), max(1, -(-chars // range_chars))
     dealt = base.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks))).repartition("block")
     hashed = dealt.groupBy("block").applyInArrow(_hasher(window, n_ranges), "part int, block long, blob binary")
