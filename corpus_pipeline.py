@@ -22,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeated runs of lines go, and with them documents of which no word is left."""
+    """Later repeats of lines go, single ones too, and with them documents of which no word is left."""
     left = linededup.delete_later_runs(docs)
     emptied = (F.size("__gone") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     out = left.where(~F.coalesce(emptied, F.lit(False)))

@@ -50,3 +50,12 @@ def test_windows_select_their_least_hash(spark):
     rows = {r.i: r.fp for r in linededup.line_windows(docs, 3).collect()}
     hashes = [r.h for r in spark.sql("select xxhash64(x) h from values 'a','b','c','d','e' t(x)").collect()]
     assert rows == {i: min(hashes[i : i + 3]) for i in range(3)}
+
+
+def test_single_repeated_lines_go_in_the_pipeline(spark):
+    import corpus_pipeline
+
+    rows = [(1, "a\nshared\nb"), (2, "c\nshared\nd"), (3, "solo"), (4, "solo"), (5, "e\n\ne")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()}
+    assert left == {1: "a\nshared\nb", 2: "c\nd", 3: "solo", 5: "e\n"}

@@ -18,7 +18,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MIN_RUN = 2
+MIN_RUN = 1
+#: The run length that the SQL of op4_linededup defines: a line repeated between differing neighbours stays there.
+SQL_RUN = 2
 _WORDLESS = r"[\x20\x09-\x0D]*"
 
 
@@ -51,6 +53,9 @@ def later_lines(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     windows = line_windows(docs, min_run)
     place = F.struct("doc_id", "row", "i")
     firsts = windows.groupBy("fp", "win").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first <> last").drop("last")
+    # other keys than those grouped by: both sides are dealt anew, so that the join of a very common line can be split
+    firsts = firsts.select(F.bitwise_not("fp").alias("fp"), F.bitwise_not("win").alias("win"), "first")
+    windows = windows.withColumn("fp", F.bitwise_not("fp")).withColumn("win", F.bitwise_not("win"))
     later = windows.join(firsts, ["fp", "win"]).where(F.col("first") < place)
     return later.select("row", F.explode("lines").alias("at")).groupBy("row").agg(F.collect_set("at").alias("gone"))
 
