@@ -52,3 +52,13 @@ def test_odd_rows(spark):
     assert got(docs, bench) == brute(rows, items)
     assert got(docs.limit(0), bench) == [] and got(docs, bench.limit(0)) == []
     assert sorted(str(r.doc_id) for r in decontam.keep_clean(docs, bench).collect()) == ["1", "2", "3", "5"]
+
+
+def test_rows_that_share_a_doc_id_are_judged_each_for_itself(spark):
+    item = "one two three four five six seven"
+    rows = [(None, item, 1), (None, "clean text without any item", 2), (5, "x " + item, 3), (5, "another clean text", 4), (None, None, 5), (6, "a second item with six words", 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    bench = spark.createDataFrame([(1, item), (2, "second item with six words")], "item_id long, text string")
+    for block_items in (1, 100):
+        assert sorted(r.n for r in decontam.keep_clean(docs, bench, block_items=block_items).collect()) == [2, 4, 5]
+    assert decontam.keep_clean(docs, bench.limit(0)).count() == 6 and decontam.keep_clean(docs.limit(0), bench).count() == 0

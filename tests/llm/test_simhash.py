@@ -70,3 +70,10 @@ def test_keep_one(spark):
     text = " ".join(f"word{i}" for i in range(60))
     docs = spark.createDataFrame([(3, text, "a"), (1, text, "b"), (2, "something else entirely is here now", "c"), (None, text, "d")], "doc_id long, text string, component_id string")
     assert sorted((str(r.doc_id), r.component_id) for r in simhash.keep_one(docs).collect()) == [("1", "b"), ("2", "c"), ("None", "d")]
+
+
+def test_keep_one_chooses_rows_not_ids(spark):
+    one, two = " ".join(f"word{i}" for i in range(60)), " ".join(f"other{i}" for i in range(60))
+    rows = [(1, one, "a"), (5, one, "b"), (5, two, "c"), (7, two, "d"), (8, "a third text that stands alone", "e"), (8, "and a fourth one that nothing else is like", "f"), (None, "null id text of its own kind", "g"), (None, "null id text of its own kind", "g")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, tag string")
+    assert sorted(r.tag for r in simhash.keep_one(docs).collect()) == ["a", "c", "e", "f", "g"]

@@ -174,14 +174,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CON
     rows. The benchmark goes out in blocks of ``block_items`` items (and BLOCK_CHARS
     characters, or one longer item), one pass over the documents for each, so that what a task holds stays bounded.
     """
-    spark = docs.sparkSession
-    out = None
+    names = ["doc_id", "item_id", "n_shared", "n_shingles", "containment"]
+    types = [pa.int64()] * 4 + [pa.float64()]
+    schema = "doc_id long, item_id long, n_shared long, n_shingles long, containment double"
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    block: list[tuple[int, str | None]] = []
-    chars = 0
 
     def one_pass(rows: list[tuple[int, str | None]]) -> DataFrame:
-        sent = spark.sparkContext.broadcast(rows)
+        sent = docs.sparkSession.sparkContext.broadcast(rows)
         made: list[Items] = []
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -194,22 +193,52 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, containment: float = CON
 
         return base.mapInArrow(run, schema)
 
-    names = ["doc_id", "item_id", "n_shared", "n_shingles", "containment"]
-    types = [pa.int64()] * 4 + [pa.float64()]
-    schema = "doc_id long, item_id long, n_shared long, n_shingles long, containment double"
+    out = None
+    for block in _blocks(benchmark, block_items):
+        done = one_pass(block)
+        out = done if out is None else out.unionAll(done)
+    return out
+
+
+def _blocks(benchmark: DataFrame, block_items: int) -> Iterator[list[tuple[int, str | None]]]:
+    """The items in blocks bounded by number and characters; one empty block if there are none."""
+    block: list[tuple[int, str | None]] = []
+    chars, some = 0, False
     for row in benchmark.select(F.col("item_id").cast("long"), "text").toLocalIterator():
         block.append((row[0], row[1]))
         chars += len(row[1] or "")
         if len(block) == block_items or chars >= BLOCK_CHARS:
-            done, block, chars = one_pass(block), [], 0
-            out = done if out is None else out.unionAll(done)
-    if block or out is None:
-        done = one_pass(block)
-        out = done if out is None else out.unionAll(done)
-    return out
+            yield block
+            block, chars, some = [], 0, True
+    if block or not some:
+        yield block
+
 
+def keep_clean(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT, block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """The rows of ``docs`` in which no benchmark item is contained.
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, containment: float = CONTAINMENT) -> DataFrame:
-    """The rows of ``docs`` in which no benchmark item is contained; rows with a null doc_id that match go too."""
-    hits = contaminated(docs, benchmark, containment).select(F.col("doc_id").alias("__hit")).distinct()
-    return docs.join(hits, docs["doc_id"].cast("long").eqNullSafe(hits["__hit"]), "left_anti")
+    Each row is judged by its own text, whatever its doc_id: rows that share a
+    doc_id, or have none, go or stay each for itself.
+    """
+    at = docs.columns.index("text")
+
+    def one_pass(left: DataFrame, rows: list[tuple[int, str | None]]) -> DataFrame:
+        sent = docs.sparkSession.sparkContext.broadcast(rows)
+        made: list[Items] = []
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            if not made:
+                made.append(Items(sent.value, MINIMA))
+            for batch in slices(batches, 256):
+                texts = batch.column(at).to_pylist()
+                ends = np.cumsum([len(x or "") for x in texts]) // BATCH_CHARS
+                cuts = [0, *(np.flatnonzero(np.diff(ends)) + 1).tolist(), len(texts)]
+                for a, b in zip(cuts, cuts[1:]):
+                    hit = {i for i, *_ in made[0].matches(texts[a:b], containment)}
+                    yield batch.slice(a, b - a).filter(pa.array([i not in hit for i in range(b - a)], pa.bool_()))
+
+        return left.mapInArrow(run, left.schema)
+
+    for block in _blocks(benchmark, block_items):
+        docs = one_pass(docs, block)
+    return docs

@@ -58,14 +58,14 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long. Null text counts as empty."""
+    """(doc_id, row, fp): the row's key, and the fingerprint as a signed long. Null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512):
-            values = np.array([fingerprint(x, shingle) for x in batch.column(1).to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], ["doc_id", "fp"])
+            values = np.array([fingerprint(x, shingle) for x in batch.column(2).to_pylist()], dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values.view(np.int64))], ["doc_id", "row", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key().alias("row"), "text").mapInArrow(run, "doc_id long, row string, fp long")
 
 
 def _lane(fp: Column, lane: int) -> Column:
@@ -175,6 +175,22 @@ def components(edges: DataFrame) -> DataFrame:
         seen = now
 
 
+def _row_key() -> Column:
+    """What tells rows apart: 128 bits of doc_id and text. A null text counts as empty."""
+    return F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")), F.coalesce("text", F.lit(""))))
+
+
+def _classes(docs: DataFrame, radius: int, shingle: int) -> DataFrame:
+    """(doc_id, row, fp, root, component_id, copies) for every row; root names the component by a fingerprint."""
+    prints = stage(fingerprints(docs, shingle), "simhash-prints")
+    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
+    nodes = stage(nodes, "simhash-nodes")
+    roots = components(links(nodes.select("fp"), radius))
+    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    return prints.join(rooted.join(named, "root").select("fp", "root", "component_id", "copies"), "fp")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fingerprint, component_id, copies) for every row of ``docs``.
 
@@ -185,24 +201,19 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGL
     An empty table gives an empty result. ``copies`` counts the rows with the
     same fingerprint.
     """
-    prints = stage(fingerprints(docs, shingle), "simhash-prints")
-    nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
-    nodes = stage(nodes, "simhash-nodes")
-    roots = components(links(nodes.select("fp"), radius))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    classes = rooted.join(named, "root").select("fp", "component_id", "copies")
-    return prints.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "copies")
+    return _classes(docs, radius, shingle).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", "copies")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> DataFrame:
     """``docs`` with one document of each near-duplicate component: the smallest doc_id's.
 
-    Rows whose doc_id is null are compared too, but kept, as no row names
-    them; of rows that repeat the same doc_id the first of the text order stays.
+    The choice falls on a row, by doc_id and text, so a doc_id that stands on
+    several texts keeps each that is its component's first; of texts with the
+    same doc_id in one component the smallest key's stays. Rows with a null
+    doc_id are compared among themselves: one of each component stays beside
+    the named one, as no row names them.
     """
-    classes = near_duplicates(docs, radius, shingle)
-    gone = classes.where("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
-    named = kept.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return named.unionByName(kept.where(F.col("doc_id").isNull()))
+    classes = _classes(docs, radius, shingle)
+    first = classes.groupBy("root", F.col("doc_id").isNull()).agg(F.min(F.struct("doc_id", "row"))["row"].alias("__row"))
+    keyed = docs.withColumn("__row", _row_key())
+    return keyed.join(first.select("__row"), "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
