@@ -72,3 +72,25 @@ def test_odd_rows(spark):
     got = html.extract(pages).collect()
     assert sorted(str(r.page_id) for r in got) == sorted(str(a) for a, _ in rows)
     assert html.extract(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "source,text",
+    [
+        ("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding=t>x=2</annotation></math> holds", "so x=2 holds"),
+        ("a<svg><title>t</title><desc>d</desc><defs><text>u</text></defs><text>one</text><text>two</text><path d='x'/><text>three</text></svg>b", "a one two three b"),
+        ("<svg><defs/><text>seen</text></svg>", "seen"),
+        ("<svg><defs><path></defs><p>after", "after"),
+        ("<desc>d</desc><defs>e</defs>", "de"),
+        ("<div>" * 200 + "<p hidden>no</p>yes" + "</div>" * 200 + "<p>end", "yes\n\nend"),
+        ("<div>" * 200 + "<ul><li>a<li>b</ul>", "- a\n- b"),
+        ("<b>" * 200 + "<i><b>x</b></i>" + "</b>" * 200 + "<p hidden>n", "x"),
+    ],
+)
+def test_formulas_pictures_and_depth(source, text):
+    assert html.render(source) == text
+
+
+def test_deep_pages_end_in_time():
+    for part in ("<ul><li>x", "<i>", "<p><b>", "<b><td></b>", "<table><tr><td>"):
+        assert html.render(part * 3000 + "end").split()[-1].endswith("end")

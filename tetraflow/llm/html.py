@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from tetraflow.llm._shared import slices
 
-MAX_DEPTH = 150
+#: Layout only, no text depends on them: tables nested deeper are laid out as blocks, indents grow no wider.
+MAX_TABLES, MAX_INDENT = 150, 300
 GAP = "  "
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -32,7 +33,16 @@ _BLOCKS = frozenset(
 )
 _SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul xmp fieldset hr".split())
 _ENDS_P = _BLOCKS - frozenset("body caption dd dt html legend li optgroup option tbody td tfoot th thead tr".split()) | {"dd", "dt", "li"}
-_HIDDEN = frozenset("head script style title template noscript iframe noembed noframes datalist object audio video canvas svg math".split())
+_HIDDEN = frozenset("head script style title template noscript iframe noembed noframes datalist object audio video canvas".split())
+#: Of pictures and formulas, what a reader does not see; the names mean nothing elsewhere.
+_UNSEEN = frozenset("annotation annotation-xml desc metadata defs symbol clippath mask pattern marker lineargradient radialgradient".split())
+#: Ordinary elements stand inside these; elsewhere in a picture or formula the tags of the second kind end it.
+_HOLDS_HTML = frozenset("foreignobject desc annotation-xml mi mo mn ms mtext".split())
+_ENDS_FOREIGN = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre "
+    "ruby s small span strong strike sub sup table tt u ul var".split()
+)
+_CLOSED = re.compile(r"(?:^|[\s\"']|(?:^|\s)[^\s=]+)/$")
 _ROWS, _CELLS = frozenset("thead tbody tfoot".split()), frozenset("td th".split())
 #: A start tag ends these open elements, unless one of the second kind stands between.
 _IMPLIED = {
@@ -55,10 +65,11 @@ _INVISIBLE = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hi
 
 
 class Node:
-    __slots__ = ("tag", "attributes", "children")
+    __slots__ = ("tag", "attributes", "children", "within")
 
-    def __init__(self, tag: str, attributes: str = "") -> None:
-        self.tag, self.attributes, self.children = tag, attributes, []
+    def __init__(self, tag: str, attributes: str = "", within: str = "") -> None:
+        """within: svg or math for that element and what stands in it as part of the picture or formula."""
+        self.tag, self.attributes, self.children, self.within = tag, attributes, [], within
 
     def get(self, name: str) -> str | None:
         """An attribute's value, "" if it has none, null if it isn't there."""
@@ -70,7 +81,7 @@ class Node:
         return None
 
     def visible(self) -> bool:
-        if self.tag in _HIDDEN or self.tag == "dialog" and self.get("open") is None:
+        if self.tag in _HIDDEN or self.within and self.tag in _UNSEEN or self.tag == "dialog" and self.get("open") is None:
             return False
         if not self.attributes:
             return True
@@ -81,24 +92,31 @@ class Node:
 
 
 def build(html: str) -> Node:
-    """The tree of a page. Elements deeper than MAX_DEPTH join their ancestor at that depth."""
+    """The tree of a page, at any depth."""
     root = Node("#root")
     stack, at, size = [root], 0, len(html)
+    places: dict[str, list[int]] = {}  # of the open elements, by tag
+
+    def push(node: Node) -> None:
+        places.setdefault(node.tag, []).append(len(stack))
+        stack.append(node)
+
+    def cut(to: int) -> None:
+        while len(stack) > to:
+            places[stack.pop().tag].pop()
+
+    def nearest(tags: frozenset) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
 
     def end_implied(ends: frozenset, scope: frozenset) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in ends:
-                del stack[i:]
-                return end_implied(ends, scope)
-            if stack[i].tag in scope:
-                return None
-        return None
+        while (i := nearest(ends)) and i >= nearest(scope):
+            cut(i)
 
     def text(chunk: str) -> None:
         if stack[-1].tag == "head":
             if not chunk.strip():
                 return
-            stack.pop()
+            cut(len(stack) - 1)
         stack[-1].children.append(unescape(chunk) if "&" in chunk else chunk)
 
     while at < size:
@@ -119,23 +137,25 @@ def build(html: str) -> Node:
             if name == "br":
                 stack[-1].children.append(Node("br"))
                 continue
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == name:
-                    if name not in ("body", "html"):
-                        del stack[i:]
-                    break
-                if stack[i].tag in _CELLS and name not in _CELLS and name not in ("tr", "table", "body", "html") and name not in _ROWS:
-                    break
+            i = places[name][-1] if places.get(name) else 0
+            if i and name not in ("body", "html") and (name in _CELLS or name in ("tr", "table") or name in _ROWS or i > nearest(_CELLS)):
+                cut(i)
             continue
         if stack[-1].tag == "head" and name not in _IN_HEAD:
-            stack.pop()
+            cut(len(stack) - 1)
+        within = "" if stack[-1].tag in _HOLDS_HTML else stack[-1].within
+        if within and name in _ENDS_FOREIGN:
+            while stack[-1].within and stack[-1].tag not in _HOLDS_HTML:
+                cut(len(stack) - 1)
+            within = ""
+        within = name if name in ("svg", "math") else within
         if name in _IMPLIED:
             end_implied(*_IMPLIED[name])
         if name in _ENDS_P:
             end_implied(frozenset(["p"]), frozenset(["table", "td", "th", "caption", "button", "object", "li", "div"]) if name != "li" else frozenset(["table", "td", "th", "li"]))
-        node = Node(name, found[3])
+        node = Node(name, found[3], within)
         stack[-1].children.append(node)
-        if name in _VOID:
+        if name in _VOID or within and _CLOSED.search(found[3]):
             continue
         if name in _RAW:
             close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(html, at)
@@ -147,15 +167,15 @@ def build(html: str) -> Node:
             continue
         if name == "pre" and html.startswith("\n", at):
             at += 1
-        if len(stack) < MAX_DEPTH:
-            stack.append(node)
+        push(node)
     return root
 
 
 class Page:
     """Lines as they are laid out."""
 
-    def __init__(self) -> None:
+    def __init__(self, depth: int = 0) -> None:
+        self.depth = depth  # tables around it
         self.lines: list[str] = []
         self.open: list[str] = []
         self.gap = False
@@ -197,7 +217,18 @@ def _number(text: str | None, usual: int) -> int:
     return int(text) if text and re.fullmatch(r"-?[0-9]{1,6}", text.strip()) else usual
 
 
-def _lay(page: Page, node: Node, pre: bool = False) -> None:
+def _run(steps: Iterator) -> None:
+    """A layout step and those it yields, each in full where it is yielded, without recursion."""
+    todo = [steps]
+    while todo:
+        deeper = next(todo[-1], None)
+        if deeper is None:
+            todo.pop()
+        else:
+            todo.append(deeper)
+
+
+def _lay(page: Page, node: Node, pre: bool = False) -> Iterator:
     for child in node.children:
         if isinstance(child, str):
             if pre:
@@ -219,52 +250,55 @@ def _lay(page: Page, node: Node, pre: bool = False) -> None:
         if tag == "wbr" or tag in _VOID and tag != "hr" or not child.visible():
             continue
         if tag not in _BLOCKS:
-            if tag == "textarea":
+            apart = child.within == "svg" and tag in ("text", "svg")  # labels of a picture stand apart
+            if tag == "textarea" or apart:
+                page.inline(" ")
+            yield _lay(page, child, pre or tag == "textarea")
+            if apart:
                 page.inline(" ")
-            _lay(page, child, pre or tag == "textarea")
             continue
         spaced = tag in _SPACED and not (tag in ("ul", "ol") and page.indent)
         page.space() if spaced else page.flush()
         if tag == "table":
-            _table(page, child)
+            yield _table(page, child)
         elif tag in ("pre", "xmp"):
-            _lay(page, child, True)
+            yield _lay(page, child, True)
             if page.open:
                 page.emit("".join(page.open))
                 page.open.clear()
         elif tag in ("ul", "ol", "menu", "dir"):
-            _list(page, child, pre)
+            yield _list(page, child, pre)
         elif tag == "li":
-            _item(page, child, "- ", pre)
+            yield _item(page, child, "- ", pre)
         elif tag in ("blockquote", "dd"):
-            kept, page.indent = page.indent, page.indent + "  "
-            _lay(page, child, pre)
+            kept, page.indent = page.indent, (page.indent + "  ")[:MAX_INDENT]
+            yield _lay(page, child, pre)
             page.flush()
             page.indent = kept
         else:
-            _lay(page, child, pre)
+            yield _lay(page, child, pre)
         page.space() if spaced else page.flush()
 
 
-def _list(page: Page, node: Node, pre: bool) -> None:
+def _list(page: Page, node: Node, pre: bool) -> Iterator:
     number, step = _number(node.get("start"), 1), -1 if node.get("reversed") is not None else 1
     for child in node.children:
         if isinstance(child, Node) and child.tag == "li":
             if child.visible():
                 number = _number(child.get("value"), number)
-                _item(page, child, f"{number}. " if node.tag == "ol" else "- ", pre)
+                yield _item(page, child, f"{number}. " if node.tag == "ol" else "- ", pre)
                 number += step
         else:
             holder = Node("#part")
             holder.children.append(child)
-            _lay(page, holder, pre)
+            yield _lay(page, holder, pre)
     page.flush()
 
 
-def _item(page: Page, node: Node, marker: str, pre: bool) -> None:
+def _item(page: Page, node: Node, marker: str, pre: bool) -> Iterator:
     page.flush()
-    kept, page.indent, page.marker = page.indent, page.indent + " " * len(marker), marker
-    _lay(page, node, pre)
+    kept, page.indent, page.marker = page.indent, (page.indent + " " * len(marker))[:MAX_INDENT], marker
+    yield _lay(page, node, pre)
     page.flush()
     page.indent, page.marker = kept, ""
 
@@ -290,7 +324,10 @@ def _rows(table: Node) -> Iterator[Node | str]:
         yield loose
 
 
-def _table(page: Page, table: Node) -> None:
+def _table(page: Page, table: Node) -> Iterator:
+    if page.depth >= MAX_TABLES:
+        yield _lay(page, table)
+        return
     grid: list[list[tuple[list[str], int]]] = []
     down: dict[int, int] = {}
     for row in _rows(table):
@@ -298,7 +335,7 @@ def _table(page: Page, table: Node) -> None:
             if isinstance(row, str) or row.visible():
                 holder = Node("#part")
                 holder.children.append(row)
-                _lay(page, holder)
+                yield _lay(page, holder)
                 page.flush()
             continue
         if not row.visible():
@@ -311,10 +348,10 @@ def _table(page: Page, table: Node) -> None:
                 down[column] -= 1
                 cells.append(([], 1))
                 column += 1
-            inner = Page()
+            inner = Page(page.depth + 1)
             holder = Node("#part")
             holder.children = cell.children if isinstance(cell, Node) and cell.tag in _CELLS else [cell]
-            _lay(inner, holder)
+            yield _lay(inner, holder)
             inner.flush()
             known = isinstance(cell, Node)
             span = max(1, min(1000, _number(cell.get("colspan"), 1))) if known else 1
@@ -352,7 +389,7 @@ def render(html: str | None) -> str:
     if not html:
         return ""
     page = Page()
-    _lay(page, build(html))
+    _run(_lay(page, build(html)))
     page.flush()
     while page.lines and not page.lines[-1]:
         page.lines.pop()
@@ -365,8 +402,8 @@ def extract(pages: DataFrame) -> DataFrame:
     Needs page_id and html; other columns are ignored. Null and empty pages
     give an empty text; plain text is laid out as one block; unclosed tags and
     comments end with the page. Repeated rows and null ids pass; whole pages
-    are read; nesting beyond MAX_DEPTH is flattened without losing text. An
-    empty table gives no rows.
+    are read, at any depth of nesting. Formulas and the labels of pictures are
+    text. An empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
