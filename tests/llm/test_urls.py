@@ -58,3 +58,15 @@ def test_alike_branches_pool_their_labels(spark):
     got = {r.template: (r.branch, round(r.purity, 4)) for r in urls.judged_templates(urls.template_tree(frame)).collect()}
     assert got["/a"] == got["/b"] and got["/a"][1] == round((17 + 1) / (18 + 4), 4)
     assert got["/c"][1] == round(1 / 13, 4)
+
+
+def verdicts(spark, rows):
+    pages = spark.createDataFrame([(i, u, b) for i, (u, b) in enumerate(rows)], "page_id long, url string, bad int")
+    got = {r.page_id: r for r in urls.judge(pages, rules=(), label="bad").collect()}
+    return [(u, got[i].verdict, got[i].template) for i, (u, _) in enumerate(rows)]
+
+
+def test_labels_reach_templates_without_any(spark):
+    rows = [(f"http://h.test/spam/{b}", 1) for b in "abcdef" for _ in range(10)] + [(f"http://h.test/news/{b}", 0) for b in "abcdef" for _ in range(10)]
+    rows += [("http://h.test/spam/new", None), ("http://h.test/news/new", None), ("http://h.test/else", None), ("http://g.test/x", None)]
+    assert [v for _, v, _ in verdicts(spark, rows)[-4:]] == ["block", "allow", "allow", "allow"]

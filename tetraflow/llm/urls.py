@@ -8,10 +8,12 @@ branches below one parent are merged where they are statistically alike: both
 carry labels and their shares of bad labels differ by less than a two-proportion
 z-test can tell. A template is rejected if the lower bound of its smoothed
 purity, (bad + a) / (labelled + a + b) less one standard error, reaches the
-threshold.
+threshold. A template without labels takes the evidence of its nearest
+ancestor, the host at last, that has some.
 
 Labels: a column of the caller's (1 bad, 0 good, null unknown); where there is
-none, the urls on which a rule decides are the labelled rows.
+none, the urls on which a rule decides are the labelled rows. Rules choose by
+path, so these say nothing of other paths and don't reach templates without labels.
 
 Skew: all urls of a host collapse to raw templates by partial aggregation
 before the first shuffle; the levels work on templates only. Only rejected
@@ -88,13 +90,24 @@ def template_tree(urls: DataFrame) -> DataFrame:
     return tree
 
 
-def judged_templates(tree: DataFrame, reject_at: float = REJECT_AT) -> DataFrame:
+def _inherited(leaf: DataFrame) -> DataFrame:
+    """(host, template, b0, m0): for each template without labels those of its nearest ancestor that has any below it."""
+    steps = F.split("template", "/", -1)
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(steps) - 1, F.lit(1))), lambda k: F.struct(k.alias("k"), F.array_join(F.slice(steps, 1, k), "/").alias("above")))
+    each = leaf.select("host", "template", "bad", "labelled", F.inline(above))
+    known = each.where("labelled > 0").groupBy("host", "above").agg(F.sum("bad").alias("b0"), F.sum("labelled").alias("m0"))
+    near = each.where("labelled = 0").join(known, ["host", "above"]).groupBy("host", "template").agg(F.max(F.struct("k", "b0", "m0")).alias("x"))
+    return near.select("host", "template", "x.b0", "x.m0")
+
+
+def judged_templates(tree: DataFrame, reject_at: float = REJECT_AT, inherit: bool = True) -> DataFrame:
     """(host, template, branch, purity, rejected): templates with the merged evidence of branches alike.
 
     Below each parent, labelled templates are sorted by their share of bad
     labels; neighbours whose shares a two-proportion z-test cannot tell apart
     form one branch and pool their labels. A template without labels joins no
-    branch and keeps the prior.
+    branch; it has the purity of its nearest ancestor with labels, or the prior
+    if there is none or ``inherit`` is off.
     """
     leaf = tree.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "labelled")])
     leaf = leaf.withColumn("parent", F.regexp_extract("template", r"(?s)^(.*)/[^/]*$", 1))
@@ -109,6 +122,8 @@ def judged_templates(tree: DataFrame, reject_at: float = REJECT_AT) -> DataFrame
     branch = branch.select("host", "template", "branch", F.sum("bad").over(pool).alias("b"), F.sum("labelled").over(pool).alias("m"))
     total = F.coalesce("m", F.lit(0)) + PRIOR_BAD + PRIOR_GOOD
     purity = (F.coalesce("b", F.lit(0)) + PRIOR_BAD) / total
+    if inherit:
+        branch = branch.unionByName(_inherited(leaf).select("host", "template", F.lit(None).cast("long").alias("branch"), F.col("b0").alias("b"), F.col("m0").alias("m")))
     out = leaf.select("host", "template").join(branch, ["host", "template"], "left").withColumn("purity", purity)
     return out.select("host", "template", "branch", "purity", (purity - F.sqrt(purity * (1 - purity) / total) >= reject_at).alias("rejected"))
 
@@ -129,7 +144,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, lab
     base = base.withColumn("rule", rule).withColumn("by_rule", verdict).withColumn("raw", _raw_segments(F.col("path"), DEPTH))
     bad = F.col("label") if label else F.when(F.col("by_rule") == "block", 1).when(F.col("by_rule") == "allow", 0)
     tree = template_tree(base.select("host", "raw", bad.alias("bad")))
-    rejected = judged_templates(tree, reject_at).where("rejected").select("host", "template")
+    rejected = judged_templates(tree, reject_at, inherit=label is not None).where("rejected").select("host", "template")
     reject = tree.join(rejected, ["host", "template"]).select("host", "raw", "template")
     key = F.concat_ws("/", "raw")
     reject = reject.select("host", key.alias("k"), "template")
