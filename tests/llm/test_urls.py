@@ -70,3 +70,18 @@ def test_labels_reach_templates_without_any(spark):
     rows = [(f"http://h.test/spam/{b}", 1) for b in "abcdef" for _ in range(10)] + [(f"http://h.test/news/{b}", 0) for b in "abcdef" for _ in range(10)]
     rows += [("http://h.test/spam/new", None), ("http://h.test/news/new", None), ("http://h.test/else", None), ("http://g.test/x", None)]
     assert [v for _, v, _ in verdicts(spark, rows)[-4:]] == ["block", "allow", "allow", "allow"]
+
+
+def test_rare_children_beside_a_hot_one(spark):
+    slug = lambda i: "".join("abcdefghij"[int(d)] for d in str(i))
+    rows = [("http://h.test/hot", 0)] * 500 + [(f"http://h.test/{slug(100 + i)}", 1 if i % 2 else None) for i in range(80)]
+    for u, verdict, template in verdicts(spark, rows):
+        assert (verdict, template) == (("allow", None) if u.endswith("/hot") else ("block", "/*")), u
+
+
+def test_subtrees_below_the_fifth_segment(spark):
+    rows = [(f"http://h.test/a/b/c/d/e/{x}/{i}", bad) for x, bad in (("spam", 1), ("news", 0)) for i in range(30)]
+    rows += [(f"http://g.test/a/b/c/d/e/{x}/y/{i}", 1) for x in ("p", "q") for i in range(30)]
+    for u, verdict, template in verdicts(spark, rows):
+        expected = ("block", "/a/b/c/d/e/spam/**") if "spam" in u else ("block", "/a/b/c/d/e/**") if "g.test" in u else ("allow", None)
+        assert (verdict, template) == expected, u

@@ -2,8 +2,10 @@
 
 The tree. Each url becomes a host and path segments. Segments that look like
 identifiers (numbers, hexadecimal, dates, long mixed strings) turn into ``*``
-at once, so what is grouped is a raw template, not a url. Level by level, a
-parent whose children are many and rare has them all turned into ``*``. Then
+at once, so what is grouped is a raw template, not a url. Level by level, the
+rare children of a parent turn into ``*`` where they are many; frequent ones
+stay as they are. Below DEPTH a subtree ends in ``**`` where its labels are all
+bad, all good or none, as deeper levels add nothing there. Then
 branches below one parent are merged where they are statistically alike: both
 carry labels and their shares of bad labels differ by less than a two-proportion
 z-test can tell. A template is rejected if the lower bound of its smoothed
@@ -63,31 +65,47 @@ def explicit_rule(host: Column, path: Column, rules: tuple[tuple[str, str, str],
     return rule, verdict
 
 
-def _raw_segments(path: Column, depth: int) -> Column:
+def _raw_segments(path: Column, depth: int | None = None) -> Column:
     parts = F.filter(F.split(path, "/", -1), lambda s: s != "")
-    parts = F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth), F.array(F.lit("**")))).otherwise(parts)
+    if depth is not None:
+        parts = F.when(F.size(parts) > depth, F.concat(F.slice(parts, 1, depth), F.array(F.lit("**")))).otherwise(parts)
     return F.transform(parts, lambda s: F.when(s.rlike(_VARIABLE), "*").otherwise(s))
 
 
 def template_tree(urls: DataFrame) -> DataFrame:
     """(host, raw, template, n, bad, labelled) for each raw template of ``urls`` (host, raw, bad).
 
-    ``raw`` is an array of segments, ``bad`` 1, 0 or null. Children of a parent
-    turn into ``*`` if there are MANY_CHILDREN or more and the most frequent
-    has RARE_SHARE of its urls at most.
+    ``raw`` is an array of segments, ``bad`` 1, 0 or null. A child is frequent
+    if it has more than RARE_SHARE of its parent's urls, or of those that such
+    children leave; MANY_CHILDREN or more that are not turn into ``*``.
     """
     tree = urls.groupBy("host", "raw").agg(F.count("*").alias("n"), F.sum(F.coalesce("bad", F.lit(0))).alias("bad"), F.count("bad").alias("labelled"))
-    tree = stage(tree.withColumn("template", F.lit("")), "url-tree")
-    for level in range(tree.agg(F.max(F.size("raw"))).first()[0] or 0):
+    tree = stage(tree.withColumn("template", F.lit("")).withColumn("open", F.lit(True)), "url-tree")
+    node, level = ["host", "template"], 0
+    while True:
         segment = F.get("raw", F.lit(level))
-        child = tree.where(segment.isNotNull()).groupBy("host", "template", segment.alias("segment")).agg(F.sum("n").alias("n"))
-        stats = child.groupBy("host", "template").agg(F.count("*").alias("children"), F.max("n").alias("most"), F.sum("n").alias("all"))
-        loose = stats.where((F.col("children") >= MANY_CHILDREN) & (F.col("most") <= RARE_SHARE * F.col("all"))).select("host", "template", F.lit(True).alias("loose"))
-        tree = tree.join(loose, ["host", "template"], "left")
-        named = F.when(F.col("loose"), "*").otherwise(segment)
-        tree = tree.withColumn("template", F.when(segment.isNotNull(), F.concat("template", F.lit("/"), named)).otherwise(F.col("template"))).drop("loose")
-        tree = stage(tree, "url-tree")  # each level reads the one before twice
-    return tree
+        below = tree.where(F.col("open") & segment.isNotNull())
+        if below.isEmpty():
+            return tree.drop("open")
+        if level >= DEPTH:
+            mixed = below.groupBy(*node).agg(F.sum("bad").alias("b"), F.sum("labelled").alias("m")).where("b > 0 and b < m").select(*node, F.lit(True).alias("mixed"))
+            tree = tree.join(mixed, node, "left")
+            ends = F.col("open") & segment.isNotNull() & F.col("mixed").isNull()
+            tree = tree.withColumn("template", F.when(ends, F.concat("template", F.lit("/**"))).otherwise(F.col("template"))).withColumn("open", F.col("open") & ~ends).drop("mixed")
+            tree = stage(tree, "url-tree")
+            below = tree.where(F.col("open") & segment.isNotNull())
+        child = below.groupBy(*node, segment.alias("segment")).agg(F.sum("n").alias("n"))
+        many = child.groupBy(*node).agg(F.count("*").alias("children"), F.sum("n").alias("all")).where(F.col("children") >= MANY_CHILDREN)
+        child = child.join(many.drop("children"), node).withColumn("few", F.col("n") <= RARE_SHARE * F.col("all"))
+        rest = child.groupBy(*node).agg(F.sum(F.when(F.col("few"), F.col("n")).otherwise(0)).alias("rest"))
+        rare = F.col("few") & (F.col("n") <= RARE_SHARE * F.col("rest"))
+        loose = child.join(rest, node).groupBy(*node).agg(F.count_if(rare).alias("rare"), F.collect_list(F.when(~rare, F.col("segment"))).alias("frequent"))  # 40 of them at most
+        tree = tree.join(loose.where(F.col("rare") >= MANY_CHILDREN).select(*node, "frequent"), node, "left")
+        named = F.when(F.col("frequent").isNotNull() & ~F.array_contains("frequent", segment), "*").otherwise(segment)
+        here = F.col("open") & segment.isNotNull()
+        tree = tree.withColumn("template", F.when(here, F.concat("template", F.lit("/"), named)).otherwise(F.col("template"))).drop("frequent")
+        tree = stage(tree, "url-tree")  # each level reads the one before several times
+        level += 1
 
 
 def _inherited(leaf: DataFrame) -> DataFrame:
@@ -141,7 +159,7 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, lab
     marked = F.col(label).cast("int") if label else F.lit(None).cast("int")
     base = pages.select("page_id", host.alias("host"), path.alias("path"), marked.alias("label"))
     rule, verdict = explicit_rule(F.col("host"), F.col("path"), rules)
-    base = base.withColumn("rule", rule).withColumn("by_rule", verdict).withColumn("raw", _raw_segments(F.col("path"), DEPTH))
+    base = base.withColumn("rule", rule).withColumn("by_rule", verdict).withColumn("raw", _raw_segments(F.col("path")))
     bad = F.col("label") if label else F.when(F.col("by_rule") == "block", 1).when(F.col("by_rule") == "allow", 0)
     tree = template_tree(base.select("host", "raw", bad.alias("bad")))
     rejected = judged_templates(tree, reject_at, inherit=label is not None).where("rejected").select("host", "template")
