@@ -62,3 +62,11 @@ def test_rows_that_share_a_doc_id_are_judged_each_for_itself(spark):
     for block_items in (1, 100):
         assert sorted(r.n for r in decontam.keep_clean(docs, bench, block_items=block_items).collect()) == [2, 4, 5]
     assert decontam.keep_clean(docs, bench.limit(0)).count() == 6 and decontam.keep_clean(docs.limit(0), bench).count() == 0
+
+
+def test_short_items_are_found_exactly():
+    words = [f"w{i}" for i in range(12_000)]
+    items = [(i, " ".join(words[i : i + 5 + i % 4])) for i in range(0, 11_990, 3)]
+    block = decontam.Items(items, 2)  # so few minima that windows would miss most
+    found = {i for _, i, *_ in block.matches(["w0 w1 w2", " ".join(words), "w1"], 0.8)}
+    assert found == {i for i, _ in items}

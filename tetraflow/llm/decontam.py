@@ -6,7 +6,9 @@ and for each size class documents are seen as overlapping windows about as
 long as the class's items: an item that stands in a document fills a good part
 of some window. With Jaccard similarity s of window and item, K independent
 minima miss with probability (1 - s)**K; an item of which 0.8 stands in one
-place has s of 0.19 at least, so K = 64 misses one in 700,000.
+place has s of 0.19 at least, so K = 64 misses one in 700,000. That holds from
+five shingles on; shorter items must be there whole and are looked up exactly,
+by the hashes of their shingles among all of a document's.
 
 1. Each item's K minimum hashes over its shingles (five words) form its
    signature; a block of items, bounded in number, is what a pass compares.
@@ -34,6 +36,7 @@ from tetraflow.llm._vector import rolling, word_hashes, word_spans
 SHINGLE, CONTAINMENT, MINIMA = 5, 0.8, 64
 BLOCK_ITEMS, BLOCK_CHARS = 20_000, 20_000_000
 LEAST_RUN = 8
+EXACT_SHINGLES = 4
 BATCH_CHARS = 600_000
 _SEED = 31_337
 _LEAST_BITS, _MOST_BITS = 12, 18
@@ -95,6 +98,7 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str | None]], minima: int) -> None:
         self.ids, self.sets, self.minima = [], [], minima
+        self.short: dict[int, list[int]] = defaultdict(list)
         self.by_minimum: dict[int, list[dict[int, list[int]]]] = {}
         texts = Texts([t for _, t in rows])
         for i, (item_id, _) in enumerate(rows):
@@ -103,12 +107,17 @@ class Items:
             number = len(self.ids)
             self.ids.append(item_id)
             self.sets.append(texts.exact(i))
+            if len(self.sets[-1]) <= EXACT_SHINGLES:
+                for one in set(texts.own(i).tolist()):  # any of them, as a lower containment may ask for only one
+                    self.short[one].append(number)
+                continue
             tables = self.by_minimum.setdefault(self.run_of(len(self.sets[-1])), [defaultdict(list) for _ in range(minima)])
             for k in range(minima):
                 tables[k][int(permuted(texts.own(i), k).min())].append(number)
         # a filter before the tables, by the leading bits of a minimum; small, so that it stays in the processor's cache
         self.shift = np.uint64(64 - min(_MOST_BITS, max(_LEAST_BITS, (64 * len(self.ids)).bit_length())))
         self.bitmaps = {run: np.stack([self._bitmap(t) for t in tables]) for run, tables in self.by_minimum.items()}
+        self.short_bits = self._bitmap(self.short)
 
     @staticmethod
     def run_of(size: int) -> int:
@@ -123,6 +132,15 @@ class Items:
     def candidates(self, texts: Texts) -> dict[int, set[int]]:
         """For each text the numbers of the items whose signature shares a minimum with a window of their class."""
         found: dict[int, set[int]] = defaultdict(set)
+        if self.short and len(texts.shingles):
+            for at in np.flatnonzero(self.short_bits[texts.shingles >> self.shift]).tolist():
+                hit = self.short.get(int(texts.shingles[at]))
+                if hit:
+                    i = int(np.searchsorted(texts.bounds, at, side="right")) - 1
+                    if at < texts.bounds[i] + texts.counts[i]:  # else it crosses into the next text
+                        found[i].update(hit)
+        if not self.by_minimum:
+            return found
         runs = Runs(texts, sorted(self.by_minimum))
         if not len(runs.text):
             return found
