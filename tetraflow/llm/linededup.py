@@ -1,10 +1,11 @@
-"""Line dedup by winnowing over line hashes, in DataFrame functions only.
+"""Line dedup by hashes of all line windows, in DataFrame functions only.
 
 A document is the sequence of its lines that hold a word. With a run length t,
-every window of t lines selects as its fingerprint the smallest line hash in
-it, so two equal windows always select the same fingerprint at the same place:
-no repeated run of t lines or more is missed. Windows meet by fingerprint and
-window hash; the first one in (doc_id, row, line) order is the original. A
+every window of t lines is hashed; none is left out, so no repeated run of t
+lines or more is missed. This stands for winnowing, which would select windows
+by their smallest line hash: at runs this short it saves little, and needs
+matches joined in pairs and extended. Windows meet by their smallest line hash
+and window hash; the first one in (doc_id, row, line) order is the original. A
 later window's lines are deleted; windows that touch or overlap join, so a
 match reaches as far both ways as the texts agree.
 
