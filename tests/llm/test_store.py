@@ -82,3 +82,14 @@ def test_neighbours_do_not_change_a_document_s_cuts():
 def test_merkle_roots_tell_order_and_number():
     a, b, c = b"a", b"b", b"c"
     assert len({store.merkle(x) for x in ([], [a], [a, b], [b, a], [a, b, c], [a, b, b])}) == 6
+
+
+def test_lost_recipes_are_found(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(8)], "doc_id long, text string")
+    path = store.write(docs, PATH, path=f"{tmp_path}/lost")
+    recipes = spark.read.parquet(f"{path}/recipes")
+    rows, schema = recipes.collect(), recipes.schema
+    for kept in ([r for r in rows if r.doc_id != 3], [r for r in rows if r.file != rows[0].file]):
+        spark.createDataFrame(kept, schema).write.mode("overwrite").parquet(f"{path}/recipes")
+        with pytest.raises(ValueError, match="manifest"):
+            store.verify(spark, path)

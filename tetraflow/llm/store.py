@@ -180,13 +180,18 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = END_ID, path: str | No
     ordered.mapInArrow(recipe, "doc_id long, row long, n_tokens long, digests array<binary>, file int, start_in_file long, root binary").write.option("compression", "zstd").parquet(f"{path}/recipes")
 
     recipes = spark.read.parquet(f"{path}/recipes")
-    roots = F.transform(F.array_sort(F.collect_list(F.struct("start_in_file", "row", "root"))), lambda s: s["root"])
-    files = recipes.groupBy("file").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_docs"), F.sha2(F.concat_ws("", F.transform(roots, F.hex)), 256).alias("root"))
+    files = _file_roots(recipes)
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per recipe file
     files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).withColumn("id_bytes", F.lit(width)).coalesce(1).write.parquet(f"{path}/manifest")
     return path
 
 
+def _file_roots(recipes: DataFrame) -> DataFrame:
+    """(file, n_tokens, n_docs, root): what the manifest says of each recipe file."""
+    roots = F.transform(F.array_sort(F.collect_list(F.struct("start_in_file", "row", "root"))), lambda s: s["root"])
+    return recipes.groupBy("file").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_docs"), F.sha2(F.concat_ws("", F.transform(roots, F.hex)), 256).alias("root"))
+
+
 def _width(vocabulary: str) -> int:
     return encoder(vocabulary).size
 
@@ -236,11 +241,16 @@ def join_crcs(crcs: np.ndarray, sizes: np.ndarray, firsts: np.ndarray) -> np.nda
 def verify(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, read back from the files.
 
-    Raises, in the job, if a chunk does not match its name, a recipe names a
+    Raises if a recipe file is missing or its root, documents or tokens differ
+    from the manifest; in the job, if a chunk does not match its name, a recipe names a
     missing chunk, or a document's Merkle root does not match its recipe.
     """
     width = spark.read.parquet(f"{path}/manifest").agg(F.max("id_bytes")).first()[0] or 4
     stored = np.dtype("<u2" if width == 2 else "<u4")
+    said, found = spark.read.parquet(f"{path}/manifest").select("file", "n_tokens", "n_docs", "root"), _file_roots(spark.read.parquet(f"{path}/recipes"))
+    bad = said.exceptAll(found).select("file").union(found.exceptAll(said).select("file")).first()
+    if bad:
+        raise ValueError(f"recipe file {bad[0]} does not match the manifest")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
