@@ -22,7 +22,7 @@ LS_VALUE = 200_000.0
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _ORACLES: dict[str, str] = {}
 
-#: The lattice in SQL: m, vertices vtx, tetra tet, their faces fac, distinct faces adj, edges edg.
+#: The lattice in SQL: m, vertices vtx, tetra tet, their faces fac, distinct faces adj, the same with their two sides sid, edges edg.
 LATTICE = """
 WITH m AS (SELECT max(g) AS m FROM range(1, 3000) t(g), (SELECT count(*) AS c FROM orders) n WHERE g * g * g <= n.c),
 vtx AS (SELECT o_orderkey AS vid, o_orderkey % m AS i, (o_orderkey // m) % m AS j, o_orderkey // (m * m) AS k, o_totalprice AS val,
@@ -37,6 +37,8 @@ fac AS (SELECT tid, ref, part, block, ifac, least(a, b, c) AS f0, a + b + c - le
   SELECT tid, ref, part, block, 0 AS ifac, v1 AS a, v2 AS b, v3 AS c FROM tet UNION ALL SELECT tid, ref, part, block, 1, v0, v3, v2 FROM tet
   UNION ALL SELECT tid, ref, part, block, 2, v0, v1, v3 FROM tet UNION ALL SELECT tid, ref, part, block, 3, v0, v2, v1 FROM tet) u),
 adj AS (SELECT f0, f1, f2, count(*) AS n, min(tid) AS ta, max(tid) AS tb FROM fac GROUP BY f0, f1, f2),
+sid AS MATERIALIZED (SELECT f0, f1, f2, count(*) AS n, min(tid) AS ta, max(tid) AS tb, arg_min(ifac, tid) AS ia, arg_max(ifac, tid) AS ib,
+  arg_min(part, tid) AS pa, arg_max(part, tid) AS pb, arg_min(block, tid) AS ba, arg_max(block, tid) AS bb FROM fac GROUP BY f0, f1, f2),
 edg AS (SELECT least(a, b) AS a, greatest(a, b) AS b, tid, part, block, ref FROM (
   SELECT v0 AS a, v1 AS b, tid, part, block, ref FROM tet UNION ALL SELECT v0, v2, tid, part, block, ref FROM tet UNION ALL SELECT v0, v3, tid, part, block, ref FROM tet
   UNION ALL SELECT v1, v2, tid, part, block, ref FROM tet UNION ALL SELECT v1, v3, tid, part, block, ref FROM tet UNION ALL SELECT v2, v3, tid, part, block, ref FROM tet) u),
@@ -107,7 +109,8 @@ def face_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.face_adjacency(lattice(spark, sf_dir)[1]).select("f0", "f1", "f2", "n", F.col("a.tid").alias("tid_a"), F.col("b.tid").alias("tid_b"))
 
 
-@_query("neighbours", "SELECT f.tid, f.ifac, g.tid AS tid_n, g.ifac AS ifac_n FROM fac f LEFT JOIN fac g ON f.f0 = g.f0 AND f.f1 = g.f1 AND f.f2 = g.f2 AND f.tid <> g.tid")
+@_query("neighbours", """
+SELECT ta AS tid, ia AS ifac, CASE WHEN n = 2 THEN tb END AS tid_n, CASE WHEN n = 2 THEN ib END AS ifac_n FROM sid UNION ALL SELECT tb, ib, ta, ia FROM sid WHERE n = 2""")
 def neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.neighbours(lattice(spark, sf_dir)[1])
 
@@ -136,12 +139,13 @@ def interface_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_query("interface_edges", """
-, te AS (SELECT DISTINCT block AS part, a, b FROM edg) SELECT 'edge' AS kind, p.part AS part_in, q.part AS part_out, a, b FROM te p JOIN te q USING (a, b) WHERE p.part <> q.part""")
+, te AS (SELECT a, b, list(DISTINCT block) AS ps FROM edg GROUP BY a, b HAVING min(block) < max(block)), one AS (SELECT a, b, ps, unnest(ps) AS part_in FROM te)
+SELECT 'edge' AS kind, part_in, unnest(list_filter(ps, lambda q: q <> part_in)) AS part_out, a, b FROM one""")
 def interface_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.interface_edges(lattice(spark, sf_dir)[1], "block")
 
 
-_IFACE = "SELECT f.f0, f.f1, f.f2, f.block AS part_in, g.block AS part_out, f.tid AS tid_in, g.tid AS tid_out FROM fac f JOIN fac g ON f.f0 = g.f0 AND f.f1 = g.f1 AND f.f2 = g.f2 WHERE f.block <> g.block"
+_IFACE = "SELECT f0, f1, f2, ba AS part_in, bb AS part_out, ta AS tid_in, tb AS tid_out FROM sid WHERE n = 2 AND ba <> bb UNION ALL SELECT f0, f1, f2, bb, ba, tb, ta FROM sid WHERE n = 2 AND ba <> bb"
 
 
 @_query("interface_faces", _IFACE)
@@ -149,7 +153,7 @@ def interface_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.interface_faces(lattice(spark, sf_dir)[1], "block")
 
 
-@_query("faces_from_nodes", "SELECT f.f0 AS g0, f.f1 AS g1, f.f2 AS g2, f.part AS part_in, g.part AS part_out FROM fac f JOIN fac g ON f.f0 = g.f0 AND f.f1 = g.f1 AND f.f2 = g.f2 WHERE f.part <> g.part")
+@_query("faces_from_nodes", "SELECT f0 AS g0, f1 AS g1, f2 AS g2, pa AS part_in, pb AS part_out FROM sid WHERE n = 2 AND pa <> pb UNION ALL SELECT f0, f1, f2, pb, pa FROM sid WHERE n = 2 AND pa <> pb")
 def faces_from_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Interface faces rebuilt from interface nodes alone; each part's own boundary triangles are the candidates."""
     _, tetra, _ = lattice(spark, sf_dir)
@@ -295,7 +299,7 @@ def dual_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partition.dual_graph(lattice(spark, sf_dir)[1])
 
 
-@_query("group_graph", "SELECT f.block AS group_a, g.block AS group_b, count(*) AS weight FROM fac f JOIN fac g ON f.f0 = g.f0 AND f.f1 = g.f1 AND f.f2 = g.f2 WHERE f.block < g.block GROUP BY f.block, g.block")
+@_query("group_graph", "SELECT least(ba, bb) AS group_a, greatest(ba, bb) AS group_b, count(*) AS weight FROM sid WHERE n = 2 AND ba <> bb GROUP BY ALL")
 def group_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     return partition.group_graph(lattice(spark, sf_dir)[1], "block")
 
@@ -601,7 +605,7 @@ def triangle_tetra(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topology.triangle_tetra(triangles, lattice(spark, sf_dir)[1]).select("fid", "tid", "ifac")
 
 
-@_query("interface_marks", ", c AS (SELECT f.tid, count(*) AS n FROM fac f JOIN fac g ON f.f0 = g.f0 AND f.f1 = g.f1 AND f.f2 = g.f2 WHERE f.part <> g.part GROUP BY f.tid) SELECT t.tid, 1 + coalesce(n, 0) AS mark FROM tet t LEFT JOIN c USING (tid)")
+@_query("interface_marks", ", c AS (SELECT tid, count(*) AS n FROM (SELECT unnest([ta, tb]) AS tid FROM sid WHERE n = 2 AND pa <> pb) u GROUP BY tid) SELECT t.tid, 1 + coalesce(n, 0) AS mark FROM tet t LEFT JOIN c USING (tid)")
 def interface_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, tetra, _ = lattice(spark, sf_dir)
     return tags.interface_marks(tetra, topology.interface_faces(tetra))
@@ -653,7 +657,7 @@ def medit_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.join(t, "part").select("part", "n_vertices", "n_tetra", "sum_x")
 
 
-_CUT_FACES = ", cutf AS (SELECT DISTINCT f.f0, f.f1, f.f2 FROM fac f JOIN fac g ON f.f0 = g.f0 AND f.f1 = g.f1 AND f.f2 = g.f2 WHERE f.part <> g.part)"
+_CUT_FACES = ", cutf AS (SELECT f0, f1, f2 FROM sid WHERE n = 2 AND pa <> pb)"
 
 
 @_query("parallel_edges", "SELECT DISTINCT unnest([f0, f0, f1]) AS a, unnest([f1, f2, f2]) AS b FROM cutf", _CUT_FACES)
