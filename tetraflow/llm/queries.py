@@ -33,13 +33,14 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_linededup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per document: its lines, the numbers of those deleted, and the SHA-256 of what is left (null text: empty). Runs of two lines, as its SQL has them."""
+    """Per document: its lines, the numbers of those deleted, and the SHA-256 of what is left (null text: empty)."""
     from pyspark.sql import functions as F
 
-    from tetraflow.llm.linededup import SQL_RUN, delete_later_runs
+    from tetraflow.llm.linededup import delete_later_runs
 
-    left = delete_later_runs(_table(spark, sf_dir, "documents"), SQL_RUN)
-    return left.select("doc_id", F.col("__lines").cast("long").alias("n_lines"), F.size("__gone").cast("long").alias("n_deleted"), F.array_join(F.col("__gone").cast("array<string>"), ",").alias("deleted"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    left = delete_later_runs(_table(spark, sf_dir, "documents"), report="lines")
+    gone = F.col("lines.gone")
+    return left.select("doc_id", F.col("lines.n_lines").cast("long").alias("n_lines"), F.size(gone).cast("long").alias("n_deleted"), F.array_join(gone.cast("array<string>"), ",").alias("deleted"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
 def op5_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
