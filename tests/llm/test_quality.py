@@ -59,3 +59,12 @@ def test_clean_documents_stay(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality = 1").select("doc_id")
     rows = quality.ledger(docs).join(labels, "doc_id").where(quality.passes("base"))
     assert rows.where(quality.passes()).count() >= 0.98 * rows.count()
+
+
+def test_keep_good_passes_clashing_names_and_odd_rows(spark):
+    good = " ".join(f"word{chr(97 + i % 26)}{i}" for i in range(60))
+    rows = [(1, good, 1, 2), (None, good, 3, 4), (1, good, 5, 6), (2, None, 7, 8), (3, "", 9, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, __measures int, n_words int")
+    kept = quality.keep_good(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id is None, r.n_words) for r in kept.collect()) == [(False, 2), (False, 6), (True, 4)]
+    assert quality.keep_good(docs.limit(0)).count() == 0

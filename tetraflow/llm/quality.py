@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tetraflow.llm._shared import slices
+from tetraflow.llm._shared import slices, unused
 
 #: Rules in the order of their bits: name, and when it fails on the ledger's measurements.
 RULES: dict[str, str] = {
@@ -96,10 +96,16 @@ def ledger(docs: DataFrame) -> DataFrame:
 
     schema = "doc_id long, " + ", ".join(f"{x} long" for x in _MEASURES)
     measured = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return measured.withColumn("failed_bits", failed_bits())
+
+
+def failed_bits(within: str | None = None) -> Column:
+    """The bits of the rules that a row's measurements fail; ``within`` names a struct column that holds them."""
     bits = F.lit(0)
     for name, fails in RULES.items():
-        bits = bits.bitwiseOR(F.when(F.expr(fails), F.lit(BITS[name])).otherwise(F.lit(0)))
-    return measured.withColumn("failed_bits", bits)
+        rule = re.sub(r"\b(n_\w+|word_chars)\b", rf"`{within}`.\1", fails) if within else fails
+        bits = bits.bitwiseOR(F.when(F.expr(rule), F.lit(BITS[name])).otherwise(F.lit(0)))
+    return bits
 
 
 def passes(version: str = CURRENT, bits: str = "failed_bits") -> Column:
@@ -120,24 +126,22 @@ def ablations(rows: DataFrame, version: str = CURRENT) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, version: str = CURRENT) -> DataFrame:
-    """The rows of ``docs`` that pass the policy, with all their columns.
+    """The rows of ``docs`` that pass the policy, with all their columns, whatever their names.
 
-    The measurements ride beside the row, so null and repeated ids do no harm
-    and nothing is shuffled.
+    The ledger's measurements and bits ride beside the row, so null and
+    repeated ids do no harm and nothing is shuffled. A null text is an empty
+    one, which fails too_few_words; an empty table stays empty.
     """
     columns = docs.columns
+    measured_at, bits_at = unused(docs, "__measures", "__bits")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 512):
             rows = [measure(x) for x in batch.column(batch.num_columns - 1).to_pylist()]
             made = [pa.array(x, pa.int64()) for x in zip(*rows)] or [pa.array([], pa.int64())] * len(_MEASURES)
             measured = pa.StructArray.from_arrays(made, list(_MEASURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], measured], [*columns, "__m"])
-
-    schema = T.StructType([*docs.schema.fields, T.StructField("__m", T.StructType([T.StructField(x, T.LongType()) for x in _MEASURES]))])
-    measured = docs.select("*", F.col("text").alias("__m")).mapInArrow(run, schema)
-    fails = F.lit(False)
-    for name, rule in RULES.items():
-        if POLICIES[version] & BITS[name]:
-            fails = fails | F.expr(re.sub(r"\b(n_\w+|word_chars)\b", r"__m.\1", rule))
-    return measured.where(~fails).select(*columns)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], measured], [*columns, measured_at])
+
+    schema = T.StructType([*docs.schema.fields, T.StructField(measured_at, T.StructType([T.StructField(x, T.LongType()) for x in _MEASURES]))])
+    measured = docs.select("*", F.col("text").alias(measured_at)).mapInArrow(run, schema)
+    return measured.withColumn(bits_at, failed_bits(measured_at)).where(passes(version, bits_at)).select(*columns)
