@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tetraflow.llm._shared import slices, stage
+from tetraflow.llm._shared import slices, stage, unused
 
 RADIUS = 2
 SHINGLE = 3
@@ -214,6 +214,7 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE) -> D
     the named one, as no row names them.
     """
     classes = _classes(docs, radius, shingle)
-    first = classes.groupBy("root", F.col("doc_id").isNull()).agg(F.min(F.struct("doc_id", "row"))["row"].alias("__row"))
-    keyed = docs.withColumn("__row", _row_key())
-    return keyed.join(first.select("__row"), "__row", "left_semi").dropDuplicates(["__row"]).select(*docs.columns)
+    (key,) = unused(docs, "__row")
+    first = classes.groupBy("root", F.col("doc_id").isNull()).agg(F.min(F.struct("doc_id", "row"))["row"].alias(key))
+    keyed = docs.withColumn(key, _row_key())
+    return keyed.join(first.select(key), key, "left_semi").dropDuplicates([key]).select(*docs.columns)
