@@ -12,7 +12,6 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 
 def expected(rows):
     whole = Tokenizer.from_file(PATH)
-    whole.encode_special_tokens = True
     out, start = [], 0
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = (whole.encode(text, add_special_tokens=False).ids if text else []) + [0]
@@ -40,7 +39,7 @@ def test_whole_table(spark, tmp_path):
 
 
 def test_odd_rows(spark, tmp_path):
-    rows = [(5, None), (2, ""), (3, "one two"), (None, "null id"), (4, "long text " * 30_000)]
+    rows = [(5, None), (2, ""), (3, "one two"), (6, "a<|endoftext|>b"), (None, "null id"), (4, "long text " * 30_000)]
     docs = spark.createDataFrame([(a, b, 1) for a, b in rows], "doc_id long, text string, row int")
     assert read(spark, docs, tmp_path, "b")[1] == expected(rows)
     twice = spark.createDataFrame([(1, "same"), (1, "same")], "doc_id long, text string")
@@ -93,3 +92,24 @@ def test_lost_recipes_are_found(spark, tmp_path):
         spark.createDataFrame(kept, schema).write.mode("overwrite").parquet(f"{path}/recipes")
         with pytest.raises(ValueError, match="manifest"):
             store.verify(spark, path)
+
+
+def test_a_lost_manifest_row_or_an_altered_root_is_found(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(8)], "doc_id long, text string")
+    path = store.write(docs, PATH, path=f"{tmp_path}/rows")
+    manifest = spark.read.parquet(f"{path}/manifest")
+    rows, schema = [r.asDict() for r in manifest.collect()], manifest.schema
+    for kept in (rows[1:], [rows[0] | {"root": "0" * 64}, *rows[1:]], [rows[0] | {"n_docs": 99}, *rows[1:]]):
+        spark.createDataFrame(kept, schema).write.mode("overwrite").parquet(f"{path}/manifest")
+        with pytest.raises(ValueError, match="manifest"):
+            store.verify(spark, path)
+
+
+def test_a_lost_chunk_is_found(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(8)], "doc_id long, text string")
+    path = store.write(docs, PATH, path=f"{tmp_path}/chunk")
+    chunks = spark.read.parquet(f"{path}/chunks")
+    kept, schema = chunks.where("ids is not null").collect()[1:], chunks.schema
+    spark.createDataFrame(kept, schema).write.mode("overwrite").parquet(f"{path}/chunks")
+    with pytest.raises(Exception, match="does not have"):
+        store.verify(spark, path).collect()

@@ -5,8 +5,9 @@ encodes independently of each other. No word crosses a space or line break
 that has no other white space beside it, so such a text is cut there and each
 distinct piece is encoded once by the tokenizers library, then looked up. The
 caches are bounded; when one is full, its first quarter stays, in which the
-frequent words are. What the library returns for the whole text is the same;
-tests compare them.
+frequent words are. A text that holds the string of an added token goes to the
+library whole. What the library returns for the whole text is the same; tests
+compare them.
 """
 
 from __future__ import annotations
@@ -57,7 +58,7 @@ class Encoder:
         from tokenizers.pre_tokenizers import ByteLevel
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [x.content for x in self.whole.get_added_tokens_decoder().values()]
         self.type = np.dtype("<u2" if self.whole.get_vocab_size() <= 65536 else "<u4")
         first = self.whole.pre_tokenizer
         self.by_word = isinstance(self.whole.model, BPE) and self.whole.normalizer is None and isinstance(first, ByteLevel) and first.use_regex and not first.add_prefix_space
@@ -87,7 +88,7 @@ class Encoder:
         """The ids of a text; none for null and empty ones."""
         if not text:
             return np.empty(0, dtype=self.type)
-        if not self.by_word:
+        if not self.by_word or any(x in text for x in self.added):  # the library cuts texts at its added tokens first
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=self.type)
         if _TWO_BLANKS.search(text):
             return np.frombuffer(self.fresh(text), dtype=self.type)

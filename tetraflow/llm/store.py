@@ -7,8 +7,9 @@ tokenised once; one exchange by digest brings equal chunks together, and
 ``chunks`` keeps the payload of each once. Its other rows, narrow and without
 a payload, say where the chunk stands; from those alone ``recipes`` is made:
 one row per document in ascending doc_id order, where it starts, its chunks'
-digests and the root of a Merkle tree over them. ``manifest`` has a digest of
-the roots of each recipe file.
+digests and the root of a Merkle tree over them. ``manifest`` carries the tree
+on: runs of GROUP documents, recipe files of FILE_DOCS at most, the store; it
+has a row for each file, with the roots of the file and the store.
 
 Reading. Every chunk file is read once and each chunk is held against its
 name; chunk lengths and CRCs meet the recipes as narrow rows, and a document's
@@ -32,7 +33,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tetraflow.llm._shared import shared_dir, slices
@@ -42,6 +43,8 @@ END_ID = 0
 ROLL, MEAN, LEAST, MOST = 16, 256, 64, 1024
 DIGEST_BYTES = 16
 TASK_DIGESTS = 1_000_000
+#: Documents below a node of the Merkle tree above theirs, and in a recipe file (a thousand such nodes).
+GROUP, FILE_DOCS = 4096, 4_000_000
 _GEAR = np.random.Generator(np.random.PCG64(77)).integers(0, 2**32, 65536, dtype=np.uint32)
 
 
@@ -164,32 +167,39 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = END_ID, path: str | No
 
     parts = staged.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("seq", "digest"))).alias("c"), F.sum("n_ids").alias("n_tokens"))
     ordered = parts.select("doc_id", "row", "n_tokens", F.col("c.digest").alias("digests"))
-    n_files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n_files = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-staged.where("seq = 0").count() // FILE_DOCS))
     ordered = ordered.repartitionByRange(n_files, F.col("doc_id").asc_nulls_first(), "row").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "row")
 
     def recipe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, start = TaskContext.get().partitionId(), 0
+        part, start, done = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
             n = np.array(batch.column(2).to_pylist(), dtype=np.int64)
             ends = start + np.cumsum(n)
             roots = [merkle(x) for x in batch.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(n), pa.int32()), pa.array(ends - n), pa.array(roots, pa.binary())], out)
-            start = int(ends[-1]) if len(n) else start
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([part] * len(n), pa.int32()), pa.array(np.arange(done, done + len(n))), pa.array(ends - n), pa.array(roots, pa.binary())], out)
+            start, done = int(ends[-1]) if len(n) else start, done + len(n)
 
-    out = ["doc_id", "row", "n_tokens", "digests", "file", "start_in_file", "root"]
-    ordered.mapInArrow(recipe, "doc_id long, row long, n_tokens long, digests array<binary>, file int, start_in_file long, root binary").write.option("compression", "zstd").parquet(f"{path}/recipes")
+    out = ["doc_id", "row", "n_tokens", "digests", "file", "pos", "start_in_file", "root"]
+    ordered.mapInArrow(recipe, "doc_id long, row long, n_tokens long, digests array<binary>, file int, pos long, start_in_file long, root binary").write.option("compression", "zstd").parquet(f"{path}/recipes")
 
-    recipes = spark.read.parquet(f"{path}/recipes")
-    files = _file_roots(recipes)
+    files = _file_roots(spark.read.parquet(f"{path}/recipes"))
     before = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)  # one row per recipe file
-    files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).withColumn("id_bytes", F.lit(width)).coalesce(1).write.parquet(f"{path}/manifest")
+    whole = Window.partitionBy()
+    files = files.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).withColumn("id_bytes", F.lit(width))
+    files.withColumn("store_root", _node(F.collect_list(F.struct("file", "root")).over(whole))).coalesce(1).write.parquet(f"{path}/manifest")
     return path
 
 
+def _node(children: Column) -> Column:
+    """The digest of a Merkle node: of its children's roots in their order."""
+    return F.sha2(F.concat_ws("", F.transform(F.array_sort(children), lambda s: s["root"])), 256)
+
+
 def _file_roots(recipes: DataFrame) -> DataFrame:
-    """(file, n_tokens, n_docs, root): what the manifest says of each recipe file."""
-    roots = F.transform(F.array_sort(F.collect_list(F.struct("start_in_file", "row", "root"))), lambda s: s["root"])
-    return recipes.groupBy("file").agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_docs"), F.sha2(F.concat_ws("", F.transform(roots, F.hex)), 256).alias("root"))
+    """(file, n_tokens, n_docs, root) of the recipe files as they are; no row holds more than GROUP roots, or a file's thousand."""
+    leaf = F.struct("pos", F.hex("root").alias("root"))
+    runs = recipes.groupBy("file", F.expr(f"pos div {GROUP}").alias("run")).agg(F.sum("n_tokens").alias("n_tokens"), F.count("*").alias("n_docs"), _node(F.collect_list(leaf)).alias("root"))
+    return runs.groupBy("file").agg(F.sum("n_tokens").alias("n_tokens"), F.sum("n_docs").alias("n_docs"), _node(F.collect_list(F.struct("run", "root"))).alias("root"))
 
 
 def _width(vocabulary: str) -> int:
@@ -242,13 +252,20 @@ def verify(spark: SparkSession, path: str) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of every document, read back from the files.
 
     Raises if a recipe file is missing or its root, documents or tokens differ
-    from the manifest; in the job, if a chunk does not match its name, a recipe names a
-    missing chunk, or a document's Merkle root does not match its recipe.
+    from the manifest, or the files' roots from the store's; in the job, if a
+    chunk does not match its name, a recipe names a missing chunk, or a
+    document's Merkle root does not match its recipe. Null ids, empty texts
+    and repeated rows are documents like others; an empty store gives no rows.
     """
-    width = spark.read.parquet(f"{path}/manifest").agg(F.max("id_bytes")).first()[0] or 4
+    manifest = spark.read.parquet(f"{path}/manifest")
+    said = manifest.agg(F.max("id_bytes").alias("width"), F.max("store_root").alias("root"), _node(F.collect_list(F.struct("file", "root"))).alias("own")).first()  # a row for each file
+    if said.root is not None and said.root != said.own:
+        raise ValueError("the manifest does not match the store's root")
+    width = said.width or 4
     stored = np.dtype("<u2" if width == 2 else "<u4")
-    said, found = spark.read.parquet(f"{path}/manifest").select("file", "n_tokens", "n_docs", "root"), _file_roots(spark.read.parquet(f"{path}/recipes"))
-    bad = said.exceptAll(found).select("file").union(found.exceptAll(said).select("file")).first()
+    found = _file_roots(spark.read.parquet(f"{path}/recipes"))
+    met = manifest.alias("s").join(found.alias("f"), "file", "full_outer")
+    bad = met.where(~F.expr("coalesce(s.root = f.root and s.n_docs = f.n_docs and s.n_tokens = f.n_tokens, false)")).select("file").first()
     if bad:
         raise ValueError(f"recipe file {bad[0]} does not match the manifest")
 
@@ -291,7 +308,12 @@ def verify(spark: SparkSession, path: str) -> DataFrame:
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
-    """(doc_id, start, n_tokens, ids) with each document's ids, in bytes as stored, put together again."""
+    """(doc_id, start, n_tokens, ids) with each document's ids, in bytes as stored, put together again.
+
+    Every document comes once, in no order: null ids, empty texts (the end id
+    alone) and repeated rows too. An empty store gives no rows. Nothing is
+    checked here; ``verify`` does that.
+    """
     recipes = spark.read.parquet(f"{path}/recipes")
     starts = F.broadcast(spark.read.parquet(f"{path}/manifest").select("file", F.col("start").alias("file_start")))
     each = recipes.select("row", F.posexplode("digests").alias("seq", "digest")).join(spark.read.parquet(f"{path}/chunks").where("ids is not null").select("digest", "ids"), "digest")
