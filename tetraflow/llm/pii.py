@@ -3,7 +3,7 @@
 Base. Four patterns on the source text (email, ip, card, phone).
 Method. A chain of transducers rewrites the text to what a reader would take
 it for: homoglyphs to ASCII, spelled digits to digits, "at" and "dot" between
-words to signs. Every rewritten character keeps the source interval that it
+words to signs, in the four languages of the tables below. Every rewritten character keeps the source interval that it
 came from, so a detection on the rewritten text maps back to source characters.
 Only detections that a rewrite touched are added, and none that overlaps a
 base span of its kind; base spans always stay.
@@ -93,7 +93,12 @@ HOMOGLYPHS = {
     "І": "I", "Ј": "J", "К": "K", "М": "M", "О": "O", "Р": "P", "Ѕ": "S", "Т": "T", "Х": "X", "У": "Y", "α": "a", "ο": "o",
     "ν": "v", "ρ": "p", "ι": "i", "κ": "k", "∙": ".", "․": ".", "。": ".", "‐": "-", "‑": "-", "–": "-", "−": "-", "\xa0": " ",
 }
-DIGIT_WORDS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
+# For the digits from 0 to 9, in English, French, German and Spanish.
+DIGIT_NAMES = (
+    "zero oh zéro null cero", "one un eins uno", "two deux zwei zwo dos", "three trois drei tres", "four quatre vier cuatro",
+    "five cinq fünf fuenf cinco", "six sechs seis", "seven sept sieben siete", "eight huit acht ocho", "nine neuf neun nueve",
+)
+AT_NAMES, DOT_NAMES, PLUS_NAMES = "at arobase arroba klammeraffe", "dot point punkt punto", "plus más mas"
 ENTITIES = {"&#64;": "@", "&#x40;": "@", "&commat;": "@", "&#46;": ".", "&#x2e;": ".", "&period;": "."}
 # End of fixed values.
 _ENTITY = re.compile("|".join(ENTITIES), re.I)
@@ -102,23 +107,26 @@ _GLYPH = re.compile("[" + "".join(map(re.escape, GLYPHS)) + "]|[​‌‍⁠﻿\
 #: Ignorable characters, rewritten to nothing.
 _IGNORED = frozenset("​‌‍⁠﻿\xad")
 
-_SPELLED = "|".join(DIGIT_WORDS)
-_SPELLED_RUN = re.compile(rf"(?<![A-Za-z0-9])(?:(?:{_SPELLED}|[0-9]+)(?:[\x20-]|\s?,\s?)){{3,}}(?:{_SPELLED}|[0-9]+)(?![A-Za-z0-9])", re.I)
+DIGIT_WORDS = {word: str(digit) for digit, words in enumerate(DIGIT_NAMES) for word in words.split()}
+_either = lambda words: "|".join(sorted(words, key=lambda w: (-len(w), w)))
+_SPELLED, _AT, _DOT = _either(DIGIT_WORDS), _either(AT_NAMES.split()), _either(DOT_NAMES.split())
+_SPELLED_RUN = re.compile(rf"(?<!\w)(?:(?:{_SPELLED}|[0-9]+)(?:[\x20-]|\s?,\s?)){{3,}}(?:{_SPELLED}|[0-9]+)(?!\w)", re.I)
 _SPELLED_ONE = re.compile(rf"({_SPELLED})", re.I)
-_SPELLED_GAP = re.compile(r"(?<=[A-Za-z0-9])(?:[\x20-]|\s?,\s?)(?=[A-Za-z0-9])")
-_PLUS = re.compile(r"(?<![A-Za-z0-9])plus\x20(?=[0-9])", re.I)
+_SPELLED_GAP = re.compile(r"(?<=\w)(?:[\x20-]|\s?,\s?)(?=\w)")
+_PLUS = re.compile(rf"(?<!\w)(?:{_either(PLUS_NAMES.split())})\x20(?=[0-9])", re.I)
 _OPEN, _CLOSE = r"[\[({<]\s{0,2}", r"\s{0,2}[\])}>]"
-_AT_MARK = rf"(?:\s{{0,2}}{_OPEN}(?:at|@){_CLOSE}\s{{0,2}}|\x20@\x20)"
-_DOT_MARK = rf"(?:\s{{0,2}}{_OPEN}(?:dot|\.){_CLOSE}\s{{0,2}}|\x20\.\x20)"
+_AT_MARK = rf"(?:\s{{0,2}}{_OPEN}(?:{_AT}|@){_CLOSE}\s{{0,2}}|\x20@\x20)"
+_DOT_MARK = rf"(?:\s{{0,2}}{_OPEN}(?:{_DOT}|\.){_CLOSE}\s{{0,2}}|\x20\.\x20)"
 _NAME = r"[A-Za-z0-9_%+-]"
 _ADDRESS = re.compile(
-    rf"(?<![A-Za-z0-9._%+-]){_NAME}+(?:(?:\.|{_DOT_MARK}|\x20dot\x20){_NAME}+){{0,4}}"
-    rf"(?P<at>@|{_AT_MARK}|\x20at\x20)[A-Za-z0-9-]+(?:(?:\.|{_DOT_MARK}|\x20dot\x20)[A-Za-z0-9-]+){{1,4}}",
+    rf"(?<![A-Za-z0-9._%+-]){_NAME}+(?:(?:\.|{_DOT_MARK}|\x20(?:{_DOT})\x20){_NAME}+){{0,4}}"
+    rf"(?P<at>@|{_AT_MARK}|\x20(?:{_AT})\x20)[A-Za-z0-9-]+(?:(?:\.|{_DOT_MARK}|\x20(?:{_DOT})\x20)[A-Za-z0-9-]+){{1,4}}",
     re.I,
 )
-_ADDRESS_SIGN = re.compile(rf"{_AT_MARK}|{_DOT_MARK}|\x20(?:at|dot)\x20", re.I)
-_DOTTED = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:{_DOT_MARK}|\x20dot\x20|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
-_HINT = re.compile(rf"@|\x20\.\x20|[\[({{<]\s{{0,2}}\.|\bat\b|\bdot\b|(?<![A-Za-z])(?:{_SPELLED})(?![A-Za-z])", re.I)
+_ADDRESS_SIGN = re.compile(rf"{_AT_MARK}|{_DOT_MARK}|\x20(?:{_AT}|{_DOT})\x20", re.I)
+_IS_AT, _SAYS_DOT = re.compile(rf"@|{_AT}", re.I), re.compile(rf"\b(?:{_DOT})\b", re.I)
+_DOTTED = re.compile(rf"(?<![0-9.])[0-9]{{1,3}}(?:(?:{_DOT_MARK}|\x20(?:{_DOT})\x20|\.)[0-9]{{1,3}}){{3}}(?![0-9])", re.I)
+_HINT = re.compile(rf"@|\x20\.\x20|[\[({{<]\s{{0,2}}\.|\b(?:{_AT}|{_DOT})\b|(?<!\w)(?:{_SPELLED})(?:[\x20-]|\s?,\s?)(?:{_SPELLED}|[0-9])", re.I)
 
 
 class Rewriting:
@@ -202,11 +210,11 @@ def normalise(text: str) -> Rewriting:
     changes = []
     for found in _ADDRESS.finditer(out.text):
         plain_at = not re.search(r"[@\[({<]", found["at"])
-        if plain_at and not re.search(r"\bdot\b", found[0][found.end("at") - found.start() :], re.I):
+        if plain_at and not _SAYS_DOT.search(found[0][found.end("at") - found.start() :]):
             continue  # "at" between two words, and a full stop: prose
         if not re.search(r"[A-Za-z]{2}$", found[0]):
             continue  # no top-level domain
-        changes += [(m.start(), m.end(), "@" if re.search(r"at|@", m[0], re.I) else ".") for m in _ADDRESS_SIGN.finditer(out.text, *found.span())]
+        changes += [(m.start(), m.end(), "@" if _IS_AT.search(m[0]) else ".") for m in _ADDRESS_SIGN.finditer(out.text, *found.span())]
     out.apply(changes)
     return out
 
