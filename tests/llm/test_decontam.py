@@ -4,7 +4,8 @@ from tetraflow.llm import decontam
 
 
 def shingles(text):
-    words = [x for x in re.split(rb"[^a-z0-9\x80-\xff]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode())) if x]
+    lower = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = [x for x in re.split("[^a-z0-9\u00c0-\u1fff\u2070-\u2fff\u3040-\U0010ffff]+", lower) if x]
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
 
 
@@ -70,3 +71,19 @@ def test_short_items_are_found_exactly():
     block = decontam.Items(items, 2)  # so few minima that windows would miss most
     found = {i for _, i, *_ in block.matches(["w0 w1 w2", " ".join(words), "w1"], 0.8)}
     assert found == {i for i, _ in items}
+
+
+def test_signs_beyond_ascii_hide_no_item(spark):
+    items = spark.createDataFrame([(1, "the quick brown fox jumps over the lazy dog today")], "item_id long, text string")
+    rows = [(1, "\u201cthe quick\u2014brown fox\u2019 jumps\u00a0over \u00abthe lazy dog\u00bb today\u2026"), (2, "th\u00e9 quick brown fox"), (3, "\u3001the quick brown fox jumps over\u3000the lazy dog today\u3002")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(docs, items) == [(1, 1, 6, 6), (3, 1, 6, 6)] == brute(rows, [(r.item_id, r.text) for r in items.collect()])
+
+
+def test_no_item_of_five_to_thirty_words_is_missed(spark):
+    """6,000 items, each whole in a long document."""
+    words = [f"w{i * 7919 % 50021}" for i in range(50_000)]
+    cut = [(k, 8 * k, 5 + k % 26) for k in range(6000)]
+    items = spark.createDataFrame([(k, " ".join(words[at : at + n])) for k, at, n in cut], "item_id long, text string")
+    docs = spark.createDataFrame([(i, " ".join(words[i * 5000 : i * 5000 + 5040])) for i in range(10)], "doc_id long, text string")
+    assert {i for _, i, *_ in got(docs, items)} == set(range(6000))

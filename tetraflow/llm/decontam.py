@@ -45,12 +45,26 @@ _LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], dtype=np
 _SALT = np.random.Generator(np.random.PCG64(_SEED)).integers(1, 2**63, MINIMA, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def _unglued(flat: np.ndarray) -> np.ndarray:
+    """UTF-8 with blanks in place of U+0080 to U+00BF, U+2000 to U+206F and U+3000 to U+303F: quotes, dashes, spaces and signs."""
+    data = flat.tobytes()
+    if b"\xc2" in data:
+        at = np.flatnonzero(flat == 0xC2)
+        flat[at] = flat[at + 1] = 0x20
+    for lead, second, last in ((0xE2, 0x80, 0xBF), (0xE2, 0x81, 0xAF), (0xE3, 0x80, 0xBF)):
+        if bytes((lead, second)) in data:
+            at = np.flatnonzero(flat[:-2] == lead)
+            at = at[(flat[at + 1] == second) & (flat[at + 2] <= last)]
+            flat[at] = flat[at + 1] = flat[at + 2] = 0x20
+    return flat
+
+
 class Texts:
-    """Texts side by side: words (runs of ASCII letters and digits and all other characters, lower-cased) and shingles."""
+    """Texts side by side: words (runs of ASCII letters and digits and of characters that are no sign, lower-cased) and shingles."""
 
     def __init__(self, texts: list[str | None]) -> None:
         raw = [(x or "").encode("utf-8", "surrogatepass") for x in texts]
-        flat = _LOWER[np.frombuffer(b"\n".join(raw), dtype=np.uint8)]
+        flat = _unglued(_LOWER[np.frombuffer(b"\n".join(raw), dtype=np.uint8)])
         self.data = flat.tobytes()
         self.starts, self.ends = word_spans(flat, _IS_WORD)
         self.bounds = np.searchsorted(self.starts, np.cumsum([0, *(len(x) + 1 for x in raw)]))

@@ -27,7 +27,8 @@ lines AS (SELECT doc_id, unnest(l) AS x, unnest(range(0, len(l))) AS ln FROM d),
 full_ AS (SELECT doc_id, x, ln, row_number() OVER (PARTITION BY doc_id ORDER BY ln) AS i FROM lines WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
 win AS (SELECT a.doc_id, a.i, a.x AS x1, b.x AS x2, a.ln AS p, b.ln AS q FROM full_ a JOIN full_ b ON a.doc_id = b.doc_id AND b.i = a.i + 1),
 late AS (SELECT doc_id, p, q FROM (SELECT *, row_number() OVER (PARTITION BY x1, x2 ORDER BY doc_id, i) AS k FROM win) u WHERE k > 1),
-gone AS (SELECT doc_id, p AS ln FROM late UNION SELECT doc_id, q FROM late),
+alone AS (SELECT doc_id, ln FROM (SELECT doc_id, ln, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) AS k FROM full_ WHERE len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) >= 5) u WHERE k > 1),
+gone AS (SELECT doc_id, p AS ln FROM late UNION SELECT doc_id, q FROM late UNION SELECT doc_id, ln FROM alone),
 kept AS (SELECT doc_id, string_agg(x, chr(10) ORDER BY ln) AS s FROM lines ANTI JOIN gone USING (doc_id, ln) GROUP BY doc_id),
 cut AS (SELECT doc_id, count(*) AS n, string_agg(CAST(ln AS VARCHAR), ',' ORDER BY ln) AS s FROM gone GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(l) AS BIGINT) AS n_lines, CAST(coalesce(cut.n, 0) AS BIGINT) AS n_deleted, coalesce(cut.s, '') AS deleted,
@@ -36,8 +37,8 @@ FROM d LEFT JOIN kept USING (doc_id) LEFT JOIN cut USING (doc_id)
 """
 
 OP8 = rf"""
-WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_A_Z}), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') AS w FROM documents),
-iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_A_Z}), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') AS w FROM benchmark),
+WITH dw AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_A_Z}), '[a-z0-9\x{{C0}}-\x{{1FFF}}\x{{2070}}-\x{{2FFF}}\x{{3040}}-\x{{10FFFF}}]+') AS w FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_A_Z}), '[a-z0-9\x{{C0}}-\x{{1FFF}}\x{{2070}}-\x{{2FFF}}\x{{3040}}-\x{{10FFFF}}]+') AS w FROM benchmark),
 si AS (SELECT DISTINCT item_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS i FROM iw WHERE len(w) >= 5) u),
 sd AS (SELECT DISTINCT doc_id, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] || ' ' || w[i + 4] AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM dw WHERE len(w) >= 5) u),
 n AS (SELECT item_id, count(*) AS n FROM si GROUP BY item_id),
