@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tetraflow.llm import decontam, linededup, packing, quality, simhash
-from tetraflow.llm._shared import stage
+from tetraflow.llm._shared import stage, unused
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,12 +22,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later repeats of lines go, single ones too, and with them documents of which no word is left."""
-    left = linededup.delete_later_runs(docs)
-    emptied = (F.size("__gone") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
-    out = left.where(~F.coalesce(emptied, F.lit(False)))
+    """Later repeats of lines go, single ones too, and with them documents of which no word is left. A column ``n_chars`` follows the text."""
+    (report,) = unused(docs, "__report")
+    left = linededup.delete_later_runs(docs, min_run=1, report=report)
+    cut = F.size(F.col(report)["gone"]) > 0
+    out = left.where(~F.coalesce(cut & ~F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size("__gone") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        out = out.withColumn("n_chars", F.when(cut, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)
 
 
