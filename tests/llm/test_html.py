@@ -1,7 +1,10 @@
 import re
+import time
 from html.parser import HTMLParser
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from tetraflow.llm import html
 
@@ -94,3 +97,74 @@ def test_formulas_pictures_and_depth(source, text):
 def test_deep_pages_end_in_time():
     for part in ("<ul><li>x", "<i>", "<p><b>", "<b><td></b>", "<table><tr><td>"):
         assert html.render(part * 3000 + "end").split()[-1].endswith("end")
+
+
+@pytest.mark.parametrize(
+    "source",
+    ["<a '" * 500_000, "<a b='" * 300_001, "<a" * 1_000_000, "<a b=" * 300_000, "<" * 1_000_000, "</" * 500_000, "<!" * 500_000, "<p a='\"" * 200_000 + ">x", "<!--" * 300_000, "<a b=\"'" * 200_001 + ">" * 9, "&" * 500_000, "<b a=' " * 100_000 + "> x" * 100_000],
+    ids=lambda s: s[:8],
+)
+def test_hostile_pages_take_linear_time(source):
+    began = time.time()
+    html.render(source)
+    assert time.time() - began < 5
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        "<table><tr><td>" + "w" * 20_000 + "<td>x" + "<tr><td>a<td>b" * 100_000 + "</table>",
+        "<table><tr>" + "<td>" + "<td>".join("c" * 100 for _ in range(2000)) + "<tr><td colspan=1000><td>x" * 50_000 + "</table>",
+        "<table>" + "<tr><td colspan=1000 rowspan=65534>x" * 20_000 + "</table>",
+        "<table><tr>" + "<td>y" * 900 + "<td>" + "z<br>" * 100_000 + "</table>",
+        "<ul><li>" * 300 + "x<br>" * 300_000,
+    ],
+    ids=["long cell", "spans", "rows", "tall cell", "indents"],
+)
+def test_layout_stays_in_proportion_to_the_page(source):
+    began = time.time()
+    assert len(html.render(source)) < 7 * len(source) + 20_000
+    assert time.time() - began < 30
+
+
+@pytest.mark.parametrize(
+    "source,text",
+    [
+        ("<p a=\"x>y\" b='>'>in</p>", "in"),
+        ("<p don't>text</p>more", "text\n\nmore"),
+        ("<a href=\"broken>one</a> two <b>three</b>", "one two three"),
+        ("text <a hre", "text"),
+        ("a</>b</ >c<!doctype x>d<?php e?>f", "abcdf"),
+        ("<p a = \"1>2\">x", "x"),
+    ],
+)
+def test_tags_end_where_they_should(source, text):
+    assert html.render(source) == text
+
+
+@given(st.lists(st.lists(st.text("abc", min_size=1, max_size=6), min_size=1, max_size=5), min_size=1, max_size=6))
+@settings(max_examples=200, deadline=None)
+def test_tables_equal_a_plain_layout(rows):
+    source = "<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in row) + "</tr>" for row in rows) + "</table>"
+    widths = [max((len(r[i]) for r in rows if i < len(r)), default=0) for i in range(5)]
+    assert html.render(source) == "\n".join("  ".join(c.ljust(w) for c, w in zip(r, widths)).rstrip() for r in rows)
+
+
+_LISTS = st.recursive(st.text("xyz", min_size=1, max_size=4), lambda inner: st.lists(inner, min_size=1, max_size=4), max_leaves=12)
+
+
+@given(st.lists(_LISTS, min_size=1, max_size=4))
+@settings(max_examples=200, deadline=None)
+def test_lists_equal_a_plain_layout(tree):
+    def source(items):
+        return "<ul>" + "".join(f"<li>{x}</li>" if isinstance(x, str) else f"<li>head{source(x)}</li>" for x in items) + "</ul>"
+
+    def plain(items, depth):
+        out = []
+        for x in items:
+            out.append("  " * depth + "- " + (x if isinstance(x, str) else "head"))
+            if not isinstance(x, str):
+                out += plain(x, depth + 1)
+        return out
+
+    assert html.render(source(tree)) == "\n".join(plain(tree, 0))

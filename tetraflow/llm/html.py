@@ -21,6 +21,8 @@ from tetraflow.llm._shared import slices
 
 #: Layout only, no text depends on them: tables nested deeper are laid out as blocks, indents grow no wider.
 MAX_TABLES, MAX_INDENT = 150, 300
+#: Spans reach no farther than this column. Blanks that indent a page's lines and align its cells: so many, and so many for each of its characters.
+MAX_COLUMNS, PADDING, PADDING_EACH = 1000, 10_000, 4
 GAP = "  "
 
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -57,7 +59,10 @@ _IMPLIED = {
     **{x: (_ROWS | frozenset("tr td th caption colgroup".split()), frozenset(["table"])) for x in _ROWS},
     "body": (frozenset(["head"]), frozenset()),
 }
-_TAG = re.compile(r"""<(?:!--|[!?]|(/?)([A-Za-z][^\s/>]*+)((?:[^>"']|"[^"]*+"|'[^']*+')*+)>)""", re.S)
+#: What a "<" begins: a tag's name, a comment, a declaration or an end without a name; anything else is text.
+_OPENS = re.compile(r"<(?:(/?)([A-Za-z][^\s/>]*+)|!--|[!?]|/(?=[^A-Za-z]))", re.S)
+#: The rest of a tag up to its ">", which a quoted value may hold.
+_REST = re.compile(r"""(?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])))*+>""", re.S)
 _BLANKS = re.compile(r"[ \t\n\r\f]+")
 _NEEDS_SQUEEZE = re.compile(r"[\t\n\r\f]|  ")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*(?:=\s*("[^"]*+"|'[^']*+'|[^\s"'>]+))?""", re.S)
@@ -92,9 +97,15 @@ class Node:
 
 
 def build(html: str) -> Node:
-    """The tree of a page, at any depth."""
+    """The tree of a page, at any depth, in one pass forward.
+
+    A tag that the page's end cuts off is dropped. Once a value's quote stays
+    open to the end, quotes mean nothing from there on and tags end at the
+    first ">"; so no part of a page is searched again and again.
+    """
     root = Node("#root")
     stack, at, size = [root], 0, len(html)
+    quotes = True
     places: dict[str, list[int]] = {}  # of the open elements, by tag
 
     def push(node: Node) -> None:
@@ -120,18 +131,26 @@ def build(html: str) -> Node:
         stack[-1].children.append(unescape(chunk) if "&" in chunk else chunk)
 
     while at < size:
-        found = _TAG.search(html, at)
+        found = _OPENS.search(html, at)
         if not found:
             text(html[at:])
             break
         if found.start() > at:
             text(html[at : found.start()])
-        at = found.end()
-        name = found[2]
+        at, name = found.end(), found[2]
         if name is None:
-            close = html.find("-->", found.start() + 2) if found[0] == "<!--" else html.find(">", at)
-            at = size if close < 0 else close + (3 if found[0] == "<!--" else 1)
+            comment = found[0] == "<!--"
+            close = html.find("-->", found.start() + 2) if comment else html.find(">", at)
+            at = size if close < 0 else close + (3 if comment else 1)
             continue
+        rest = _REST.match(html, at) if quotes else None
+        if rest is None:
+            close = html.find(">", at)
+            if close < 0:
+                break
+            quotes = False
+        close = rest.end() - 1 if rest else close
+        attributes, at = html[at:close], close + 1
         name = name.lower()
         if found[1]:
             if name == "br":
@@ -153,9 +172,9 @@ def build(html: str) -> Node:
             end_implied(*_IMPLIED[name])
         if name in _ENDS_P:
             end_implied(frozenset(["p"]), frozenset(["table", "td", "th", "caption", "button", "object", "li", "div"]) if name != "li" else frozenset(["table", "td", "th", "li"]))
-        node = Node(name, found[3], within)
+        node = Node(name, attributes, within)
         stack[-1].children.append(node)
-        if name in _VOID or within and _CLOSED.search(found[3]):
+        if name in _VOID or within and _CLOSED.search(attributes):
             continue
         if name in _RAW:
             close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(html, at)
@@ -174,8 +193,9 @@ def build(html: str) -> Node:
 class Page:
     """Lines as they are laid out."""
 
-    def __init__(self, depth: int = 0) -> None:
-        self.depth = depth  # tables around it
+    def __init__(self, padding: list[int], depth: int = 0) -> None:
+        """padding: the blanks that are left for indents and aligned cells, one number that a page's parts share."""
+        self.padding, self.depth = padding, depth  # depth: tables around it
         self.lines: list[str] = []
         self.open: list[str] = []
         self.gap = False
@@ -193,11 +213,13 @@ class Page:
         if self.gap and self.lines:
             self.lines.append("")
         self.gap = False
+        self.padding[0] -= len(self.indent)
+        indent = self.indent if self.padding[0] >= 0 else ""
         if self.marker:
-            line = f"{self.indent[: -len(self.marker)]}{self.marker}{line}"
+            line = f"{indent[: -len(self.marker)]}{self.marker}{line}"
             self.marker = ""
         else:
-            line = self.indent + line
+            line = indent + line
         self.lines.append(line)
 
     def inline(self, text: str) -> None:
@@ -348,23 +370,30 @@ def _table(page: Page, table: Node) -> Iterator:
                 down[column] -= 1
                 cells.append(([], 1))
                 column += 1
-            inner = Page(page.depth + 1)
+            inner = Page(page.padding, page.depth + 1)
             holder = Node("#part")
             holder.children = cell.children if isinstance(cell, Node) and cell.tag in _CELLS else [cell]
             yield _lay(inner, holder)
             inner.flush()
             known = isinstance(cell, Node)
-            span = max(1, min(1000, _number(cell.get("colspan"), 1))) if known else 1
+            span = max(1, min(MAX_COLUMNS - column, _number(cell.get("colspan"), 1))) if known else 1
             rows = max(1, min(65534, _number(cell.get("rowspan"), 1))) if known else 1
             cells.append((inner.lines, span))
-            for i in range(span):
-                if rows > 1:
+            if rows > 1 and column + span <= MAX_COLUMNS and page.padding[0] > 0:
+                for i in range(span):
                     down[column + i] = rows - 1
             column += span
-        for later in sorted(down):
-            if later >= column and down[later]:
-                down[later] -= 1
+        for later in [x for x in down if x >= column and down[x]]:
+            down[later] -= 1
+        page.padding[0] -= len(down)  # cells kept free below others are blanks too
+        if page.padding[0] < 0:
+            down.clear()
         grid.append(cells)
+    _emit_grid(page, grid)
+
+
+def _emit_grid(page: Page, grid: list[list[tuple[list[str], int]]]) -> None:
+    """Rows with cells padded to their columns; without padding, each cell below the one before, once the page has no blanks left for it."""
     widths: dict[int, int] = {}
     for cells in grid:
         at = 0
@@ -372,14 +401,29 @@ def _table(page: Page, table: Node) -> Iterator:
             if span == 1:
                 widths[at] = max(widths.get(at, 0), *map(len, lines), 0)
             at += span
+    upto = [0]  # the sum of the widths before each column
+    for i in range(max((sum(span for _, span in cells) for cells in grid), default=0)):
+        upto.append(upto[-1] + widths.get(i, 0))
     for cells in grid:
-        for k in range(max((len(lines) for lines, _ in cells), default=0)):
-            out, at = [], 0
-            for lines, span in cells:
-                width = sum(widths.get(at + i, 0) for i in range(span)) + len(GAP) * (span - 1)
-                out.append((lines[k] if k < len(lines) else "").ljust(width))
-                at += span
-            line = GAP.join(out).rstrip(" ")
+        padded, at, last = [], 0, 0
+        for lines, span in cells:
+            padded.append((lines, upto[at + span] - upto[at] + len(GAP) * (span - 1)))
+            at += span
+            last = len(padded) if lines else last
+        del padded[last:]
+        height = max((len(lines) for lines, _ in padded), default=0)
+        blanks = height * sum(width + len(GAP) for _, width in padded) - sum(len(x) for lines, _ in padded for x in lines)
+        if blanks > page.padding[0]:
+            if height > 1:
+                for lines, _ in padded:
+                    for line in lines:
+                        page.emit(line)
+            else:
+                page.emit(GAP.join(lines[0] for lines, _ in padded if lines))
+            continue
+        page.padding[0] -= max(0, blanks)
+        for k in range(height):
+            line = GAP.join([(lines[k] if k < len(lines) else "").ljust(width) for lines, width in padded]).rstrip(" ")
             if line:
                 page.emit(line)
 
@@ -388,7 +432,7 @@ def render(html: str | None) -> str:
     """The visible text of a page; empty for null and empty ones."""
     if not html:
         return ""
-    page = Page()
+    page = Page([PADDING + PADDING_EACH * len(html)])
     _run(_lay(page, build(html)))
     page.flush()
     while page.lines and not page.lines[-1]:
@@ -400,8 +444,10 @@ def extract(pages: DataFrame) -> DataFrame:
     """(page_id, text, n_chars, n_lines) per row of ``pages``.
 
     Needs page_id and html; other columns are ignored. Null and empty pages
-    give an empty text; plain text is laid out as one block; unclosed tags and
-    comments end with the page. Repeated rows and null ids pass; whole pages
+    give an empty text; plain text is laid out as one block; unclosed elements
+    and comments end with the page, and a tag that its end cuts off is dropped.
+    Time and output are linear in the page: cells are aligned as long as the
+    page has blanks for it (PADDING), then written one below the other. Repeated rows and null ids pass; whole pages
     are read, at any depth of nesting. Formulas and the labels of pictures are
     text. An empty table gives no rows.
     """
