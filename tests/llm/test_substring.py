@@ -53,17 +53,47 @@ def test_spans_are_maximal(spark):
     assert spans == {1: [(2, 7)], 2: [(0, 5)], 3: []}
 
 
-def test_colliding_hashes_are_told_apart_by_their_checks():
+def thue_morse(n):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+def test_words_that_polynomials_confuse_are_told_apart(spark):
+    one = thue_morse(1024)
+    other = one.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(34))
+    rows = [(1, f"{one} {rest}"), (2, f"{other} {rest}"), (3, f"x {one[:32]} {rest}"), (4, f"x {other[:32]} {rest}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert got(substring.remove_repeats(docs)) == brute(rows, 35) and not any(r[2] for r in brute(rows, 35))
+
+
+def test_colliding_first_hashes_are_told_apart_by_the_second(monkeypatch):
+    """The four steps in one process, with first hashes of three bits."""
+    import numpy as np
+    import pyarrow as pa
+
+    whole = substring.Block.hashes
+    monkeypatch.setattr(substring.Block, "hashes", lambda self, seed: whole(self, seed) & np.uint64(7 << 61 if seed == substring._SEED else 2**64 - 1))
+    rows = [(i, " ".join(f"w{(i * 7 + j * 13) % 40}" for j in range(30))) for i in range(12)] + [(12, "w0 w13 w26 q w0 w13 w26")]
+    blocks = [pa.table({"doc_id": [r[0] for r in rows[b::3]], "text": [r[1] for r in rows[b::3]], "block": [b] * len(rows[b::3])}) for b in range(3)]
+
+    def counted(sent):
+        every = pa.concat_tables(sent)
+        out = [substring._counter(every.filter(pa.compute.equal(every["part"], p))) for p in every["part"].unique()]
+        every = pa.concat_tables(out)
+        return [every.filter(pa.compute.equal(every["block"], b)) for b in range(3)]
+
+    hashed = counted([substring._hasher(3, 4)(x) for x in blocks])
+    assert sum(map(len, hashed)) > 0
+    proven = counted([substring._prover(3, 4)(x, y) for x, y in zip(blocks, hashed)])
+    done = pa.concat_tables([substring._cutter(3, True)(x, y) for x, y in zip(blocks, proven)])
+    assert sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"], r["kept_text"]) for r in done.to_pylist()), key=str) == brute(rows, 3)
+
+
+def test_packed_hashes_come_back():
     import numpy as np
 
-    rng = np.random.default_rng(5)
-    x = substring.keys(rng.integers(0, 40, 3000).astype("u8") << np.uint64(58), rng.integers(0, 3, 3000).astype("u2"))
-    pairs = Counter(zip(x["h"].tolist(), x["c"].tolist()))
-    ordered = substring.in_order(x)
-    assert list(zip(ordered["h"].tolist(), ordered["c"].tolist())) == sorted(zip(x["h"].tolist(), x["c"].tolist()))
-    assert (substring.unpack(substring.pack(ordered)) == ordered).all() and len(substring.unpack(substring.pack(ordered[:0]))) == 0
-    some = substring._distinct(ordered)[::2]
-    there = set(zip(some["h"].tolist(), some["c"].tolist()))
-    assert substring.found(x, some).tolist() == [(h, c) in there for h, c in zip(x["h"].tolist(), x["c"].tolist())]
-    twice = substring._twice(x)
-    assert Counter(zip(twice["h"].tolist(), twice["c"].tolist())) == Counter({k: min(2, n) for k, n in pairs.items()})
+    x = np.sort(np.random.default_rng(5).integers(0, 2**63, 3000).astype("u8") * np.uint64(2))
+    assert (substring.unpack(substring.pack(x)) == x).all() and len(substring.unpack(substring.pack(x[:0]))) == 0
+    doubled = np.sort(np.concatenate([x, x, x[:9]]))
+    assert (substring._twice(doubled) == np.sort(np.concatenate([x, x]))).all()
+    assert substring.found(doubled, x[::2]).tolist() == [v in set(x[::2].tolist()) for v in doubled.tolist()]

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
+#: Longer words are hashed by BLAKE2b: modulo 2**64 a polynomial is weak where its degree is high.
+LONG_WORD = 32
 #: The separators of a word: space and the five control characters from tab to return.
 SEPARATORS = b"\x20\x09\x0a\x0b\x0c\x0d"
 
@@ -52,12 +56,16 @@ def word_spans(data: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int) -> np.ndarray:
-    """A 64-bit hash of each word: polynomial over its bytes, mixed."""
+    """A 64-bit hash of each word: a polynomial over its bytes, mixed; of a long word a keyed digest."""
     letters, up, down = _tables(seed, len(data) + 1)
     sums = np.empty(len(data) + 1, dtype=np.uint64)
     sums[0] = 0
     np.cumsum(letters[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    out = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    for i in np.flatnonzero(ends - starts > LONG_WORD).tolist():
+        word = hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=seed.to_bytes(8, "little"))
+        out[i] = int.from_bytes(word.digest(), "little")
+    return out
 
 
 def rolling(words: np.ndarray, width: int, seed: int) -> np.ndarray:

@@ -3,20 +3,23 @@
 1. Texts are dealt once to blocks of bounded size by a hash of the row.
 2. In each block, Rabin-Karp hashes of every window are sorted; each goes to
    its hash range as often as it starts in the block, twice at most, packed as
-   byte planes of differences and a check of two bytes (about eight bytes a
-   window). A window that a third of all documents share costs a block two entries.
+   byte planes of differences (about five bytes a window). A window that a
+   third of all documents share costs a block two entries.
 3. Each hash range counts over all blocks and answers every block with the
-   hashes of its own that repeat.
-4. Each block, whose texts come from the same exchange, hashes its windows
-   again, marks the repeated ones, merges them into maximal intervals and cuts.
-
-The numbers of blocks and ranges grow with the input. So that a packed row
-still holds a hundred hashes or so, their sizes grow too, with the square root
-of the input, from 4 and 8 million characters below 28 GB of text to 0.3
-billion at 100 TB; within a block texts are hashed and cut a lot of 4 million
-characters at a time, so only the ten bytes of each window add up. Two polynomials
-over independent bases, 64 and 16 bits, must agree: among n different windows
-some pair collides with probability n**2 / 2**81, 1e-8 for 0.5 GB of text.
+   hashes of its own that repeat: its candidates.
+4. Candidates are verified: each block, whose texts come from the same
+   exchange, hashes their words anew, by other letters and bases, and sends
+   these second hashes to the range of the first, which counts and answers again.
+5. Each block marks the windows that the second answer confirms, merges them
+   into maximal intervals and cuts.
+
+Windows are equal if 128 bits of two independent polynomials are, up to the
+bits that name a range; words over LONG_WORD bytes enter by a keyed digest. The
+numbers of blocks and ranges grow with the input. So that a packed row still
+holds a hundred hashes or so, their sizes grow too, with the square root of the
+input, from 4 and 8 million characters below 28 GB of text to 0.3 billion at
+100 TB; within a block texts are hashed and cut a lot of 4 million characters
+at a time, so only the eight bytes of each window add up.
 """
 
 from __future__ import annotations
@@ -38,57 +41,26 @@ RANGE_CHARS = 8_000_000
 LOT_CHARS = 4_000_000
 #: Characters of a block times those of a range, over those of the input: a hundred windows of under six characters.
 SPREAD = 570
-_SEED = 20_011
+_SEED, _PROOF = 20_011, 40_031
 _IS_WORD = separated_by(SEPARATORS)
 
 
-KEY = np.dtype([("h", "<u8"), ("c", "<u2")])
-
-
-def keys(h: np.ndarray, c: np.ndarray) -> np.ndarray:
-    out = np.empty(len(h), dtype=KEY)
-    out["h"], out["c"] = h, c
-    return out
-
-
-def in_order(x: np.ndarray) -> np.ndarray:
-    """Sorted by both parts; the second only matters where hashes of different windows collide."""
-    x = x[np.argsort(x["h"], kind="stable")]
-    h, c = x["h"], x["c"]
-    if bool(((h[1:] == h[:-1]) & (c[1:] != c[:-1])).any()):
-        x = x[np.lexsort((c, h))]
-    return x
-
-
-def same(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a["h"] == b["h"]) & (a["c"] == b["c"])
-
-
 def found(x: np.ndarray, among: np.ndarray) -> np.ndarray:
-    """For each key whether it is one of the sorted, distinct ``among``."""
-    hit = np.zeros(len(x), dtype=bool)
+    """For each hash whether it is one of the sorted ``among``."""
     if not len(among):
-        return hit
-    h, c = among["h"].copy(), among["c"].copy()
-    at = np.searchsorted(h, x["h"])
-    repeats = int(np.unique(h, return_counts=True)[1].max())  # one, unless hashes collide
-    for step in range(repeats):
-        place = np.minimum(at + step, len(h) - 1)
-        hit |= (h[place] == x["h"]) & (c[place] == x["c"])
-    return hit
+        return np.zeros(len(x), dtype=bool)
+    return among[np.minimum(np.searchsorted(among, x), len(among) - 1)] == x
 
 
 def pack(x: np.ndarray) -> bytes:
-    """Sorted keys as byte planes of the differences of their first parts, then the second parts."""
-    steps = np.diff(x["h"], prepend=np.uint64(0)).astype("<u8")
-    return steps.view(np.uint8).reshape(-1, 8).T.tobytes() + np.ascontiguousarray(x["c"]).tobytes()
+    """Sorted hashes as byte planes of their differences."""
+    steps = np.diff(x, prepend=np.uint64(0)).astype("<u8")
+    return steps.view(np.uint8).reshape(-1, 8).T.tobytes()
 
 
 def unpack(blob: bytes) -> np.ndarray:
-    n = len(blob) // 10
-    planes = np.frombuffer(blob, dtype=np.uint8, count=8 * n).reshape(8, n)
-    h = np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
-    return keys(h, np.frombuffer(blob, dtype="<u2", offset=8 * n))
+    planes = np.frombuffer(blob, dtype=np.uint8).reshape(8, len(blob) // 8)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u8").ravel(), dtype=np.uint64)
 
 
 class Block:
@@ -97,24 +69,25 @@ class Block:
     def __init__(self, texts: list[str | None], window: int) -> None:
         raw = [(x or "").encode("utf-8", "surrogatepass") for x in texts]
         self.data = b"\n".join(raw)
-        flat = np.frombuffer(self.data, dtype=np.uint8)
-        self.starts, self.ends = word_spans(flat, _IS_WORD)
+        self.flat, self.window = np.frombuffer(self.data, dtype=np.uint8), window
+        self.starts, self.ends = word_spans(self.flat, _IS_WORD)
         begins = np.cumsum([0, *(len(x) + 1 for x in raw)])
         self.bounds = np.searchsorted(self.starts, begins)
-        words = word_hashes(flat, self.starts, self.ends, _SEED)
-        hashes = rolling(words, window, _SEED)
+        n = max(0, len(self.starts) - window + 1)
         left = self.bounds[1:] - window  # the last window of each text, if it has one
-        own = np.repeat(left, np.diff(self.bounds))[: len(hashes)]
-        self.at = np.flatnonzero(np.arange(len(hashes)) <= own)
-        checks = (rolling(words, window, _SEED + 2) >> np.uint64(48)).astype(np.uint16)
-        self.keys, self.window = keys(hashes[self.at], checks[self.at]), window
-
-    def covered(self, repeated: np.ndarray) -> np.ndarray:
-        """For each word whether a window of the sorted, distinct ``repeated`` covers it."""
-        hit = self.at[found(self.keys, repeated)]
+        own = np.repeat(left, np.diff(self.bounds))[:n]
+        self.at = np.flatnonzero(np.arange(n) <= own)
+
+    def hashes(self, seed: int) -> np.ndarray:
+        """Of every window within a text, in order."""
+        return rolling(word_hashes(self.flat, self.starts, self.ends, seed), self.window, seed)[self.at]
+
+    def covered(self, hit: np.ndarray) -> np.ndarray:
+        """For each word whether one of the windows marked in ``hit`` covers it."""
+        at = self.at[hit]
         depth = np.zeros(len(self.starts) + 1, dtype=np.int32)
-        depth[hit] += 1
-        depth[hit + self.window] -= 1
+        depth[at] += 1
+        depth[at + self.window] -= 1
         return np.cumsum(depth[:-1]) > 0
 
 
@@ -131,41 +104,65 @@ def _lots(texts: list[str | None]) -> Iterator[slice]:
 
 
 def _twice(x: np.ndarray) -> np.ndarray:
-    """Sorted, each key twice at most."""
-    x = in_order(x)
-    return x if len(x) < 3 else x[np.concatenate(([True, True], ~same(x[2:], x[:-2])))]
+    """Of sorted hashes each twice at most."""
+    return x if len(x) < 3 else x[np.concatenate(([True, True], x[2:] != x[:-2]))]
 
 
-def _distinct(x: np.ndarray) -> np.ndarray:
-    """Sorted keys, each once."""
-    return x[np.concatenate(([True], ~same(x[1:], x[:-1])))] if len(x) else x
+def _edges(n_ranges: int) -> np.ndarray:
+    """Where each hash range but the first begins."""
+    return np.array([(2**64 * i) // n_ranges for i in range(1, n_ranges)], dtype=np.uint64)
 
 
-def _ranges(x: np.ndarray, n: int) -> np.ndarray:
-    edges = [0, *np.searchsorted(x["h"].copy(), np.array([(2**64 * i) // n for i in range(1, n)], dtype=np.uint64)), len(x)]
-    return np.array(edges)
+def _joined(blobs: pa.ChunkedArray) -> np.ndarray:
+    own = [unpack(x) for x in blobs.to_pylist()]
+    return np.sort(np.concatenate(own)) if own else np.empty(0, dtype=np.uint64)
+
+
+def _dealt(block: int, parts: np.ndarray, blobs: list[bytes]) -> pa.Table:
+    return pa.table({"part": pa.array(parts, pa.int32()), "block": pa.array([block] * len(parts), pa.int64()), "blob": pa.array(blobs, pa.binary())})
 
 
 def _hasher(window: int, n_ranges: int) -> Callable:
     def run(table: pa.Table) -> pa.Table:
-        block = table["block"][0].as_py()
         texts = table["text"].to_pylist()
-        x = _twice(np.concatenate([Block(texts[lot], window).keys for lot in _lots(texts)]))
-        edges = _ranges(x, n_ranges)
-        full = np.flatnonzero(np.diff(edges))
-        blobs = [pack(x[edges[i] : edges[i + 1]]) for i in full]
-        return pa.table({"part": pa.array(full, pa.int32()), "block": pa.array([block] * len(full), pa.int64()), "blob": pa.array(blobs, pa.binary())})
+        x = _twice(np.sort(np.concatenate([Block(texts[lot], window).hashes(_SEED) for lot in _lots(texts)])))
+        cuts = np.array([0, *np.searchsorted(x, _edges(n_ranges)), len(x)])
+        full = np.flatnonzero(np.diff(cuts))
+        return _dealt(table["block"][0].as_py(), full, [pack(x[cuts[i] : cuts[i + 1]]) for i in full])
+
+    return run
+
+
+def _prover(window: int, n_ranges: int) -> Callable:
+    """Second hashes of the windows whose first hash is a candidate, to the first hash's range."""
+
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        candidates, texts = _joined(answers["blob"]), docs["text"].to_pylist()
+        parts, proofs = [np.empty(0, dtype=np.int64)], [np.empty(0, dtype=np.uint64)]
+        for lot in _lots(texts) if len(candidates) else ():
+            block = Block(texts[lot], window)
+            first = block.hashes(_SEED)
+            hit = np.flatnonzero(found(first, candidates))
+            if len(hit):
+                parts.append(np.searchsorted(_edges(n_ranges), first[hit], side="right"))
+                proofs.append(block.hashes(_PROOF)[hit])
+        part, proof = np.concatenate(parts), np.concatenate(proofs)
+        order = np.lexsort((proof, part))
+        part, proof = part[order], proof[order]
+        cuts = np.flatnonzero(np.diff(part, prepend=-1, append=-1)) if len(part) else np.array([0])
+        blobs = [pack(_twice(proof[a:b])) for a, b in zip(cuts, cuts[1:])]
+        return _dealt(docs["block"][0].as_py() if docs.num_rows else -1, part[cuts[:-1]], blobs)
 
     return run
 
 
 def _counter(table: pa.Table) -> pa.Table:
     blocks, arrays = table["block"].to_pylist(), [unpack(x) for x in table["blob"].to_pylist()]
-    every = in_order(np.concatenate(arrays))
-    repeated = _distinct(every[1:][same(every[1:], every[:-1])])
+    every = np.sort(np.concatenate(arrays))
+    repeated = np.unique(every[1:][every[1:] == every[:-1]])
     out_blocks, out_blobs = [], []
     for block, own in zip(blocks, arrays):
-        hit = _distinct(own[found(own, repeated)])
+        hit = np.unique(own[found(own, repeated)])
         if len(hit):
             out_blocks.append(block)
             out_blobs.append(pack(hit))
@@ -174,13 +171,12 @@ def _counter(table: pa.Table) -> pa.Table:
 
 def _cutter(window: int, keep_text: bool) -> Callable:
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        own = [unpack(x) for x in answers["blob"].to_pylist()]
-        repeated = in_order(np.concatenate(own)) if own else np.empty(0, dtype=KEY)
+        repeated = _joined(answers["blob"])
         texts = docs["text"].to_pylist()
         kept_text, spans, words, removed, digests = [], [], [], [], []
         for lot in _lots(texts):
             block = Block(texts[lot], window)
-            gone = block.covered(repeated)
+            gone = block.covered(found(block.hashes(_PROOF), repeated)) if len(repeated) else np.zeros(len(block.starts), dtype=bool)
             total = np.concatenate(([0], np.cumsum(gone)))
             for a, b in zip(block.bounds[:-1].tolist(), block.bounds[1:].tolist()):
                 out = int(total[b] - total[a])
@@ -223,7 +219,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, block_chars: int | Non
     n_blocks, n_ranges = max(1, -(-chars // block_chars)), max(1, -(-chars // range_chars))
     dealt = base.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks))).repartition("block")
     hashed = dealt.groupBy("block").applyInArrow(_hasher(window, n_ranges), "part int, block long, blob binary")
-    answers = hashed.groupBy("part").applyInArrow(_counter, "block long, blob binary")
+    count = lambda sent: sent.groupBy("part").applyInArrow(_counter, "block long, blob binary")
+    proofs = dealt.groupBy("block").cogroup(count(hashed).groupBy("block")).applyInArrow(_prover(window, n_ranges), "part int, block long, blob binary")
+    answers = count(proofs)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     if keep_text:
         schema += ", kept_text string, removed_spans array<struct<start: long, end: long>>"
