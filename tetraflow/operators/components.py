@@ -1,7 +1,7 @@
 """Connected components: local contraction, then alternating large and small stars.
 
-First each range of node numbers contracts its links to stars by union-find in
-one pass; mesh numbers are local, so most of a mesh falls together there. Then
+First each range of node numbers contracts its links to stars by pointer jumping
+in one pass; mesh numbers are local, so most of a mesh falls together there. Then
 rounds over what is left grow with the logarithm of the nodes, not with a
 mesh's diameter. Each round groups and joins on nodes and is staged in the
 shared folder; only a count and a checksum come to the driver.
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,37 +21,50 @@ from tetraflow.operators.topology import dual_edges, neighbours
 from tetraflow.staging import staged
 
 
-#: Nodes that a task holds before it gives out the stars it has.
-LOCAL_NODES = 1_000_000
+#: Links that a task holds before it gives out the stars it has.
+LOCAL_LINKS = 2_000_000
+
+
+def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label`` (of each place the least place known to be connected) after places a and b are linked, by pointer jumping."""
+    while True:
+        x, y = label[a], label[b]
+        apart = x != y
+        if not apart.any():
+            return label
+        np.minimum.at(label, np.maximum(x[apart], y[apart]), np.minimum(x[apart], y[apart]))
+        while True:
+            up = label[label]
+            if (up == label).all():
+                break
+            label = up
+
+
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, roots): each node of the links but the least of its component, and that."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    label = merged(np.arange(len(nodes)), at[: len(a)], at[len(a) :])
+    leaf = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[leaf], nodes[label[leaf]]
 
 
 def contracted(links: DataFrame) -> DataFrame:
     """(a, b) with a > b: fewer links of integer nodes that connect the same nodes; stars of each range of a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parent: dict[int, int] = {}
+        held: list[tuple[np.ndarray, np.ndarray]] = []
 
-        def root(x: int) -> int:
-            up = parent.setdefault(x, x)
-            while up != x:
-                parent[x] = up = parent[up]
-                x, up = up, parent[up]
-            return x
-
-        def stars() -> Iterator[pa.RecordBatch]:
-            out = [(x, r) for x, r in ((x, root(x)) for x in list(parent)) if x != r]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*out)], ["a", "b"])
-            parent.clear()
+        def given() -> Iterator[pa.RecordBatch]:
+            if held:
+                out = stars(*map(np.concatenate, zip(*held)))
+                held.clear()
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
 
         for batch in batches:
-            for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                a, b = root(a), root(b)
-                if a != b:
-                    parent[max(a, b)] = min(a, b)
-            if len(parent) > LOCAL_NODES:
-                yield from stars()
-        yield from stars()
+            held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)))
+            if sum(len(x) for x, _ in held) > LOCAL_LINKS:
+                yield from given()
+        yield from given()
 
     return links.selectExpr("cast(a as long) a", "cast(b as long) b").repartitionByRange("a").mapInArrow(run, "a long, b long")
 
@@ -58,16 +72,24 @@ def contracted(links: DataFrame) -> DataFrame:
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, comp): the smallest node that each node (one column) reaches over links (a, b)."""
     links = links.toDF("a", "b").where("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b")
-    if isinstance(links.schema["a"].dataType, T.IntegralType):
+    whole = isinstance(links.schema["a"].dataType, T.IntegralType)
+    if whole:
         links = contracted(links)
+
+    def met(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
+        """Joined by another key than ``small`` was grouped by: the rows of a hub are dealt anew, so that they can be split."""
+        if not whole:
+            return rows.join(small, key)
+        return rows.withColumn(key, F.bitwise_not(key)).join(small.withColumn(key, F.bitwise_not(key)), key).withColumn(key, F.bitwise_not(key))
+
     state = staged(links.distinct(), "stars")
     seen = None
     while True:
         both = state.unionAll(state.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
+        large = met(both, least, "u").where("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = met(large, low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         state = staged(small.unionAll(low.select("a", F.col("m").alias("b"))).distinct(), "stars")
         now = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
