@@ -62,8 +62,40 @@ def test_chains_cross_tiles(spark):
         chain.append(chain[-1] | (3 << (2 * step - 2)))
     prints = [x - 2**64 if x >= 2**63 else x for x in chain] + [0x0F0F << 20]
     distinct = spark.createDataFrame([(p,) for p in prints], "fp long")
-    found = simhash.components(simhash.links(distinct, tile_rows=3)).collect()
-    assert len(found) == 33 and len({r.root for r in found}) == 1
+    for tile_rows in (1, 3, 2048):
+        found = simhash.components(distinct, simhash.links(distinct, tile_rows=tile_rows)).collect()
+        assert len(found) == 34 and len({r.comp for r in found}) == 2
+
+
+def test_links_equal_brute_force_on_any_tiles(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    centres = rng.integers(0, 2**63, 30).astype("u8") * np.uint64(2)
+    near = [int(c) ^ sum(1 << int(b) for b in rng.choice(64, 3, replace=False)) for c in centres for _ in range(12)]
+    low = [int(x) for x in rng.integers(0, 2**12, 300)]  # two of three lanes are hot
+    distinct = sorted({int(c) for c in centres} | set(near) | set(low))
+    root = {p: p for p in distinct}
+    for radius in (1, 2, 3):
+        def find(p):
+            while root[p] != p:
+                p = root[p]
+            return p
+
+        root = {p: p for p in distinct}
+        for i, a in enumerate(distinct):
+            for b in distinct[:i]:
+                if (a ^ b).bit_count() <= radius:
+                    ra, rb = find(a), find(b)
+                    root[max(ra, rb)] = min(ra, rb)
+        signed = lambda x: x - 2**64 if x >= 2**63 else x
+        df = spark.createDataFrame([(signed(p),) for p in distinct], "fp long")
+        want = {frozenset(signed(p) for p in distinct if find(p) == r) for r in {find(p) for p in distinct}}
+        for tile_rows in (20, 2048):
+            got = {}
+            for r in simhash.components(df, simhash.links(df, radius, tile_rows)).collect():
+                got.setdefault(r.comp, set()).add(r.node)
+            assert {frozenset(x) for x in got.values()} == want
 
 
 def test_keep_one(spark):

@@ -2,18 +2,23 @@
 
 1. Each text's fingerprint is computed where the text is read; only
    (doc_id, fingerprint) goes on, staged once in the shared folder.
-2. Distinct fingerprints are dealt to tiles. A tile holds fingerprints whose
-   four 16-bit lanes have the same population counts. Flipping one bit changes
-   one count by one, so two tiles can hold a link only if their counts differ
-   by the radius or less in sum; all other tile pairs are skipped unread.
-3. The tile pairs that stay are compared in full with exclusive-or and bit
-   counts. A pair of tiles yields a spanning forest of its links, so the links
-   of a large group never grow with its square.
-4. Components by alternating large and small stars, each round staged.
-
-Skew: copies collapse to one fingerprint before anything is dealt; a crowded
-cell is cut into tiles of bounded size by hash. What is broadcast is one row
-per cell, 17**4 at most.
+2. Fingerprints within the radius agree in whole in one of radius + 1 bit
+   lanes, so each distinct one is dealt once for each lane, by the lane's bits.
+   What meets there is a tile; it is compared in full with exclusive-or and bit
+   counts, in the order of population counts, as far as these differ by the
+   radius or less.
+3. A lane's bits that more than TILE_ROWS fingerprints share are cut into tiles
+   by the population counts of the other lanes, and by hash where one is still
+   too large. Flipping a bit changes a count by one, so two tiles can hold a
+   link only if their counts differ by the radius or less in sum; all other
+   tile pairs are skipped unread.
+4. A tile, or pair of tiles, yields stars that connect what it links, so the
+   links of a large group never grow with its square.
+5. Components by local contraction and alternating stars, each round staged.
+
+Tiles stay small as fingerprints grow in number, as a lane has 2**21 values.
+Skew: copies collapse to one fingerprint before anything is dealt; a hot lane
+goes by tile pairs of bounded size. Nothing is broadcast by force.
 """
 
 from __future__ import annotations
@@ -27,11 +32,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tetraflow.llm._shared import slices, stage, unused
+from tetraflow.operators.components import components, merged
 
 RADIUS = 2
 SHINGLE = 3
 TILE_ROWS = 2048
-LANES, LANE_BITS = 4, 16
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _ASCII = bytes.maketrans(b"\x09\x0a\x0b\x0c\x0d", b"\x20\x20\x20\x20\x20")
 
@@ -68,113 +73,115 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), _row_key().alias("row"), "text").mapInArrow(run, "doc_id long, row string, fp long")
 
 
-def _lane(fp: Column, lane: int) -> Column:
-    return F.bit_count(F.shiftrightunsigned(fp, LANE_BITS * lane).bitwiseAND(2**LANE_BITS - 1)).cast("int")
+def _bits(radius: int) -> list[tuple[int, int]]:
+    """(first, width) of radius + 1 lanes that make up the 64 bits."""
+    cuts = [64 * i // (radius + 1) for i in range(radius + 2)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
 
 
-def _cell(lanes: list[Column]) -> Column:
-    out = lanes[0]
-    for lane in lanes[1:]:
-        out = out * (LANE_BITS + 1) + lane
-    return out
+def _lane(fp: Column, first: int, width: int) -> Column:
+    return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit(2**width - 1 if width < 64 else -1).cast("long"))
 
 
-def _offsets(radius: int) -> list[tuple[int, ...]]:
-    """All lane differences whose absolute values sum to the radius or less."""
+def _offsets(n: int, radius: int) -> list[tuple[int, ...]]:
+    """All differences of n counts whose absolute values sum to the radius or less."""
     found = [()]
-    for _ in range(LANES):
+    for _ in range(n):
         found = [(*o, d) for o in found for d in range(-radius, radius + 1) if sum(map(abs, o)) + abs(d) <= radius]
     return found
 
 
-def _forest(a: np.ndarray, b: np.ndarray, same: bool, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between two tiles (fingerprints are distinct)."""
-    nodes = a if same else np.concatenate((a, b))
-    shift = 0 if same else len(a)
-    parent = list(range(len(nodes)))
+def _stars(fps: np.ndarray, label: np.ndarray) -> pa.RecordBatch:
+    leaf = np.flatnonzero(label != np.arange(len(fps)))
+    return pa.RecordBatch.from_arrays([pa.array(x.view(np.int64)) for x in (fps[leaf], fps[label[leaf]])], ["a", "b"])
 
-    def root(i: int) -> int:
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
 
-    left, right = [], []
-    step = max(1, 4_000_000 // max(1, len(b)))
+def within_tiles(tile: np.ndarray, fps: np.ndarray, radius: int) -> np.ndarray:
+    """Of each place the least one linked to it, where ``tile`` (sorted, as are the population counts in a tile) is the same."""
+    label, counts = np.arange(len(fps)), np.bitwise_count(fps).astype(np.int16)
+    near, step = np.arange(len(fps)), 0
+    while True:
+        step += 1
+        near = near[near + step < len(fps)]
+        near = near[(tile[near + step] == tile[near]) & (counts[near + step] - counts[near] <= radius)]
+        if not len(near):
+            return label
+        hit = near[np.bitwise_count(fps[near] ^ fps[near + step]) <= radius]
+        if len(hit):
+            label = merged(label, hit, hit + step)
+
+
+def between(a: np.ndarray, b: np.ndarray, radius: int) -> np.ndarray:
+    """Labels, as above, of the places of a and then b, by the links between the two."""
+    label, step = np.arange(len(a) + len(b)), max(1, 4_000_000 // max(1, len(b)))
     for at in range(0, len(a), step):
-        near = np.bitwise_count(a[at : at + step, None] ^ b[None, :]) <= radius
-        for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
-            i, j = i + at, j + shift
-            ri, rj = root(i), root(j)
-            if ri != rj:
-                parent[max(ri, rj)] = min(ri, rj)
-                left.append(i)
-                right.append(j)
-    return nodes[left], nodes[right]
+        i, j = np.nonzero(np.bitwise_count(a[at : at + step, None] ^ b[None, :]) <= radius)
+        if len(i):
+            label = merged(label, i + at, j + len(a))
+    return label
 
 
 def links(distinct: DataFrame, radius: int = RADIUS, tile_rows: int = TILE_ROWS) -> DataFrame:
     """(a, b): links that connect every two fingerprints within ``radius`` bits.
 
-    ``distinct`` has the column fp, each value once. Only links that a
-    spanning forest of a tile pair needs are returned; no component is lost.
+    ``distinct`` has the column fp, each value once. Links are the stars of a
+    tile or pair of tiles: they connect what is linked there, no component is
+    lost, and none is joined that no links join.
     """
-    lanes = [_lane(F.col("fp"), i) for i in range(LANES)]
-    cells = distinct.select("fp", _cell(lanes).alias("cell"))
-    sizes = F.broadcast(cells.groupBy("cell").agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("tiles")))
-    dealt = cells.join(sizes, "cell").withColumn("tile", F.pmod(F.xxhash64("fp"), "tiles").cast("int"))
-    tiles = stage(dealt.groupBy("cell", "tile").agg(F.sort_array(F.collect_list("fp")).alias("fps")), "simhash-tiles")
-
-    own = [F.col("cell") / (LANE_BITS + 1) ** (LANES - 1 - i) for i in range(LANES)]
-    own = [F.floor(x).cast("int") % (LANE_BITS + 1) for x in own]
-    moves = F.explode(F.array(*[F.struct(*[F.lit(d).alias(f"d{i}") for i, d in enumerate(o)]) for o in _offsets(radius)]))
-    moved = [own[i] + F.col(f"move.d{i}") for i in range(LANES)]
-    fits = F.lit(True)
-    for x in moved:
-        fits = fits & x.between(0, LANE_BITS)
-    near = tiles.select("cell", "tile", "fps", moves.alias("move")).where(fits).withColumn("cell_b", _cell(moved))
-    near = near.where("cell_b >= cell").drop("move")
-    counts = F.broadcast(tiles.groupBy("cell").agg((F.max("tile") + 1).alias("tiles")).withColumnRenamed("cell", "cell_b"))
-    near = near.join(counts, "cell_b").withColumn("tile_b", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    near = near.where("cell_b > cell or tile_b >= tile")
-    other = tiles.select(F.col("cell").alias("cell_b"), F.col("tile").alias("tile_b"), F.col("fps").alias("fps_b"))
-    pairs = near.join(other, ["cell_b", "tile_b"]).select("fps", "fps_b", F.expr("cell = cell_b and tile = tile_b").alias("same"))
+    lanes = _bits(radius)
+    each = F.inline(F.array(*[F.struct(F.lit(i).alias("lane"), _lane(F.col("fp"), *x).alias("bits")) for i, x in enumerate(lanes)]))
+    dealt = stage(distinct.select("fp", each), "simhash-lanes")
+    hot = dealt.groupBy("lane", "bits").agg(F.count("*").alias("n")).where(F.col("n") > tile_rows).select("lane", "bits")
+    hot = stage(hot, "simhash-hot")
+    usual = dealt.join(hot, ["lane", "bits"], "left_anti").repartition("lane", "bits").sortWithinPartitions("lane", "bits", F.bit_count("fp"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = [np.empty((3, 0), dtype=np.int64)]
+        for batch in batches:
+            held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)]))
+            rows = np.concatenate(held, axis=1)
+            new = np.flatnonzero((np.diff(rows[0]) != 0) | (np.diff(rows[1]) != 0)) + 1
+            whole = int(new[-1]) if len(new) else 0  # the last tile may go on in the next batch
+            held = [rows[:, whole:]]
+            yield compared(rows[:, :whole])
+        yield compared(held[0])
+
+    def compared(rows: np.ndarray) -> pa.RecordBatch:
+        tile = np.cumsum((np.diff(rows[0], prepend=-1) != 0) | (np.diff(rows[1], prepend=-1) != 0))
+        fps = np.ascontiguousarray(rows[2]).view(np.uint64)
+        return _stars(fps, within_tiles(tile, fps, radius))
+
+    found = usual.select("lane", "bits", "fp").mapInArrow(run, "a long, b long")
+    return found.union(_hot_links(dealt.join(hot, ["lane", "bits"], "left_semi"), lanes, radius, tile_rows))
+
+
+def _hot_links(rows: DataFrame, lanes: list[tuple[int, int]], radius: int, tile_rows: int) -> DataFrame:
+    """(a, b) of the lanes whose bits too many share: tiles by the other lanes' population counts, pairs of tiles as rows."""
+    counts = [f"p{i}" for i in range(len(lanes))]
+    own = [F.when(F.col("lane") == i, 0).otherwise(F.bit_count(_lane(F.col("fp"), *x))).cast("int").alias(c) for i, (c, x) in enumerate(zip(counts, lanes))]
+    cells = rows.select("lane", "bits", "fp", *own)
+    cell = ["lane", "bits", *counts]
+    sizes = stage(cells.groupBy(*cell).agg(F.ceil(F.count("*") / tile_rows).cast("int").alias("tiles")), "simhash-cells")
+    cut = cells.join(sizes, cell).withColumn("tile", F.pmod(F.xxhash64("fp"), "tiles").cast("int"))
+    tiles = stage(cut.groupBy(*cell, "tile").agg(F.sort_array(F.collect_list("fp")).alias("fps")), "simhash-tiles")
+
+    moves = F.explode(F.array(*[F.struct(*[F.lit(d).alias(c) for c, d in zip(counts, o)]) for o in _offsets(len(lanes), radius)]))
+    near = tiles.select(*cell, "tile", "fps", moves.alias("move"))
+    near = near.select("lane", "bits", *[(F.col(c) + F.col(f"move.{c}")).alias(c) for c in counts], F.struct(*counts).alias("from"), F.col("tile").alias("tile_a"), F.col("fps").alias("fps_a"))
+    to = F.struct(*counts)
+    near = near.where(to >= F.col("from")).join(sizes, cell).withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    near = near.where((to > F.col("from")) | (F.col("tile") >= F.col("tile_a")))
+    pairs = near.join(tiles, [*cell, "tile"]).select("fps_a", "fps")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 256):
-            found = []
-            for x, y, same in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist()):
+            for x, y in zip(batch.column(0), batch.column(1)):
                 a, b = (z.values.to_numpy(zero_copy_only=False).view(np.uint64) for z in (x, y))
-                found.append(_forest(a, b, same, radius))
-            if found:
-                a, b = (np.concatenate(x).view(np.int64) for x in zip(*found))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                yield _stars(np.concatenate((a, b)), between(a, b, radius))
 
     return pairs.mapInArrow(run, "a long, b long")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """(node, root): connected components of the links (a, b) by alternating stars.
-
-    Every node of an edge gets the smallest node of its component. Each round
-    groups and joins on nodes and is staged; nothing but two numbers, the
-    count and a checksum of the edges, comes to the driver.
-    """
-    state = stage(edges.where("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), "stars")
-    seen = None
-    while True:
-        both = state.union(state.select("b", "a")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b"))).distinct()
-        state = stage(small, "stars")
-        now = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == seen:
-            return state.select(F.col("a").alias("node"), F.col("b").alias("root")).union(state.select("b", "b").distinct())
-        seen = now
-
-
 def _row_key() -> Column:
     """What tells rows apart: 128 bits of doc_id and text. A null text counts as empty."""
     return F.md5(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")), F.coalesce("text", F.lit(""))))
@@ -185,8 +192,7 @@ def _classes(docs: DataFrame, radius: int, shingle: int) -> DataFrame:
     prints = stage(fingerprints(docs, shingle), "simhash-prints")
     nodes = prints.groupBy("fp").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("copies"))
     nodes = stage(nodes, "simhash-nodes")
-    roots = components(links(nodes.select("fp"), radius))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    rooted = nodes.join(components(nodes.select("fp"), links(nodes.select("fp"), radius)).toDF("fp", "root"), "fp")
     named = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return prints.join(rooted.join(named, "root").select("fp", "root", "component_id", "copies"), "fp")
 
