@@ -1,6 +1,6 @@
 """Connected components: local contraction, then alternating large and small stars.
 
-First each range of node numbers contracts its links to stars by pointer jumping
+First each block of node numbers contracts its links to stars by pointer jumping
 in one pass; mesh numbers are local, so most of a mesh falls together there. Then
 rounds over what is left grow with the logarithm of the nodes, not with a
 mesh's diameter. Each round groups and joins on nodes and is staged in the
@@ -17,12 +17,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tetraflow.operators.topology import dual_edges, neighbours
+from tetraflow.operators.topology import CORNERS, face_adjacency, neighbours
 from tetraflow.staging import staged
 
 
 #: Links that a task holds before it gives out the stars it has.
 LOCAL_LINKS = 2_000_000
+#: Numbers that differ in these bits only are contracted in the same task.
+BLOCK_BITS = 16
 
 
 def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -49,7 +51,7 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def contracted(links: DataFrame) -> DataFrame:
-    """(a, b) with a > b: fewer links of integer nodes that connect the same nodes; stars of each range of a."""
+    """(a, b) with a > b: fewer links of integer nodes that connect the same nodes; stars of each block of a."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -66,7 +68,8 @@ def contracted(links: DataFrame) -> DataFrame:
                 yield from given()
         yield from given()
 
-    return links.selectExpr("cast(a as long) a", "cast(b as long) b").repartitionByRange("a").mapInArrow(run, "a long, b long")
+    # blocks of numbers near each other, without the pass that a range partitioning takes to find its bounds
+    return links.selectExpr("cast(a as long) a", "cast(b as long) b").repartition(F.shiftright("a", BLOCK_BITS)).mapInArrow(run, "a long, b long")
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -82,6 +85,13 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
             return rows.join(small, key)
         return rows.withColumn(key, F.bitwise_not(key)).join(small.withColumn(key, F.bitwise_not(key)), key).withColumn(key, F.bitwise_not(key))
 
+    leaves = None
+    if whole:
+        # a node with one link, to a smaller one, goes where that goes; what is left is small after the contraction
+        rows = staged(links.distinct(), "contracted")
+        ends = rows.select(F.explode(F.array("a", "b")).alias("a")).groupBy("a").agg(F.count("*").alias("n"))
+        rows = staged(rows.join(ends, "a"), "ends")
+        leaves, links = rows.where("n = 1").select("a", "b"), rows.where("n > 1").select("a", "b")
     state = staged(links.distinct(), "stars")
     seen = None
     while True:
@@ -95,6 +105,9 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         if now == seen:
             break
         seen = now
+    if leaves is not None:
+        further = leaves.join(state.toDF("b", "root"), "b", "left").select("a", F.coalesce("root", "b").alias("b"))
+        state = state.unionAll(further)
     own = nodes.toDF("node")
     return own.join(state.toDF("node", "root"), "node", "left").select("node", F.coalesce("root", "node").alias("comp"))
 
@@ -102,9 +115,8 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def part_components(tetra: DataFrame, part: str = "part") -> DataFrame:
     """(tid, part, comp): face-connected pieces of each partition."""
     side = tetra.select("tid", F.col(part).alias("part"))
-    pairs = dual_edges(tetra)
-    met = pairs.join(side.toDF("tid_a", "part_a"), "tid_a").join(side.toDF("tid_b", "part_b"), "tid_b").where("part_a = part_b")
-    found = components(side.select("tid"), met.select("tid_a", "tid_b"))
+    faces = face_adjacency(tetra.select("tid", *CORNERS, F.col(part).alias("part"))).where((F.col("n") == 2) & (F.col("a.part") == F.col("b.part")))
+    found = components(side.select("tid"), faces.select(F.col("a.tid").alias("tid_a"), F.col("b.tid").alias("tid_b")))
     return side.join(found.toDF("tid", "comp"), "tid")
 
 

@@ -20,13 +20,25 @@ def _kept(df: DataFrame, wanted: tuple[str, ...]) -> list[str]:
     return [c for c in wanted if c in df.columns]
 
 
+#: Vertices that are sent to every task; beyond, corners and vertices meet in exchanges.
+FEW_VERTICES = 1_000_000
+
+
 def attach_corners(tetra: DataFrame, vertices: DataFrame, columns: tuple[str, ...] = ("x", "y", "z"), corners: tuple[str, ...] = CORNERS, key: str = "tid") -> DataFrame:
     """``tetra`` with the vertex columns of each corner, named x0, y0, z0, x1 and so on.
 
-    Narrow (key, corner, vid) rows meet the vertices once and are folded back
-    by key: two exchanges of narrow rows, where a join for each corner would
-    carry the whole, growing row through one exchange each.
+    Vertices are counted first. FEW_VERTICES or less are broadcast and nothing
+    is exchanged. Beyond, narrow (key, corner, vid) rows meet the vertices once
+    and are folded back by key: two exchanges of narrow rows, where a join for
+    each corner would carry the whole, growing row through one exchange each.
+    A corner without a vertex has nulls; a row of which none has one is left out.
     """
+    if vertices.count() <= FEW_VERTICES:
+        out, names = tetra, [f"{c}{i}" for i in range(len(corners)) for c in columns]
+        for i, corner in enumerate(corners):
+            at = vertices.select(F.col("vid").alias(corner), *[F.col(c).alias(f"{c}{i}") for c in columns], F.lit(True).alias(f"__met{i}"))
+            out = out.join(F.broadcast(at), corner, "left")
+        return out.where(F.coalesce(*[f"__met{i}" for i in range(len(corners))])).select(*tetra.columns, *names)
     each = tetra.select(key, F.posexplode(F.array(*corners)).alias("corner", "vid"))
     met = each.join(vertices.select("vid", *columns), "vid")
     folded = met.groupBy(key).agg(*[F.max(F.when(F.col("corner") == i, F.col(c))).alias(f"{c}{i}") for i in range(len(corners)) for c in columns])
