@@ -1,9 +1,10 @@
-"""Point location: a grid equi-join with an exact test of the candidates.
+"""Point location: grids of several widths, equi-joins on their cells, an exact test of the candidates.
 
-Tetra are dealt to the cells that their boxes meet, points to their own cell;
-cells are about as large as the largest tetra's mean extent, so a tetra meets
-few and nothing is compared with everything. Points outside go to the nearest
-vertex by rings of cells that widen until one is found.
+An element is dealt to the cells that its box meets in the grid whose cells
+are the power of two next above its own extent: eight cells at most, however
+graded the mesh. A point is looked up once in each grid that has elements.
+Only numbers travel with cells; corners meet the hits. Points outside go to
+the nearest vertex by rings of cells that widen until one is found.
 """
 
 from __future__ import annotations
@@ -18,24 +19,46 @@ from tetraflow.schema import EPS
 from tetraflow.staging import staged
 
 
-
 def _corner(i: int) -> G.Vec:
     return tuple(F.col(f"{c}{i}") for c in "xyz")
 
 
-def cell_size(tetra_at: DataFrame, corners: int = 4) -> float:
-    """The mean largest extent of the elements; one number."""
-    extents = [F.greatest(*[F.col(f"{c}{i}") for i in range(corners)]) - F.least(*[F.col(f"{c}{i}") for i in range(corners)]) for c in "xyz"]
-    return float(tetra_at.agg(F.avg(F.greatest(*extents))).first()[0] or 1.0) or 1.0
+#: Grids start off the origin by this part of a cell: elements that end on multiples of their extent then meet fewer cells.
+SHIFT = 0.37
+
+
+def _extent(corners: int) -> Column:
+    return F.greatest(*[F.greatest(*x) - F.least(*x) for x in ([F.col(f"{c}{i}") for i in range(corners)] for c in "xyz")])
+
+
+def _leveled(at: DataFrame, corners: int, least: float = 0.0) -> DataFrame:
+    """``at`` with level: the power of two of its grid's cells, no less than the extent or ``least``."""
+    extent = F.greatest(_extent(corners), F.lit(least), F.lit(2.0**-1000))
+    return at.withColumn("level", F.ceil(F.log2(extent)).cast("int"))
 
 
-def _cells(size: float, corners: int, margin: float) -> Column:
-    """All cells that an element's box meets, as structs."""
+def _cell(x: Column, level: Column) -> Column:
+    return F.floor(x / F.pow(F.lit(2.0), level) + SHIFT)
+
+
+def _cells(at: DataFrame, key: str, corners: int, margin: Column) -> DataFrame:
+    """(key, level, ci, cj, ck): the cells of its grid that each element's box meets."""
     ranges = []
     for c in "xyz":
         values = [F.col(f"{c}{i}") for i in range(corners)]
-        ranges.append(F.sequence(F.floor((F.least(*values) - margin) / size), F.floor((F.greatest(*values) + margin) / size)))
-    return F.flatten(F.transform(ranges[0], lambda i: F.flatten(F.transform(ranges[1], lambda j: F.transform(ranges[2], lambda k: F.struct(i.alias("ci"), j.alias("cj"), k.alias("ck")))))))
+        ranges.append(F.sequence(_cell(F.least(*values) - margin, F.col("level")), _cell(F.greatest(*values) + margin, F.col("level"))))
+    cells = F.flatten(F.transform(ranges[0], lambda i: F.flatten(F.transform(ranges[1], lambda j: F.transform(ranges[2], lambda k: F.struct(i.alias("ci"), j.alias("cj"), k.alias("ck")))))))
+    return at.select(key, "level", F.inline(cells))
+
+
+def _candidates(points: DataFrame, at: DataFrame, key: str, corners: int, margin: Column) -> DataFrame:
+    """(pid, px, py, pz, the columns of ``at``): each point with the elements whose box may hold it."""
+    levels = [r.level for r in at.select("level").distinct().collect()]  # exponents of doubles: 2,100 at most
+    grids = F.explode(F.array(*[F.lit(x) for x in levels]) if levels else F.array().cast("array<int>"))
+    asked = points.select("pid", *[F.col(c).alias(f"p{c}") for c in "xyz"], grids.alias("level"))
+    asked = asked.select("*", *[_cell(F.col(f"p{c}"), F.col("level")).alias(f"c{n}") for c, n in zip("xyz", "ijk")])
+    hits = asked.join(_cells(at, key, corners, margin), ["level", "ci", "cj", "ck"]).select("pid", "px", "py", "pz", key)
+    return hits.join(at.drop("level"), key)
 
 
 def _own_cell(size: float, prefix: str = "") -> list[Column]:
@@ -49,11 +72,8 @@ def locate(points: DataFrame, tetra: DataFrame, vertices: DataFrame, eps: float
     Points on a shared face go to the smallest tid. A point in no tetra takes
     the nearest vertex, with weight one on it (the smallest tid of its ball).
     """
-    at = staged(attach_corners(tetra.select("tid", "v0", "v1", "v2", "v3"), vertices), "located-tetra")
-    size = cell_size(at)
-    dealt = at.withColumn("cell", F.explode(_cells(size, 4, eps * size))).select("*", "cell.*").drop("cell")
-    asked = points.select("pid", F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"))
-    met = asked.select("*", *[F.floor(F.col(f"p{c}") / size).alias(f"c{n}") for c, n in zip("xyz", "ijk")]).join(dealt, ["ci", "cj", "ck"])
+    at = staged(_leveled(attach_corners(tetra.select("tid", "v0", "v1", "v2", "v3"), vertices), 4), "located-tetra")
+    met = _candidates(points, at, "tid", 4, eps * F.pow(F.lit(2.0), F.col("level")))
     q = (F.col("px"), F.col("py"), F.col("pz"))
     phi = F.array(*G.barycentric([_corner(i) for i in range(4)], q))
     tested = met.select("pid", "tid", phi.alias("phi"))
@@ -62,15 +82,16 @@ def locate(points: DataFrame, tetra: DataFrame, vertices: DataFrame, eps: float
     found = tested.groupBy("pid").agg(F.min(hit).alias("hit"), F.count("*").alias("candidates")).where("hit is not null")
     found = staged(found.select("pid", "hit.tid", "hit.phi", F.lit("inside").alias("how"), "candidates"), "located")
     lost = points.join(found.select("pid"), "pid", "left_anti")
-    return found.unionByName(_nearest(lost, at, size))
+    return found.unionByName(_nearest(lost, at))
 
 
-def _nearest(points: DataFrame, at: DataFrame, size: float) -> DataFrame:
+def _nearest(points: DataFrame, at: DataFrame) -> DataFrame:
     """The nearest vertex of each point, in rings of cells twice as wide each time.
 
-    A vertex found within a ring is the nearest only if it is no farther than
-    the ring reaches; else the next ring decides. A round with no points left ends it.
-    Meant for strays: a point farther off than the mesh is wide meets all its vertices.
+    Rings lie around the place of the mesh's box that is nearest to the point.
+    A vertex that no ring has met yet is farther from there than the ring
+    reaches, and so from the point by Pythagoras at least; a nearer one is the
+    nearest, else the next ring decides. A round with no points left ends it.
     """
     corners = F.explode(F.array(*[F.struct(F.col(f"v{i}").alias("vid"), F.lit(i).alias("corner"), F.col(f"x{i}").alias("x"), F.col(f"y{i}").alias("y"), F.col(f"z{i}").alias("z")) for i in range(4)]))
     each = at.select("tid", corners.alias("c")).select("tid", "c.*")
@@ -79,19 +100,23 @@ def _nearest(points: DataFrame, at: DataFrame, size: float) -> DataFrame:
     out = points.sparkSession.createDataFrame([], schema)
     left = staged(points.select("pid", "x", "y", "z"), "lost")
     vertex = staged(vertex, "corners") if not left.isEmpty() else vertex
-    ring = size
-    while not left.isEmpty():
+    box = at.agg(F.avg(_extent(4)).alias("size"), *[f(*[g(f"{c}{i}") for i in range(4)]).alias(f"{n}{c}") for n, f, g in (("lo", F.least, F.min), ("hi", F.greatest, F.max)) for c in "xyz"]).first()
+    ring = box.size or 1.0
+    if box.size is not None:
+        left = left.select("*", *[F.greatest(F.lit(box[f"lo{c}"]), F.least(F.lit(box[f"hi{c}"]), F.col(c))).alias(f"q{c}") for c in "xyz"])
+    while box.size is not None and not left.isEmpty():
         around = F.explode(F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda i: F.flatten(F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda j: F.transform(F.sequence(F.lit(-1), F.lit(1)), lambda k: F.struct(i.alias("i"), j.alias("j"), k.alias("k"))))))))
-        near = left.select("pid", "x", "y", "z", *_own_cell(ring), around.alias("d")).select("pid", F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"), *[(F.col(f"c{n}") + F.col(f"d.{n}")).alias(f"c{n}") for n in "ijk"])
+        off = sum(((F.col(c) - F.col(f"q{c}")) ** 2 for c in "yz"), (F.col("x") - F.col("qx")) ** 2)
+        near = left.select("pid", "x", "y", "z", off.alias("off"), *_own_cell(ring, "q"), around.alias("d")).select("pid", "off", F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"), *[(F.col(f"c{n}") + F.col(f"d.{n}")).alias(f"c{n}") for n in "ijk"])
         met = near.join(vertex.select("home", "vid", "x", "y", "z", *_own_cell(ring)), ["ci", "cj", "ck"])
         d2 = (F.col("x") - F.col("px")) ** 2 + (F.col("y") - F.col("py")) ** 2 + (F.col("z") - F.col("pz")) ** 2
-        best = met.groupBy("pid").agg(F.min(F.struct(d2.alias("d2"), "vid", "home")).alias("b"), F.count("*").alias("candidates"))
-        done = staged(best.where(F.col("b.d2") <= ring * ring), "nearest")
+        best = met.groupBy("pid").agg(F.min(F.struct(d2.alias("d2"), "vid", "home")).alias("b"), F.count("*").alias("candidates"), F.first("off").alias("off"))
+        done = staged(best.where(F.col("b.d2") <= F.col("off") + ring * ring), "nearest")
         phi = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (i == F.col("b.home.corner")).cast("double"))
         out = out.unionByName(done.select("pid", F.col("b.home.tid").alias("tid"), phi.alias("phi"), F.lit("nearest").alias("how"), "candidates"))
         left = staged(left.join(done.select("pid"), "pid", "left_anti"), "lost")
         ring *= 2.0
-        if ring > 1e300 or vertex.isEmpty():
+        if ring > 1e150:
             break
     return out
 
@@ -103,11 +128,8 @@ def locate_on_surface(points: DataFrame, triangles: DataFrame, vertices: DataFra
     its inside, edges and corners, so no cone or wedge about them is needed.
     """
     met = attach_corners(surface_normals(triangles, vertices), vertices, corners=("v0", "v1", "v2"), key="fid")
-    at = staged(met.select("fid", *[f"{c}{i}" for i in range(3) for c in "xyz"]), "surface")
-    size = max(cell_size(at, 3), hausd)
-    dealt = at.withColumn("cell", F.explode(_cells(size, 3, hausd))).select("*", "cell.*").drop("cell")
-    asked = points.select("pid", F.col("x").alias("px"), F.col("y").alias("py"), F.col("z").alias("pz"))
-    pairs = asked.select("*", *[F.floor(F.col(f"p{c}") / size).alias(f"c{n}") for c, n in zip("xyz", "ijk")]).join(dealt, ["ci", "cj", "ck"])
+    at = staged(_leveled(met.select("fid", *[f"{c}{i}" for i in range(3) for c in "xyz"]), 3, hausd), "surface")
+    pairs = _candidates(points, at, "fid", 3, F.lit(hausd))
     p, q = [_corner(i) for i in range(3)], (F.col("px"), F.col("py"), F.col("pz"))
     flat, _ = G.barycentric2d(p, q)
     options = [F.struct(F.array_min(F.array(*flat)).alias("low"), F.array(*flat).alias("phi"))]
