@@ -283,3 +283,44 @@ def test_a_failing_round_is_undone(spark, cube):
     with pytest.warns(S.MeshDegraded, match="undone"):
         tetra, *_ = adapt.adapt(t.select("tid", *topology.CORNERS, "ref"), sized, S.AdaptParams(niter=2), broken)
     assert tetra.count() == t.count()
+
+
+def test_points_that_straddle_a_grid_line_are_one(spark):
+    from tetraflow.operators import exchange
+
+    rows = [(0, 1, 0.4999999995001, 0.0, 0.0), (1, 1, 0.49999999949999, 0.0, 0.0), (0, 2, 0.5, 0.0, 0.0), (1, 2, 0.5 + 9e-10, 0.0, 0.0), (2, 1, 0.5 + 18e-10, 0.0, 0.0), (0, 3, 0.6, 0.0, 0.0), (1, 3, 0.6 + 3e-9, 0.0, 0.0), (0, 4, None, 0.0, 0.0), (1, 4, None, 0.0, 0.0)]
+    got = {(r.part, r.lid): r.gid for r in exchange.merge_by_coordinates(spark.createDataFrame(rows, "part int, lid long, x double, y double, z double")).collect()}
+    groups = {}
+    for k, v in got.items():
+        groups.setdefault(v, set()).add(k)
+    assert sorted(map(sorted, groups.values())) == [[(0, 1), (0, 2), (1, 1), (1, 2), (2, 1)], [(0, 3)], [(0, 4), (1, 4)], [(1, 3)]]
+
+
+def test_a_huge_element_beside_small_ones_costs_few_cells(spark):
+    from tetraflow.operators import locate
+
+    vertices = [(0, 0.0, 0.0, 0.0), (1, 1000.0, 0.0, 0.0), (2, 0.0, 1000.0, 0.0), (3, 0.0, 0.0, -1000.0)]
+    tetra, n = [(0, 0, 2, 1, 3)], 4
+    for i in range(20):  # small ones above the plane z = 0
+        base = (float(i), 0.0, 1.0)
+        vertices += [(n, *base), (n + 1, base[0] + 0.5, 0.0, 1.0), (n + 2, base[0], 0.5, 1.0), (n + 3, base[0], 0.0, 1.5)]
+        tetra.append((i + 1, n, n + 1, n + 2, n + 3))
+        n += 4
+    v = spark.createDataFrame(vertices, "vid long, x double, y double, z double")
+    t = spark.createDataFrame(tetra, "tid long, v0 long, v1 long, v2 long, v3 long")
+    at = locate._leveled(locate.attach_corners(t, v), 4)
+    assert locate._cells(at, "tid", 4, locate.F.lit(1e-6)).groupBy("tid").count().agg({"count": "max"}).first()[0] <= 27
+    points = [(1, 100.0, 100.0, -100.0), (2, 3.1, 0.1, 1.1), (3, 1e6, 0.0, 0.0)]
+    found = {r.pid: (r.tid, r.how) for r in locate.locate(spark.createDataFrame(points, "pid long, x double, y double, z double"), t, v).collect()}
+    assert found == {1: (0, "inside"), 2: (4, "inside"), 3: (0, "nearest")}
+
+
+def test_corners_meet_vertices_alike_by_broadcast_and_by_exchange(spark, monkeypatch):
+    from tetraflow.operators import topology
+
+    t = spark.createDataFrame([(0, 0, 1, 2, 3), (1, 1, 2, 3, 9), (2, 7, 8, 9, 9)], "tid long, v0 long, v1 long, v2 long, v3 long")
+    v = spark.createDataFrame([(i, float(i), None, 2.0 * i) for i in range(5)], "vid long, x double, y double, z double")
+    one = topology.attach_corners(t, v)
+    monkeypatch.setattr(topology, "FEW_VERTICES", 0)
+    other = topology.attach_corners(t, v)
+    assert one.columns == other.columns and sorted(one.collect()) == sorted(other.collect()) and one.count() == 2

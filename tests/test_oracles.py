@@ -5,6 +5,7 @@ import math
 import duckdb
 import pytest
 
+from tetraflow.plans import frame_queries  # noqa: F401  (registers its queries)
 from tetraflow.plans import lattice_queries as L
 
 SF = "/root/testdata/sf0.001"
@@ -26,7 +27,7 @@ def plain(rows, order):
 @pytest.mark.parametrize("name", sorted(L.oracle_sql()))
 def test_query_equals_its_oracle(spark, duck, name):
     df = L.queries()[name](spark, SF)
-    rel = duck.sql(L.oracle_sql()[name])
+    rel = duck.sql(f"SELECT * FROM ({L.oracle_sql()[name]}) LIMIT 100000000")  # no oracle may need a plan that a limit spoils
     assert sorted(df.columns) == sorted(rel.columns)
     columns = sorted(df.columns)
     assert plain(df.collect(), [df.columns.index(c) for c in columns]) == plain(rel.fetchall(), [rel.columns.index(c) for c in columns])

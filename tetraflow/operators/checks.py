@@ -7,6 +7,7 @@ import warnings
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tetraflow.operators.exchange import SAME_PLACE, places
 from tetraflow.operators.topology import CORNERS, face_adjacency
 from tetraflow.schema import MeshDegraded, MeshInvalid
 
@@ -17,9 +18,10 @@ def split_nodes(copies: DataFrame, eps: float = 1e-9) -> DataFrame:
     return copies.groupBy("gid").agg(spread.alias("spread")).where(F.col("spread") > eps)
 
 
-def merged_nodes(copies: DataFrame, digits: int = 9) -> DataFrame:
-    """(x, y, z, n): places at which several ids stand."""
-    return copies.groupBy(*[F.round(c, digits).alias(c) for c in "xyz"]).agg(F.countDistinct("gid").alias("n")).where("n > 1")
+def merged_nodes(copies: DataFrame, eps: float = SAME_PLACE) -> DataFrame:
+    """(gid, n): places at which several ids stand, by the smallest of them."""
+    at = places(copies.select(F.col("gid").cast("long").alias("id"), "x", "y", "z"), eps)
+    return at.groupBy(F.col("place").alias("gid")).agg(F.countDistinct("id").alias("n")).where("n > 1")
 
 
 def crowded_faces(tetra: DataFrame) -> DataFrame:

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tetraflow.operators.components import components
 from tetraflow.operators.topology import CORNERS, part_vertices, shared_by
+from tetraflow.staging import staged
+
+#: Points whose coordinates differ by no more than this are one.
+SAME_PLACE = 1e-9
 
 
 def halo_tetra(tetra: DataFrame, part: str = "part") -> DataFrame:
@@ -51,15 +56,41 @@ def merge_copies(df: DataFrame, key: tuple[str, ...]) -> DataFrame:
     return merged.select(*key, "part", *[F.col(f"__rest.{c}").alias(c) for c in others])
 
 
-def merge_by_coordinates(vertices: DataFrame, digits: int = 9) -> DataFrame:
+def places(points: DataFrame, eps: float = SAME_PLACE) -> DataFrame:
+    """``points`` (id, x, y, z) with place: the smallest id of those that stand together.
+
+    Two points are together if no coordinate differs by more than ``eps``, and
+    so are points that others connect. Points of equal coordinates fall
+    together first; what is left goes to cells a few times as wide as ``eps``,
+    and to the next cell too where it lies within ``eps`` of it, so that points
+    on both sides of a border meet. Null coordinates stand with equal ones only.
+    """
+    at = points.groupBy("x", "y", "z").agg(F.min("id").alias("place"))
+    wide = F.lit(8.0 * eps)
+    axes = [F.array_distinct(F.array(F.floor((F.col(c) - eps) / wide), F.floor((F.col(c) + eps) / wide))) for c in "xyz"]
+    cells = F.flatten(F.transform(axes[0], lambda i: F.flatten(F.transform(axes[1], lambda j: F.transform(axes[2], lambda k: F.struct(i.alias("i"), j.alias("j"), k.alias("k")))))))
+    dealt = at.select("place", "x", "y", "z", F.explode(cells).alias("cell"))
+    crowded = dealt.groupBy("cell").agg(F.count("*").alias("n")).where("n > 1").select("cell")
+    dealt = staged(dealt.join(crowded, "cell", "left_semi"), "cells")
+    other = dealt.select("cell", *[F.col(c).alias(f"{c}_b") for c in ("place", "x", "y", "z")])
+    near = F.col("place") < F.col("place_b")
+    for c in "xyz":
+        near = near & (F.abs(F.col(c) - F.col(f"{c}_b")) <= eps)
+    links = dealt.join(other, "cell").where(near).select("place", "place_b")
+    found = components(at.select("place").distinct(), links).toDF("place", "root")
+    named = at.join(found, "place").select(*[F.col(c).alias(f"{c}_p") for c in "xyz"], F.col("root").alias("place"))
+    met = F.lit(True)
+    for c in "xyz":
+        met = met & F.col(c).eqNullSafe(F.col(f"{c}_p"))
+    return points.join(named, met).drop("x_p", "y_p", "z_p")
+
+
+def merge_by_coordinates(vertices: DataFrame, eps: float = SAME_PLACE) -> DataFrame:
     """(part, lid, gid, x, y, z): local vertices (part, lid, x, y, z) with the number of the point they are.
 
-    Coordinates are rounded to a grid, which makes being the same point an
-    equality, not a comparison of all pairs. gid is a stable, not a dense, id:
-    the smallest (part, lid) at the point, packed in one long.
+    Points within ``eps`` of each other on every axis are the same. gid is a
+    stable, not a dense, id: the smallest (part, lid) at the point, packed in one long.
     """
-    grid = [F.round(c, digits).alias(f"__{c}") for c in "xyz"]
     packed = F.col("part").cast("long") * F.lit(2**40) + F.col("lid")
-    keyed = vertices.select("*", *grid)
-    named = keyed.groupBy("__x", "__y", "__z").agg(F.min(packed).alias("gid"))
-    return keyed.join(named, ["__x", "__y", "__z"]).select("part", "lid", "gid", "x", "y", "z")
+    named = places(vertices.withColumn("id", packed), eps)
+    return named.select("part", "lid", F.col("place").alias("gid"), "x", "y", "z")

@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tetraflow import schema as S
@@ -167,7 +167,8 @@ def interface_tables(sections: DataFrame) -> DataFrame:
         head = _select(sections, heads, "k", {"part_out": "int", "n": "long"})
         rows = _select(sections, items, "row", {"lid": "long", "gid": "long", "k": "long"})
         met = rows.withColumn("k", F.col("k") + 1).join(head, ["part", "k"])
-        one = met.select(F.lit(kind).alias("kind"), F.col("part").alias("part_in"), "part_out", (F.col("row") - 1).alias("pos"), "lid", "gid")
+        pos = F.row_number().over(Window.partitionBy("part", "k").orderBy("row")) - 1  # of a pair of parts, whatever rows stand between
+        one = met.select(F.lit(kind).alias("kind"), F.col("part").alias("part_in"), "part_out", pos.cast("long").alias("pos"), "lid", "gid")
         out = one if out is None else out.unionByName(one.join(out.select("part_in").distinct(), "part_in", "left_anti"))
     return out
 
@@ -239,8 +240,6 @@ def write_mesh(mesh: MeshFrame, path: str, part: int | None = None) -> None:
             rows = tables["iface"].where(F.col("kind") == kind).withColumn("part", F.col("part_in"))
             count = rows.groupBy("part", "part_out").agg(F.count("*").alias("n"))
             section(heads, count, "part_out", ["part_out", "n"])
-            from pyspark.sql import Window
-
             slot = F.dense_rank().over(Window.partitionBy("part").orderBy("part_out")) - 1
             numbered = rows.withColumn("slot", slot)
             title = rows.select("part").distinct()
@@ -274,12 +273,12 @@ def ranked_name(path: str, part: int) -> str:
     return f"{stem}.{part}.{extension}" if dot else f"{path}.{part}"
 
 
-def globalised(mesh: MeshFrame, digits: int = 9) -> MeshFrame:
-    """A mesh of several files with one id for each point: corners, triangles, edges and solutions are rewritten, copies merged."""
+def globalised(mesh: MeshFrame, eps: float = 1e-9) -> MeshFrame:
+    """A mesh of several files with one id for each point: corners, triangles, edges and solutions are rewritten, copies within ``eps`` merged."""
     from tetraflow.operators.exchange import merge_by_coordinates, merge_copies
 
     v = mesh.tables["vertices"]
-    ids = merge_by_coordinates(v.select("part", F.col("vid").alias("lid"), "x", "y", "z"), digits).select("part", "lid", "gid")
+    ids = merge_by_coordinates(v.select("part", F.col("vid").alias("lid"), "x", "y", "z"), eps).select("part", "lid", "gid")
     tables = dict(mesh.tables)
     moved = v.join(ids.withColumnRenamed("lid", "vid"), ["part", "vid"]).drop("vid").withColumnRenamed("gid", "vid")
     tables["vertices"] = merge_copies(moved, ("vid",))
