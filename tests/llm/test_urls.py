@@ -85,3 +85,24 @@ def test_subtrees_below_the_fifth_segment(spark):
     for u, verdict, template in verdicts(spark, rows):
         expected = ("block", "/a/b/c/d/e/spam/**") if "spam" in u else ("block", "/a/b/c/d/e/**") if "g.test" in u else ("allow", None)
         assert (verdict, template) == expected, u
+
+
+def test_the_method_decides_urls_without_a_rule(spark):
+    """On hosts most of whose judged urls a rule blocks; where rules allow, or say nothing, urls stay."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    own = urls.judge(pages).where("rule is null").collect()
+    blocked = [r for r in own if r.verdict == "block"]
+    assert blocked and all(r.template is not None for r in blocked) and len(blocked) < len(own)
+    share = {}
+    for r in urls.judge(pages).where("rule is not null").collect():
+        share.setdefault(r.host, []).append(r.verdict == "block")
+    assert all(sum(share[r.host]) >= 0.8 * len(share[r.host]) for r in blocked)
+
+
+def test_many_rules_judge_as_few_do(spark, monkeypatch):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").limit(200)
+    odd = spark.createDataFrame([(None, None), (-1, "http://example.com/en/7"), (-2, "http://com/en/"), (-3, "x://a..com/en/"), (-3, "x://a..com/en/")], "page_id long, url string")
+    pages = pages.select("page_id", "url").unionByName(odd)
+    one = sorted(map(str, urls.judge(pages).collect()))
+    monkeypatch.setattr(urls, "MAX_RULES", 2)
+    assert sorted(map(str, urls.judge(pages).collect())) == one

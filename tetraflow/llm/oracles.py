@@ -100,7 +100,10 @@ lag_ AS (SELECT *, lag(bad) OVER w AS bad0, lag(labelled) OVER w AS lab0 FROM le
 apart AS (SELECT *, CASE WHEN bad0 IS NULL OR abs(bad / labelled - bad0 / lab0) > 1.0 * sqrt((bad + bad0 + 1) / (labelled + lab0 + 2) * (1 - (bad + bad0 + 1) / (labelled + lab0 + 2)) * (1 / labelled + 1 / lab0)) THEN 1 ELSE 0 END AS cut FROM lag_),
 br AS (SELECT *, sum(cut) OVER (PARTITION BY host, parent ORDER BY bad / labelled, template) AS branch FROM apart),
 pool AS (SELECT host, template, sum(bad) OVER p AS b, sum(labelled) OVER p AS m FROM br WINDOW p AS (PARTITION BY host, parent, branch)),
-pure AS (SELECT host, template, (b + 1.0) / (m + 4.0) AS q, m + 4.0 AS t FROM pool),
+every AS (SELECT host, template, bad, labelled, k, array_to_string(list_slice(string_split(template, '/'), 1, k), '/') AS above FROM (SELECT *, unnest(range(1, greatest(len(string_split(template, '/')) - 1, 1) + 1)) AS k FROM leaf) u),
+known AS (SELECT host, above, sum(bad) AS b0, sum(labelled) AS m0 FROM every WHERE labelled > 0 GROUP BY host, above),
+heir AS (SELECT e.host, e.template, arg_max(b0, k) AS b, arg_max(m0, k) AS m FROM every e JOIN known n ON n.host = e.host AND n.above = e.above WHERE labelled = 0 GROUP BY e.host, e.template),
+pure AS (SELECT host, template, (b + 1.0) / (m + 4.0) AS q, m + 4.0 AS t FROM (SELECT host, template, b, m FROM pool UNION ALL SELECT host, template, b, m FROM heir) u),
 rej AS (SELECT host, template FROM pure WHERE q - sqrt(q * (1 - q) / t) >= 0.8),
 hit AS (SELECT x.host, x.raw, x.template FROM t{_DEEPEST} x JOIN rej USING (host, template))
 SELECT page_id, s.host, path, rule, coalesce(by_rule, CASE WHEN hit.host IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict, hit.template FROM s LEFT JOIN hit ON hit.host = s.host AND hit.raw = s.raw

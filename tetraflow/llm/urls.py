@@ -14,8 +14,9 @@ threshold. A template without labels takes the evidence of its nearest
 ancestor, the host at last, that has some.
 
 Labels: a column of the caller's (1 bad, 0 good, null unknown); where there is
-none, the urls on which a rule decides are the labelled rows. Rules choose by
-path, so these say nothing of other paths and don't reach templates without labels.
+none, the urls on which a rule decides are the labelled rows: blocked ones are
+bad, allowed ones good. So a host most of whose judged urls are blocked is
+rejected in the templates that no rule speaks of.
 
 Skew: all urls of a host collapse to raw templates by partial aggregation
 before the first shuffle; the levels work on templates only. Only rejected
@@ -55,9 +56,7 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
 
 
 def explicit_rule(host: Column, path: Column, rules: tuple[tuple[str, str, str], ...] = RULES) -> tuple[Column, Column]:
-    """The text and verdict of the longest rule that fits, or nulls. The rules are a list of bounded length."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; at most {MAX_RULES} are compared with every url")
+    """The text and verdict of the longest rule that fits, or nulls, as expressions; for a list of bounded length."""
     rule = verdict = F.lit(None).cast("string")
     for what, name, start in sorted(rules, key=lambda r: (len(r[1]) + len(r[2]), r)):  # the longest is asked first
         fits = ((host == name) | host.endswith("." + name)) & path.startswith(start)
@@ -65,6 +64,26 @@ def explicit_rule(host: Column, path: Column, rules: tuple[tuple[str, str, str],
     return rule, verdict
 
 
+def ruled(urls: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
+    """``urls`` (host, path, ...) with rule and by_rule, the longest rule that fits and its verdict, or nulls.
+
+    Up to MAX_RULES rules are compared with every url in place; more are a
+    table that each distinct (host, path) meets by its host and parent domains.
+    """
+    if len(rules) <= MAX_RULES:
+        rule, verdict = explicit_rule(F.col("host"), F.col("path"), rules)
+        return urls.withColumn("rule", rule).withColumn("by_rule", verdict)
+    table = urls.sparkSession.createDataFrame(list(rules), "what string, name string, start string")
+    labels = F.split("host", r"\.", -1)
+    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    once = urls.select("host", "path").distinct()
+    met = once.select("host", "path", F.explode(F.array_distinct(domains)).alias("name")).join(table, "name").where(F.col("path").startswith(F.col("start")))
+    longest = F.max(F.struct((F.length("name") + F.length("start")).alias("n"), "what", "name", "start"))
+    best = met.groupBy("host", "path").agg(longest.alias("r"))
+    best = best.select("host", "path", F.concat("r.name", "r.start").alias("rule"), F.col("r.what").alias("by_rule"))
+    return urls.join(best, ["host", "path"], "left")
+
+
 def _raw_segments(path: Column, depth: int | None = None) -> Column:
     parts = F.filter(F.split(path, "/", -1), lambda s: s != "")
     if depth is not None:
@@ -118,14 +137,14 @@ def _inherited(leaf: DataFrame) -> DataFrame:
     return near.select("host", "template", "x.b0", "x.m0")
 
 
-def judged_templates(tree: DataFrame, reject_at: float = REJECT_AT, inherit: bool = True) -> DataFrame:
+def judged_templates(tree: DataFrame, reject_at: float = REJECT_AT) -> DataFrame:
     """(host, template, branch, purity, rejected): templates with the merged evidence of branches alike.
 
     Below each parent, labelled templates are sorted by their share of bad
     labels; neighbours whose shares a two-proportion z-test cannot tell apart
     form one branch and pool their labels. A template without labels joins no
     branch; it has the purity of its nearest ancestor with labels, or the prior
-    if there is none or ``inherit`` is off.
+    if there is none.
     """
     leaf = tree.groupBy("host", "template").agg(*[F.sum(c).alias(c) for c in ("n", "bad", "labelled")])
     leaf = leaf.withColumn("parent", F.regexp_extract("template", r"(?s)^(.*)/[^/]*$", 1))
@@ -140,8 +159,7 @@ def judged_templates(tree: DataFrame, reject_at: float = REJECT_AT, inherit: boo
     branch = branch.select("host", "template", "branch", F.sum("bad").over(pool).alias("b"), F.sum("labelled").over(pool).alias("m"))
     total = F.coalesce("m", F.lit(0)) + PRIOR_BAD + PRIOR_GOOD
     purity = (F.coalesce("b", F.lit(0)) + PRIOR_BAD) / total
-    if inherit:
-        branch = branch.unionByName(_inherited(leaf).select("host", "template", F.lit(None).cast("long").alias("branch"), F.col("b0").alias("b"), F.col("m0").alias("m")))
+    branch = branch.unionByName(_inherited(leaf).select("host", "template", F.lit(None).cast("long").alias("branch"), F.col("b0").alias("b"), F.col("m0").alias("m")))
     out = leaf.select("host", "template").join(branch, ["host", "template"], "left").withColumn("purity", purity)
     return out.select("host", "template", "branch", "purity", (purity - F.sqrt(purity * (1 - purity) / total) >= reject_at).alias("rejected"))
 
@@ -158,11 +176,10 @@ def judge(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES, lab
     host, path = host_and_path(F.col("url"))
     marked = F.col(label).cast("int") if label else F.lit(None).cast("int")
     base = pages.select("page_id", host.alias("host"), path.alias("path"), marked.alias("label"))
-    rule, verdict = explicit_rule(F.col("host"), F.col("path"), rules)
-    base = base.withColumn("rule", rule).withColumn("by_rule", verdict).withColumn("raw", _raw_segments(F.col("path")))
+    base = ruled(base, rules).withColumn("raw", _raw_segments(F.col("path")))
     bad = F.col("label") if label else F.when(F.col("by_rule") == "block", 1).when(F.col("by_rule") == "allow", 0)
     tree = template_tree(base.select("host", "raw", bad.alias("bad")))
-    rejected = judged_templates(tree, reject_at, inherit=label is not None).where("rejected").select("host", "template")
+    rejected = judged_templates(tree, reject_at).where("rejected").select("host", "template")
     reject = tree.join(rejected, ["host", "template"]).select("host", "raw", "template")
     key = F.concat_ws("/", "raw")
     reject = reject.select("host", key.alias("k"), "template")
