@@ -19,6 +19,19 @@ import numpy as np
 
 CACHE_WORDS = 900_000
 _TWO_BLANKS = re.compile(r"\s\s")
+#: White space beside space and line break, as \s has it.
+_OTHER_BLANKS = [chr(x) for x in range(0x3001) if chr(x).isspace() and chr(x) not in " \n"]
+_ASCII_BLANKS = [x for x in _OTHER_BLANKS if x.isascii()]
+
+
+def _blanks_meet(text: str) -> bool:
+    """Whether two characters of white space stand side by side; searches for single characters are fast."""
+    if "  " in text or " \n" in text or "\n " in text or "\n\n" in text:
+        return True
+    for blank in _ASCII_BLANKS if text.isascii() else _OTHER_BLANKS:
+        if blank in text:
+            return _TWO_BLANKS.search(text) is not None
+    return False
 
 
 def _byte_letters() -> dict[int, str]:
@@ -90,7 +103,7 @@ class Encoder:
             return np.empty(0, dtype=self.type)
         if not self.by_word or any(x in text for x in self.added):  # the library cuts texts at its added tokens first
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, dtype=self.type)
-        if _TWO_BLANKS.search(text):
+        if _blanks_meet(text):
             return np.frombuffer(self.fresh(text), dtype=self.type)
         out, spaced = [], self.after_space.__getitem__
         for line in text.split("\n"):
