@@ -139,7 +139,7 @@ def test_bisection_halves(cube):
     sizes = [r["count"] for r in partition.bisect(partition.centres(t, v), 8).groupBy("part").count().collect()]
     assert len(sizes) == 8 and sum(sizes) == 384 and max(sizes) <= 2 * min(sizes)
     with pytest.raises(ValueError):
-        partition.bisect(partition.centres(t, v), 3)
+        partition.bisect(partition.centres(t, v), 0)
 
 
 def test_group_numbers():
@@ -324,3 +324,32 @@ def test_corners_meet_vertices_alike_by_broadcast_and_by_exchange(spark, monkeyp
     monkeypatch.setattr(topology, "FEW_VERTICES", 0)
     other = topology.attach_corners(t, v)
     assert one.columns == other.columns and sorted(one.collect()) == sorted(other.collect()) and one.count() == 2
+
+
+def test_any_number_of_parts_with_a_cut_no_larger_than_bisection_has(spark):
+    from tetraflow.operators import partition
+    from tetraflow.sources.lattice import lattice
+
+    vertices, tetra, _ = lattice(spark, "/root/testdata/sf0.001")
+    n = tetra.count()
+    for parts in (3, 5, 6):
+        first = partition.bisect(partition.centres(tetra, vertices), parts)
+        last = partition.partitioned(tetra, vertices, parts)
+        sizes = [r["count"] for r in last.groupBy("part").count().collect()]
+        assert sorted(r.part for r in last.select("part").distinct().collect()) == list(range(parts)) and sum(sizes) == n
+        assert max(sizes) <= 1.3 * n / parts
+        cut = lambda a: partition.cut_size(tetra.drop("part").join(a, "tid")).first().n_cut
+        assert cut(last) <= cut(first)
+
+
+def test_a_level_set_is_snapped_where_it_stays_a_manifold(spark):
+    from tetraflow.operators import levelset, topology
+    from tetraflow.sources.lattice import lattice
+
+    vertices, tetra, m = lattice(spark, "/root/testdata/sf0.001")
+    ls = vertices.select("vid", (vertices["x"] - 3.0 + 1e-8).alias("v"))
+    cut, points = levelset.discretise(tetra, vertices, ls, snap=True)
+    assert cut.count() == tetra.count() and points.count() == vertices.count()  # every value near the plane went to it
+    faces = topology.face_adjacency(cut.select("tid", *topology.CORNERS, "ref"))
+    between = faces.where("n = 2 and a.ref <> b.ref").count()
+    assert between == 2 * (m - 1) ** 2 and faces.where("n > 2").count() == 0

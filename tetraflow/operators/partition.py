@@ -1,13 +1,11 @@
 """Partitioning: dual graph and weights, bisection, groups, repair, displacement, balancing.
 
-The partitioner is coordinate bisection over a histogram, level by level; it is
-not a graph partitioner and its cuts differ from one by design.
+The partitioner is coordinate bisection over a histogram, level by level, into
+any number of parts, and a refinement that moves elements along the dual graph.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,29 +55,76 @@ def centres(tetra: DataFrame, vertices: DataFrame) -> DataFrame:
 
 
 def bisect(points: DataFrame, n_parts: int, key: str = "tid", resolution: int = RESOLUTION) -> DataFrame:
-    """(key, part): ``n_parts`` parts, a power of two, by halving along x, y, z in turn.
-
-    A level bins each part's coordinate at ``resolution`` steps of its extent,
-    finds the first bin up to which half of the part lies, and cuts after it.
-    A level costs two aggregations to parts x resolution rows at most; no
-    sort, and nothing whose size follows the points comes to one task.
+    """(key, part): ``n_parts`` parts, any number, by cutting along x, y, z in turn.
+
+    Each level cuts a group of k parts in one of k // 2 and one of the rest, at
+    the fitting share of its points; a group of one part is left. A level bins
+    each group's coordinate at ``resolution`` steps of its extent and cuts
+    after the first bin up to which that share lies. It costs two aggregations
+    to groups x resolution rows at most; no sort, and nothing whose size
+    follows the points comes to one task. Groups are numbered by halving, so a
+    power of two gets the parts 0 to n - 1 in that order; others are numbered anew.
     """
-    levels = int(math.log2(n_parts))
-    if 2**levels != n_parts:
-        raise ValueError("bisection makes a power of two of parts")
-    state = points.select(key, "x", "y", "z").withColumn("part", F.lit(0))
-    for level in range(levels):
+    if n_parts < 1:
+        raise ValueError("a mesh has one part at least")
+    state, groups, level = points.select(key, "x", "y", "z").withColumn("part", F.lit(0)), {0: n_parts}, 0
+    while any(k > 1 for k in groups.values()):
         axis = "xyz"[level % 3]
         state = staged(state, "bisect")
-        extent = F.broadcast(state.groupBy("part").agg(F.min(axis).alias("lo"), F.max(axis).alias("hi")))  # a row per part
+        share = F.element_at(F.create_map(*[F.lit(x) for g, k in groups.items() for x in (g, (k + 1) // 2 / k)]), F.col("part"))  # an entry per group
+        extent = F.broadcast(state.groupBy("part").agg(F.min(axis).alias("lo"), F.max(axis).alias("hi")))  # a row per group
         step = F.when(F.col("hi") > F.col("lo"), F.floor((F.col(axis) - F.col("lo")) * resolution / (F.col("hi") - F.col("lo")))).otherwise(0)
         binned = state.join(extent, "part").withColumn("bin", F.least(step, F.lit(resolution - 1)).cast("int")).drop("lo", "hi")
         counts = binned.groupBy("part", "bin").agg(F.count("*").alias("n"))
         up_to = F.sum("n").over(Window.partitionBy("part").orderBy("bin"))
         total = F.sum("n").over(Window.partitionBy("part"))
-        at = counts.withColumn("c", up_to).withColumn("t", total).where("2 * c >= t").groupBy("part").agg(F.min("bin").alias("cut"))
+        at = counts.withColumn("c", up_to).withColumn("t", total).where(F.col("c") >= share * F.col("t")).groupBy("part").agg(F.min("bin").alias("cut"))
         state = binned.join(F.broadcast(at), "part").withColumn("part", F.col("part") * 2 + (F.col("bin") > F.col("cut")).cast("int")).drop("bin", "cut")
-    return state.select(key, "part")
+        groups = {2 * g + i: k for g, whole in groups.items() for i, k in enumerate(((whole + 1) // 2, whole // 2)) if k}
+        level += 1
+    if len(groups) == 2**level:
+        return state.select(key, "part")
+    names = F.create_map(*[F.lit(x) for i, g in enumerate(sorted(groups)) for x in (g, i)])
+    return state.select(key, F.element_at(names, F.col("part")).alias("part"))
+
+
+def refined(tetra: DataFrame, assigned: DataFrame, n_parts: int, imbalance: float = AdaptParams.imbalance, passes: int = 8) -> DataFrame:
+    """(tid, part): ``assigned`` after tetra have moved along the dual graph to parts in which they have more neighbours.
+
+    In a pass a tetra may move to the part of most of its neighbours (the
+    smallest on ties) if it gains by it. Of two neighbours that want to move
+    only the one with the greater gain does (the smaller tid on ties), so that
+    no two undo each other's; and a part takes in no more than ``imbalance``
+    times the mean leaves room for. Each pass is kept only if the cut shrinks.
+    """
+    pairs = staged(dual_edges(tetra).select("tid_a", "tid_b"), "dual")
+    both = pairs.unionAll(pairs.select("tid_b", "tid_a")).toDF("tid", "tid_n")
+    state = staged(assigned.select("tid", F.col("part").cast("int").alias("part")), "parts")
+    most = int(imbalance * state.count() / max(1, n_parts))
+    cut = lambda df: pairs.join(df.toDF("tid_a", "p"), "tid_a").join(df.toDF("tid_b", "q"), "tid_b").where("p <> q").count()
+    now = cut(state)
+    for _ in range(passes):
+        seen = both.join(state.toDF("tid_n", "part_n"), "tid_n").groupBy("tid", "part_n").agg(F.count("*").alias("n"))
+        votes = seen.join(state, "tid").groupBy("tid", "part").agg(F.max(F.struct("n", (-F.col("part_n")).alias("to"))).alias("best"), F.sum(F.when(F.col("part_n") == F.col("part"), F.col("n")).otherwise(0)).alias("own"))
+        wish = staged(votes.select("tid", "part", (-F.col("best.to")).alias("to"), (F.col("best.n") - F.col("own")).alias("gain")).where("gain > 0 and to <> part"), "wishes")
+        rank = F.struct("gain", (-F.col("tid")).alias("tid"))
+        beside = both.join(wish.select(F.col("tid").alias("tid_n"), rank.alias("other")), "tid_n").groupBy("tid").agg(F.max("other").alias("other"))
+        free = wish.join(beside, "tid", "left").where(F.col("other").isNull() | (F.col("other") < rank))
+        sizes = F.broadcast(state.groupBy(F.col("part").alias("to")).agg(F.count("*").alias("n")))  # a row per part
+        asked = F.broadcast(free.groupBy("to").agg(F.count("*").alias("asked")))  # a row per part
+        room = F.greatest(F.lit(0), F.lit(most) - F.col("n")) / F.col("asked")
+        taken = free.join(sizes, "to").join(asked, "to").where(F.pmod(F.xxhash64("tid"), F.lit(10_000)) < F.floor(room * 10_000))
+        new = staged(state.join(taken.select("tid", "to"), "tid", "left").select("tid", F.coalesce("to", "part").alias("part")), "parts")
+        less = cut(new)
+        if less >= now:
+            break
+        state, now = new, less
+    return state
+
+
+def partitioned(tetra: DataFrame, vertices: DataFrame, n_parts: int, imbalance: float = AdaptParams.imbalance) -> DataFrame:
+    """(tid, part): bisection by place, then refinement along the dual graph; its cut is no larger than the bisection's."""
+    return refined(tetra, bisect(centres(tetra, vertices), n_parts), n_parts, imbalance)
 
 
 def n_groups(n_elements: int, target: int, params: AdaptParams | None = None, redistribution: bool = False) -> int:
@@ -148,7 +193,7 @@ def load_balance(tetra: DataFrame, vertices: DataFrame, params: AdaptParams) ->
     moved = displaced_front(tetra, params.ifc_layers, params.min_group_elements)
     stat = moved.groupBy("part").agg(F.count("*").alias("n")).agg((F.max("n") / F.avg("n")).alias("r"), F.count("*").alias("k")).first()
     if stat.r and stat.r > params.groups_ratio:
-        assigned = bisect(centres(tetra, vertices), 2 ** int(math.log2(max(1, stat.k))))
+        assigned = partitioned(tetra, vertices, stat.k, params.imbalance)
         moved = tetra.drop("part").join(assigned, "tid").select(*tetra.columns)
     return fix_contiguity(moved)
 

@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; one of our own only where it is unset."""
+    """``spark.checkpoint.dir`` of the session; one of our own only where it is unset and Spark runs on this machine alone."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir names no folder that the driver and the executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tetraflow-"))
     return context.getCheckpointDir().rstrip("/")
 
