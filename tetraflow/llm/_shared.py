@@ -2,38 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder, ``spark.checkpoint.dir``.
-
-    Only where no folder is named (tests, a laptop) one is made and set.
-    """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    at = spark.sparkContext.getCheckpointDir()
-    if at is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tetraflow-"))
-        at = spark.sparkContext.getCheckpointDir()
-    return at.rstrip("/")
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
-
-    This cuts the lineage: a lost executor costs no recomputation of what
-    stands above, and later readers see exactly the rows written once.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from tetraflow.staging import shared_folder as shared_dir  # noqa: F401
+from tetraflow.staging import staged as stage  # noqa: F401
 
 
 def unused(df: DataFrame, *names: str) -> list[str]:
