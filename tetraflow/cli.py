@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tetraflow import schema as S
 from tetraflow.frame import MeshFrame
 from tetraflow.operators import checks, levelset, partition, stats, topology
-from tetraflow.plans.adapt import adapt
+from tetraflow.plans.adapt import adapt, graded
 from tetraflow.plans.files import localised
 from tetraflow.sources import catalog, medit, vtk
 
@@ -21,10 +21,18 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("mesh", help="a .mesh file, a glob of one file per partition, a .vtu file, or a Parquet folder")
     p.add_argument("-out", help="where to write: a folder of text files, or of Parquet tables with -parquet")
     p.add_argument("-sol", help="a metric, as a .sol file")
+    p.add_argument("-field", help="fields to carry, as a .sol file")
+    p.add_argument("-snap", action="store_true", help="take values near the level to it, where the surface stays a manifold")
+    p.add_argument("-hmin", type=float, default=-1.0)
+    p.add_argument("-hmax", type=float, default=-1.0)
+    p.add_argument("-hgrad", type=float, default=-1.0, help="the most by which sizes grow a unit of length; off at one or less")
+    p.add_argument("-noinsert", action="store_true")
+    p.add_argument("-nosurf", action="store_true", help="leave the boundary as it is")
+    p.add_argument("-interfaces", action="store_true", help="write node interfaces of the parts")
     p.add_argument("-ls", type=float, nargs="?", const=0.0, help="cut along this value of the level set in -sol")
     p.add_argument("-niter", type=int, default=S.AdaptParams.niter)
     p.add_argument("-hsiz", type=float, default=-1.0, help="one size everywhere")
-    p.add_argument("-parts", type=int, default=0, help="part the mesh anew, into a power of two")
+    p.add_argument("-parts", type=int, default=0, help="part the mesh anew, into so many")
     p.add_argument("-nlayers", type=int, default=S.AdaptParams.ifc_layers)
     p.add_argument("-groups-ratio", type=float, default=S.AdaptParams.groups_ratio)
     p.add_argument("-nobalance", action="store_true", help="leave partitions as they are between rounds")
@@ -59,21 +67,36 @@ def main(arguments: list[str] | None = None) -> int:
 
 
 def run(spark: SparkSession, a: argparse.Namespace) -> MeshFrame:
-    params = S.AdaptParams(niter=a.niter, hsiz=a.hsiz, ifc_layers=a.nlayers, groups_ratio=a.groups_ratio, nobalance=a.nobalance, verbose=a.v, level_set=a.ls is not None)
+    params = S.AdaptParams(
+        niter=a.niter, hsiz=a.hsiz, hmin=a.hmin, hmax=a.hmax, hgrad=a.hgrad, ifc_layers=a.nlayers, groups_ratio=a.groups_ratio, nobalance=a.nobalance,
+        noinsert=a.noinsert, nosurf=a.nosurf, snap=a.snap, verbose=a.v, level_set=a.ls is not None,
+    )
     mesh = load(spark, a.mesh)
+    tables = {k: v for k, v in mesh.tables.items() if k not in ("quads", "prisms") or not v.isEmpty()}
+    mesh = MeshFrame(spark, tables, params).validate()
     tetra, vertices = mesh.tetra, mesh.vertices
+    rest = {k: mesh.tables[k] for k in ("triangles", "edges") if k in mesh.tables}
     if "part" not in tetra.columns or a.parts:
         tetra = tetra.drop("part").withColumn("part", F.lit(0))
     if a.parts > 1:
-        tetra = tetra.drop("part").join(partition.bisect(partition.centres(tetra, vertices), a.parts), "tid")
+        tetra = tetra.drop("part").join(partition.partitioned(tetra, vertices, a.parts), "tid")
     values = medit.read_sol(spark, a.sol).where("name = 'sol0'").select("vid", F.get("val", F.lit(0)).alias("v")) if a.sol else None
+    names, fields = _fields(medit.read_sol(spark, a.field)) if a.field else ({}, None)
     if a.ls is not None:
         if values is None:
             raise S.MeshInvalid("-ls needs the level set in -sol")
-        tetra, vertices = levelset.discretise(tetra, vertices, values, a.ls)
+        old, (tetra, vertices) = vertices, levelset.discretise(tetra, vertices, values, a.ls, snap=a.snap)
+        rest = {"triangles": levelset.carried_triangles(tetra, vertices, rest["triangles"])} if "triangles" in rest else {}
+        if fields is not None:
+            fields = fields.unionByName(levelset.carried(vertices.where("a is not null"), fields))
+        vertices = _tagged(vertices, old)
     elif not a.noadapt:
-        sized = _sized(vertices, values, params)
-        tetra, vertices, _, history = adapt(tetra.select("tid", *topology.CORNERS, "ref", "part"), sized, params)
+        sized = graded(tetra, _sized(vertices, values, params), params.hgrad)
+        old = vertices
+        tetra, vertices, fields, history = adapt(tetra.select("tid", *topology.CORNERS, "ref", "part"), sized, params, fields=fields)
+        if "triangles" in rest:
+            rest = {"triangles": levelset.carried_triangles(tetra, vertices.withColumns({"a": F.lit(None).cast("long"), "b": F.lit(None).cast("long")}), rest["triangles"])}
+        vertices = _tagged(vertices, old)
         if a.v:
             history.orderBy("iteration").show(truncate=False)
     measured = stats.tetra_quality(tetra, vertices)
@@ -84,21 +107,52 @@ def run(spark: SparkSession, a: argparse.Namespace) -> MeshFrame:
         checks.require_empty(checks.crowded_faces(tetra), "a face has more than two tetra")
         checks.require_empty(checks.inverted(measured), "a tetra has no positive volume")
         checks.require_empty(checks.dangling(tetra, vertices), "a tetra has a corner without a vertex")
-    out = MeshFrame(spark, {"tetra": tetra, "vertices": vertices}, params)
+    out = MeshFrame(spark, {"tetra": tetra, "vertices": vertices, **rest}, params)
+    sols = None
+    if fields is not None:
+        for name, (at, size) in names.items():
+            one = fields.select(F.lit(name).alias("name"), "vid", F.slice("val", at + 1, size).alias("val"))
+            sols = one if sols is None else sols.unionAll(one)
+            out = out.set_sols("field", name, one)
     if a.out and a.parquet:
         catalog.save(out, a.out)
     elif a.out:
-        medit.write_mesh(MeshFrame(spark, localised(vertices, tetra), params), a.out)
+        tables = localised(vertices, tetra, rest.get("triangles"), rest.get("edges"), sols, a.interfaces)
+        fresh = tables.pop("sols", None)
+        medit.write_mesh(MeshFrame(spark, tables, params), a.out)
+        if fresh is not None:
+            medit.write_sol(fresh, f"{a.out}.sol")
     return out
 
 
+def _fields(sols: DataFrame) -> tuple[dict[str, tuple[int, int]], DataFrame]:
+    """(where each field begins in val, and its size, by name; (vid, val) of all fields side by side)."""
+    sizes = {r.name: r.size for r in sols.groupBy("name").agg(F.max(F.size("val")).alias("size")).orderBy("name").collect()}  # a row per field
+    names, at = {}, 0
+    for name, size in sizes.items():
+        names[name] = (at, size)
+        at += size
+    together = sols.groupBy("vid").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("name", "val"))), lambda s: s["val"])).alias("val"))
+    return names, together
+
+
+def _tagged(vertices: DataFrame, old: DataFrame) -> DataFrame:
+    """``vertices`` with the refs and tags that the old ones had; new points have none."""
+    kept = [c for c in ("ref", "tag") if c in old.columns]
+    return vertices.select("vid", "x", "y", "z").join(old.select("vid", *kept), "vid", "left").na.fill(0, kept) if kept else vertices
+
+
 def _sized(vertices: DataFrame, values: DataFrame | None, params: S.AdaptParams) -> DataFrame:
     base = vertices.select("vid", "x", "y", "z")
     if params.hsiz > 0:
         return base.withColumn("size", F.lit(params.hsiz))
     if values is None:
         raise S.MeshInvalid("adaptation needs a metric in -sol, or -hsiz")
-    return base.join(values.withColumnRenamed("v", "size"), "vid")
+    sized = base.join(values.withColumnRenamed("v", "size"), "vid", "left")
+    bare = sized.where("size is null").count()
+    if bare:
+        raise S.MeshInvalid(f"{bare} vertices have no value in the metric")
+    return sized
 
 
 if __name__ == "__main__":

@@ -296,3 +296,34 @@ def merged_solutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     copies = topology.part_vertices(tetra, "block").join(vertices.select("vid", "val"), "vid")
     blocks = [copies.where(F.col("part") == i) for i in range(4)]
     return exchange.merge_parts(blocks, ("vid",)).select("vid", F.round("val", 2).alias("val"), "part")
+
+
+@_query("file_round_trip", """
+, tri AS (SELECT t.part, count(*) AS n FROM wall w JOIN tet t ON t.tid = w.fid // 4 GROUP BY t.part),
+ifc AS (SELECT part_in AS part, count(*) AS n FROM (SELECT ps, unnest(ps) AS part_in FROM (SELECT vid, list(part) AS ps FROM pv GROUP BY vid HAVING count(*) > 1) a) b, (SELECT unnest([0, 1, 2, 3]) AS q) c WHERE list_contains(ps, q) AND q <> part_in GROUP BY part_in)
+SELECT 'vertices' AS entity, part, count(*) AS n FROM pv GROUP BY part UNION ALL SELECT 'tetra', part, count(*) FROM tet GROUP BY part UNION ALL SELECT 'triangles', part, n FROM tri UNION ALL SELECT 'iface', part, n FROM ifc
+UNION ALL SELECT 'corners', part, count(*) FROM pv WHERE vid % 13 = 0 GROUP BY part""", _SKIN)
+def file_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vertices with tags, tetra, triangles and node interfaces of each part, written as text files and read back."""
+    vertices, tetra, _ = lattice(spark, sf_dir)
+    triangles, _ = _skin(spark, sf_dir)
+    tagged = vertices.select("vid", "x", "y", "z", F.when(F.col("vid") % 13 == 0, S.CRN).otherwise(0).alias("tag"))
+    path = _fresh(spark, "files")
+    medit.write_mesh(MeshFrame(spark, localised(tagged, tetra, triangles.select("fid", "v0", "v1", "v2", "ref"), interfaces=True)), path)
+    back = medit.read_mesh(spark, path)
+    counted = {k: back.table(k) for k in ("vertices", "tetra", "triangles")} | {"iface": back.table("iface").withColumn("part", F.col("part_in")), "corners": back.vertices.where(F.col("tag").bitwiseAND(S.CRN) != 0)}
+    out = None
+    for name, df in counted.items():
+        one = df.groupBy("part").agg(F.count("*").alias("n")).select(F.lit(name).alias("entity"), "part", "n")
+        out = one if out is None else out.unionAll(one)
+    return out
+
+
+@_query("ls_snapped_cut", """
+, pl AS (SELECT tid, count(*) FILTER (WHERE i < (m - 1) // 2) AS low FROM (SELECT c.tid, v.i, v.m FROM cor c JOIN vtx v USING (vid)) u GROUP BY tid) SELECT CAST(CASE WHEN low > 0 THEN 3 ELSE 2 END AS INTEGER) AS ref, count(*) AS n FROM pl GROUP BY 1""")
+def ls_snapped_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A level set close to a plane of vertices: values are taken to it, and no tetra is cut."""
+    vertices, tetra, m = lattice(spark, sf_dir)
+    ls = vertices.select("vid", (F.col("x") - float((m - 1) // 2) + 1e-8).alias("v"))
+    cut, _ = levelset.discretise(tetra, vertices, ls, snap=True)
+    return cut.groupBy("ref").agg(F.count("*").alias("n"))

@@ -54,6 +54,13 @@ class MeshDegraded(UserWarning):
     """The mesh conforms, but an operation on it was not completed."""
 
 
+#: Read, kept and written, but of kernels and machines that this engine has not: points are neither moved nor swapped, Spark sizes memory.
+IDLE = (
+    "mesh_size", "metis_ratio", "hausd", "hgradreq", "angle_detection", "noswap", "nomove", "optim", "optim_les",
+    "open_boundary", "memory_mb", "debug", "use_required_metric", "local",
+)
+
+
 @dataclass(frozen=True)
 class AdaptParams:
     """Run parameters with their defaults; lengths of zero or less are not set."""
@@ -106,6 +113,11 @@ class AdaptParams:
         if 0 < self.hmax < self.hmin:
             raise MeshInvalid("hmin is larger than hmax")
 
+    def idle(self) -> list[str]:
+        """Parameters set to other than their defaults that no operator of this engine acts on."""
+        usual = type(self)()
+        return [x for x in IDLE if getattr(self, x) != getattr(usual, x)]
+
     @classmethod
     def names(cls) -> list[str]:
         return [f.name for f in fields(cls)]
