@@ -68,3 +68,10 @@ def test_keep_good_passes_clashing_names_and_odd_rows(spark):
     kept = quality.keep_good(docs)
     assert kept.columns == docs.columns and sorted((r.doc_id is None, r.n_words) for r in kept.collect()) == [(False, 2), (False, 6), (True, 4)]
     assert quality.keep_good(docs.limit(0)).count() == 0
+
+
+def test_the_pipeline_s_policy_keeps_good_documents_and_no_bad_ones(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", "quality")
+    kept = {r.quality: r.share for r in quality.ledger(docs).join(labels, "doc_id").groupBy("quality").agg(quality.F.avg(quality.passes("v3").cast("int")).alias("share")).collect()}
+    assert kept[1] >= 0.99 and kept[0] <= 0.02
