@@ -17,8 +17,8 @@ from tetraflow.llm._shared import stage, unused
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the current quality policy."""
-    return quality.keep_good(docs)
+    """Documents that pass the quality policy v3, which keeps short ones."""
+    return quality.keep_good(docs, "v3")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
