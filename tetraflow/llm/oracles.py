@@ -59,7 +59,7 @@ m AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_repla
 b AS (SELECT *, CAST(len(full_lines) AS BIGINT) AS n_lines, CAST(len(full_lines) - len(list_distinct(full_lines)) AS BIGINT) AS n_dup_lines FROM m),
 f AS (SELECT *, CAST((CASE WHEN n_words < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END) + (CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END)
   + (CASE WHEN 10 * n_dup_lines > 4 * n_lines THEN 8 ELSE 0 END) + (CASE WHEN 2 * n_upper_words > n_words THEN 16 ELSE 0 END) + (CASE WHEN 10 * n_letterless_words > 3 * n_words THEN 32 ELSE 0 END)
-  + (CASE WHEN 2 * word_chars < 5 * n_words THEN 64 ELSE 0 END) + (CASE WHEN word_chars > 12 * n_words THEN 128 ELSE 0 END) + (CASE WHEN n_words < 5 THEN 256 ELSE 0 END) AS INTEGER) AS failed_bits FROM b)
+  + (CASE WHEN 2 * word_chars < 5 * n_words THEN 64 ELSE 0 END) + (CASE WHEN word_chars > 12 * n_words THEN 128 ELSE 0 END) + (CASE WHEN n_words < 1 THEN 256 ELSE 0 END) AS INTEGER) AS failed_bits FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed_bits & 3 <> 0 AS base_failed, failed_bits & 255 = 0 AS kept, n_lines, n_upper_words, n_letterless_words, failed_bits FROM f
 """
 
