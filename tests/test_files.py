@@ -3,7 +3,7 @@ import pytest
 from tetraflow import schema as S
 from tetraflow.frame import MeshFrame
 from tetraflow.plans.files import localised
-from tetraflow.sources import catalog, medit
+from tetraflow.sources import catalog, medit, vtk
 
 CUBE = """MeshVersionFormatted 2
 # a comment with Vertices 9
@@ -123,3 +123,79 @@ def S_col():
     from pyspark.sql import functions as F
 
     return F.lit(S.REQ)
+
+
+def binary(version, order, sections):
+    """A binary mesh or solution file of (code, counts, reals and integers by row)."""
+    import struct
+
+    real, whole, place = ("f" if version == 1 else "d"), ("q" if version == 4 else "i"), ("q" if version >= 3 else "i")
+    out = struct.pack(order + "ii", 1, version)
+    for code, head, rows in [(3, [], None), *sections]:
+        body = struct.pack(order + "i", 3) if rows is None else b"".join(struct.pack(order + whole, x) for x in head)
+        body += b"".join(struct.pack(order + (real if isinstance(x, float) else whole), x) for row in rows or () for x in row)
+        after = len(out) + 4 + struct.calcsize(order + place) + len(body)
+        out += struct.pack(order + "i" + place, code, after) + body
+    return out + struct.pack(order + "i" + place, 54, 0)
+
+
+@pytest.mark.parametrize("version,order", [(1, "<"), (2, "<"), (2, ">"), (3, "<"), (4, ">")])
+def test_binary_meshes_and_solutions(spark, tmp_path, version, order):
+    points = [(0.0, 0.0, 0.0, 1), (1.0, 0.0, 0.0, 2), (0.0, 1.0, 0.0, 3), (0.0, 0.0, 0.5, 4)]
+    parts = [(4, [4], points), (99, [2], [(7, 7), (8, 8)]), (6, [1], [(1, 2, 3, 9)]), (8, [1], [(1, 2, 3, 4, 5)]), (13, [1], [(2,)]), (71, [1], [(1, 2)]), (73, [], [(1, 11, 0), (2, 12, 0)])]
+    (tmp_path / "m.0.meshb").write_bytes(binary(version, order, parts))
+    (tmp_path / "s.0.solb").write_bytes(binary(version, order, [(62, [4, 2, 1, 2], [(1.5 * i, 0.0, 1.0, 2.0) for i in range(4)])]))
+    mesh = medit.read_mesh(spark, f"{tmp_path}/m.*.meshb")
+    assert sorted((r.x, r.y, r.z, r.ref) for r in mesh.vertices.collect()) == sorted(points)
+    assert [(r.v0, r.v1, r.v2, r.v3, r.ref) for r in mesh.tetra.collect()] == [(1, 2, 3, 4, 5)] and [(r.v0, r.ref) for r in mesh.triangles.collect()] == [(1, 9)]
+    assert [r.vid for r in mesh.vertices.where(f"tag & {S.CRN} <> 0").collect()] == [2]
+    assert sorted((r.part_out, r.lid, r.gid) for r in mesh.table("iface").collect()) == [(1, 1, 11), (1, 2, 12)]
+    sols = {(r.name, r.vid): r.val for r in medit.read_sol(spark, f"{tmp_path}/s.*.solb").collect()}
+    assert sols[("sol0", 3)] == [3.0] and sols[("sol1", 4)] == [0.0, 1.0, 2.0] and len(sols) == 8
+
+
+def test_binary_files_that_are_none(tmp_path):
+    whole = binary(2, "<", [(4, [4], [(0.0, 0.0, 0.0, 1)] * 4)])
+    for bad in (b"", b"MeshVersionFormatted 2", whole[:40]):
+        with pytest.raises(S.MeshInvalid):
+            medit.unpack(bad)
+
+
+@pytest.mark.parametrize("form", ["ascii", "binary", "binary apart", "base64", "raw"])
+def test_grids_inline_and_appended(spark, tmp_path, form):
+    import base64
+
+    import numpy as np
+
+    arrays = [("Points", "Float64", np.array([[0, 0, 0], [1, 0, 0], [0, 1, 0], [0, 0, 0.25]])), ("connectivity", "Int32", np.array([0, 1, 2, 3])), ("offsets", "Int64", np.array([4])), ("types", "UInt8", np.array([10])), ("f", "Float32", np.array([1.5, 2.5, 3.5, 4.5]))]
+    tail, nodes = b"", {}
+    for name, kind, values in arrays:
+        raw = values.astype(vtk.KINDS[kind]).tobytes()
+        head = np.array([len(raw)], "u4").tobytes()
+        at = len(tail)
+        if form == "ascii":
+            body, how = " ".join(map(str, values.ravel())), 'format="ascii"'
+        elif form.startswith("binary"):
+            body = (base64.b64encode(head) + base64.b64encode(raw) if "apart" in form else base64.b64encode(head + raw)).decode()
+            how = 'format="binary"'
+        else:
+            tail += head + raw if form == "raw" else base64.b64encode(head + raw)
+            body, how = "", f'format="appended" offset="{at}"'
+        nodes[name] = f'<DataArray type="{kind}" Name="{name}" NumberOfComponents="{3 if name == "Points" else 1}" {how}>{body}</DataArray>'
+    end = b'<AppendedData encoding="' + form.encode() + b'">_' + tail + b"</AppendedData>" if tail else b""
+    text = f'<VTKFile type="UnstructuredGrid" byte_order="LittleEndian"><UnstructuredGrid><Piece NumberOfPoints="4" NumberOfCells="1"><PointData>{nodes["f"]}</PointData><Points>{nodes["Points"]}</Points><Cells>{nodes["connectivity"]}{nodes["offsets"]}{nodes["types"]}</Cells></Piece></UnstructuredGrid>'
+    (tmp_path / "g.vtu").write_bytes(text.encode() + end + b"</VTKFile>")
+    mesh = vtk.read_vtu(spark, f"{tmp_path}/g.vtu")
+    assert sorted((r.vid, r.x, r.y, r.z) for r in mesh.vertices.collect()) == [(1, 0.0, 0.0, 0.0), (2, 1.0, 0.0, 0.0), (3, 0.0, 1.0, 0.0), (4, 0.0, 0.0, 0.25)]
+    assert [(r.v0, r.v1, r.v2, r.v3) for r in mesh.tetra.collect()] == [(1, 2, 3, 4)]
+    assert sorted((r.vid, r.val) for r in mesh.sol("field", "f").collect()) == [(i + 1, [i + 1.5]) for i in range(4)]
+
+
+def test_pieces_and_the_file_that_names_them(spark, tmp_path):
+    v = spark.createDataFrame([(p, i + 1, float(i == 1) + 2 * p, float(i == 2), float(i == 3)) for p in (0, 1) for i in range(4)], "part int, vid long, x double, y double, z double")
+    t = spark.createDataFrame([(p, 1, 1, 2, 3, 4) for p in (0, 1)], "part int, tid long, v0 long, v1 long, v2 long, v3 long")
+    assert vtk.write_grid(v, t, f"{tmp_path}/g", "a.b") == ["a-b.0.vtu", "a-b.1.vtu"]
+    assert sorted(x.name for x in (tmp_path / "g").iterdir() if not x.name.startswith(".")) == ["a-b.0.vtu", "a-b.1.vtu", "a-b.pvtu"]
+    assert (tmp_path / "g" / "a-b.pvtu").read_text().count('Source="a-b.') == 2
+    mesh = vtk.read_vtu(spark, f"{tmp_path}/g/a-b.1.vtu")
+    assert mesh.tetra.count() == 1 and sorted(r.x for r in mesh.vertices.collect()) == [2.0, 2.0, 2.0, 3.0]

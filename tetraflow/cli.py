@@ -18,7 +18,7 @@ from tetraflow.sources import catalog, medit, vtk
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="tetraflow", description=__doc__)
-    p.add_argument("mesh", help="a .mesh file, a glob of one file per partition, a .vtu file, or a Parquet folder")
+    p.add_argument("mesh", help="a .mesh or .meshb file, a glob of one file per partition, a .vtu file, or a Parquet folder")
     p.add_argument("-out", help="where to write: a folder of text files, or of Parquet tables with -parquet")
     p.add_argument("-sol", help="a metric, as a .sol file")
     p.add_argument("-field", help="fields to carry, as a .sol file")
@@ -38,6 +38,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-nobalance", action="store_true", help="leave partitions as they are between rounds")
     p.add_argument("-noadapt", action="store_true", help="only part, cut, measure and write")
     p.add_argument("-parquet", action="store_true")
+    p.add_argument("-vtu", action="store_true", help="write pieces and their index in XML")
     p.add_argument("-check", action="store_true", help="run the consistency checks and fail on a fault")
     p.add_argument("-v", type=int, default=1)
     return p
@@ -47,10 +48,10 @@ def load(spark: SparkSession, path: str) -> MeshFrame:
     """A mesh with global ids, from any of the formats."""
     if path.endswith(".vtu"):
         return vtk.read_vtu(spark, path)
-    if path.endswith(".mesh"):
+    if path.endswith((".mesh", ".meshb")):
         mesh = medit.read_mesh(spark, path)
         return medit.globalised(mesh) if "*" in path else mesh
-    if path.endswith((".meshb", ".msh", ".vtk", ".node", ".ele", ".h5")):
+    if path.endswith((".msh", ".vtk", ".node", ".ele", ".h5")):
         raise S.MeshInvalid(f"the format of {path} is not supported")
     return catalog.load(spark, path)
 
@@ -116,6 +117,9 @@ def run(spark: SparkSession, a: argparse.Namespace) -> MeshFrame:
             out = out.set_sols("field", name, one)
     if a.out and a.parquet:
         catalog.save(out, a.out)
+    elif a.out and a.vtu:
+        tables = localised(vertices, tetra)
+        vtk.write_grid(tables["vertices"], tables["tetra"], a.out)
     elif a.out:
         tables = localised(vertices, tetra, rest.get("triangles"), rest.get("edges"), sols, a.interfaces)
         fresh = tables.pop("sols", None)

@@ -113,12 +113,11 @@ def solution_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("grid_pieces", "SELECT p.part, p.n_vertices, t.n_tetra, p.sum_x FROM (SELECT part, count(*) AS n_vertices, round(sum(x), 3) AS sum_x FROM pv JOIN wrp USING (vid) GROUP BY part) p JOIN (SELECT part, count(*) AS n_tetra FROM tet GROUP BY part) t USING (part)")
 def grid_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each part written as a piece in XML, and each piece read back."""
+    """Each part written as a piece in XML with an index, and each piece read back."""
     vertices, tetra, _ = lattice(spark, sf_dir)
     tables, path, out = localised(_warped(vertices), tetra), _fresh(spark, "grid"), None
-    vtk.write_pieces(tables["vertices"], tables["tetra"], path)
-    for part in range(4):
-        mesh = vtk.read_vtu(spark, f"{path}/part={part}")
+    for name in vtk.write_grid(tables["vertices"], tables["tetra"], path):
+        part, mesh = int(name.split(".")[1]), vtk.read_vtu(spark, f"{path}/{name}")
         n = mesh.vertices.agg(F.count("*").alias("n_vertices"), F.round(F.sum("x"), 3).alias("sum_x")).withColumn("part", F.lit(part))
         one = n.join(mesh.tetra.agg(F.count("*").alias("n_tetra")).withColumn("part", F.lit(part)), "part").where("n_tetra > 0").select("part", "n_vertices", "n_tetra", "sum_x")
         out = one if out is None else out.unionAll(one)

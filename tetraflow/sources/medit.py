@@ -1,6 +1,6 @@
-"""Text meshes, solutions and interface tables: one file, or one per partition.
+"""Meshes, solutions and interface tables: one file, or one per partition; text, or binary to be read.
 
-A file is one whitespace-separated token stream of keyword sections. Files are
+A text file is one whitespace-separated token stream of keyword sections. Files are
 read whole, one per row, where an executor can open them, and tokenised in
 Arrow batches; a distributed mesh is as many rows as it has partitions. Every
 section becomes rows of (part, section, pos, numbers) that the tables select
@@ -46,9 +46,17 @@ SECTIONS = {
 }
 ITEMS = {"ParallelCommunicatorTriangles": "ParallelTriangleCommunicators", "ParallelCommunicatorVertices": "ParallelVertexCommunicators"}
 SINGLE = ("MeshVersionFormatted", "Dimension", "NumberOfPartitions")
+# The same in binary files, by code.
+CODES = {
+    3: "Dimension", 4: "Vertices", 5: "Edges", 6: "Triangles", 7: "Quadrilaterals", 8: "Tetrahedra", 9: "Prisms", 12: "RequiredTetrahedra", 13: "Corners", 14: "Ridges",
+    15: "RequiredVertices", 16: "RequiredEdges", 17: "RequiredTriangles", 20: "NormalAtVertices", 54: "End", 60: "Normals", 62: "SolAtVertices",
+    70: "ParallelTriangleCommunicators", 71: "ParallelVertexCommunicators", 72: "ParallelCommunicatorTriangles", 73: "ParallelCommunicatorVertices", 74: "NumberOfPartitions",
+}
 # End of fixed values.
+#: Sections of real numbers, with how many of a row's are; all others hold integers.
+_REALS = {"Vertices": 3, "Normals": 3}
 _COMMENT = re.compile(r"#[^\n]*")
-_PART = re.compile(r"\.(\d+)\.(?:mesh|sol)$|/part=(\d+)/[^/]*$")
+_PART = re.compile(r"\.(\d+)\.(?:mesh|sol)b?$|/part=(\d+)/[^/]*$")
 _SCHEMA = "part int, section string, pos long, v array<double>"
 
 
@@ -98,7 +106,82 @@ def tokenise_sol(text: str) -> tuple[list[int], np.ndarray]:
     return sizes, values.reshape(n, sum(sizes))
 
 
+class _Bytes:
+    """A binary file: numbers in the byte order and widths that its first eight bytes say."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.at = data, 0
+        code = int(np.frombuffer(data, "<i4", 1)[0]) if len(data) >= 8 else 0
+        self.order = {1: "<", 1 << 24: ">"}.get(code)
+        if self.order is None:
+            raise S.MeshInvalid("the file is no binary mesh")
+        self.at = 4
+        self.version = int(self.take("i4", 1)[0])
+        if not 1 <= self.version <= 4:
+            raise S.MeshInvalid(f"binary version {self.version} is not known")
+        self.real, self.whole, self.place = "f4" if self.version == 1 else "f8", "i8" if self.version == 4 else "i4", "i8" if self.version >= 3 else "i4"
+
+    def take(self, kind: str, n: int) -> np.ndarray:
+        size = np.dtype(kind).itemsize * n
+        if self.at + size > len(self.data):
+            raise S.MeshInvalid("the binary file ends early")
+        out = np.frombuffer(self.data, self.order + kind, n, self.at)
+        self.at += size
+        return out
+
+    def sections(self) -> Iterator[str]:
+        """The names of the known sections, each with the place at its first number."""
+        while self.at + 4 <= len(self.data):
+            name = CODES.get(int(self.take("i4", 1)[0]))
+            after = int(self.take(self.place, 1)[0])
+            if name == "End":
+                return
+            if name:
+                yield name
+            if after > 0:
+                self.at = after
+            elif not name:
+                return
+
+
+def unpack(data: bytes) -> dict[str, np.ndarray]:
+    """Sections of a binary mesh file by keyword, each a matrix of numbers; unknown ones are passed over."""
+    file, out = _Bytes(data), {}
+    for name in file.sections():
+        if name in SINGLE:
+            out[name] = file.take("i4", 1).astype(np.float64).reshape(1, 1)
+            continue
+        if name in ITEMS:
+            n, width = int(out.get(ITEMS[name], np.empty((0, 2)))[:, 1].sum()), 3
+        elif name in SECTIONS:
+            n, width = int(file.take(file.whole, 1)[0]), SECTIONS[name]
+        else:
+            continue
+        reals = _REALS.get(name, 0)
+        row = np.dtype([("r", file.order + file.real, (reals,)), ("i", file.order + file.whole, (width - reals,))])
+        if file.at + n * row.itemsize > len(data):
+            raise S.MeshInvalid(f"section {name} ends early")
+        rows = np.frombuffer(data, row, n, file.at)
+        file.at += n * row.itemsize
+        out[name] = np.concatenate((rows["r"].astype(np.float64), rows["i"].astype(np.float64)), axis=1)
+    return out
+
+
+def unpack_sol(data: bytes) -> tuple[list[int], np.ndarray]:
+    """The same of a binary file as ``tokenise_sol`` has of a text."""
+    file = _Bytes(data)
+    for name in file.sections():
+        if name == "SolAtVertices":
+            n, k = int(file.take(file.whole, 1)[0]), int(file.take(file.whole, 1)[0])
+            sizes = [{1: 1, 2: 3, 3: 6}[int(t)] for t in file.take(file.whole, k)]
+            return sizes, file.take(file.real, n * sum(sizes)).astype(np.float64).reshape(n, sum(sizes))
+    raise S.MeshInvalid("the file has no solution at vertices")
+
+
 def _files(spark: SparkSession, path: str) -> DataFrame:
+    """(value, path) of each file, whole: text, or bytes where the name ends in b."""
+    if re.search(r"\.(?:mesh|sol)b$", path):
+        return spark.read.format("binaryFile").load(path).select(F.col("content").alias("value"), "path")
     return spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
 
 
@@ -114,7 +197,7 @@ def read_sections(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for text, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 part = _part_of(name)
-                for section, rows in tokenise(text).items():
+                for section, rows in (unpack(text) if isinstance(text, bytes) else tokenise(text)).items():
                     for at in range(0, len(rows), 100_000):
                         some = rows[at : at + 100_000]
                         n = len(some)
@@ -192,7 +275,7 @@ def read_sol(spark: SparkSession, path: str, kind: str = "field", names: tuple[s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for text, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                sizes, rows = tokenise_sol(text)
+                sizes, rows = unpack_sol(text) if isinstance(text, bytes) else tokenise_sol(text)
                 at = 0
                 for i, size in enumerate(sizes):
                     block = np.ascontiguousarray(rows[:, at : at + size])
