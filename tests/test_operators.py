@@ -353,3 +353,40 @@ def test_a_level_set_is_snapped_where_it_stays_a_manifold(spark):
     faces = topology.face_adjacency(cut.select("tid", *topology.CORNERS, "ref"))
     between = faces.where("n = 2 and a.ref <> b.ref").count()
     assert between == 2 * (m - 1) ** 2 and faces.where("n > 2").count() == 0
+
+
+def test_cuts_are_looked_up_alike_in_place_and_by_exchange(spark, monkeypatch):
+    from tetraflow.operators import levelset, topology
+    from tetraflow.sources.lattice import lattice
+
+    vertices, tetra, _ = lattice(spark, "/root/testdata/sf0.001")
+    ls = vertices.select("vid", (vertices["val"] - 200_000.0).alias("v"))
+    shape = lambda: sorted(tuple(r) for r in levelset.discretise(tetra, vertices, ls)[0].select(*topology.CORNERS, "ref", "part", "parent", "side").collect())
+    one = shape()
+    monkeypatch.setattr(levelset, "FEW_VERTICES", 0)
+    assert shape() == one and len(one) > tetra.count()
+
+
+def test_pieces_equal_those_of_the_general_bisection(spark):
+    import numpy as np
+
+    from tetraflow.operators import levelset
+
+    rng = np.random.default_rng(4)
+    rows, cuts = [], []
+    for t in range(200):
+        rows.append((t, *[10 * t + i for i in rng.permutation(4)]))
+        for i in range(4):
+            for j in range(i):
+                if rng.random() < 0.5:
+                    cuts.append((10 * t + j, 10 * t + i, 10_000 + len(cuts)))
+    order = rng.permutation(len(cuts))
+    cuts = [(a, b, 10_000 + int(n)) for (a, b, _), n in zip(cuts, order)]
+    t = spark.createDataFrame([tuple(map(int, r)) for r in rows], "tid long, v0 long, v1 long, v2 long, v3 long")
+    c = spark.createDataFrame([tuple(map(int, r)) for r in cuts], "a long, b long, vid long")
+    want = {r.tid: [tuple(p) for p in r.pieces] for r in levelset.bisected(t, c).collect()}
+    corners = np.array([r[1:] for r in rows])
+    point = {(a, b): n for a, b, n in cuts}
+    table = np.array([[point.get((min(r[i], r[j]), max(r[i], r[j])), 0) for i, j in levelset.EDGE_CORNERS] for r in corners.tolist()])
+    pieces, row = levelset.halves(corners, table)
+    assert {t: [tuple(p) for p in pieces[row == t].tolist()] for t in range(200)} == want
