@@ -10,7 +10,7 @@ from tetraflow import schema as S
 from tetraflow.functions import geometry as G
 from tetraflow.operators import components, exchange, interpolate, levelset, locate, partition, stats, surface, tags, topology
 from tetraflow.plans import adapt
-from tetraflow.sources.lattice import lattice_tetra, lattice_vertices, side
+from tetraflow.sources.lattice import lattice, lattice_tetra, lattice_vertices, side
 
 
 @pytest.fixture(scope="module")
@@ -390,3 +390,17 @@ def test_pieces_equal_those_of_the_general_bisection(spark):
     table = np.array([[point.get((min(r[i], r[j]), max(r[i], r[j])), 0) for i, j in levelset.EDGE_CORNERS] for r in corners.tolist()])
     pieces, row = levelset.halves(corners, table)
     assert {t: [tuple(p) for p in pieces[row == t].tolist()] for t in range(200)} == want
+
+
+def test_lattice_does_not_pass_for_small(spark):
+    """Spark broadcasts what it expects to be small; it must expect the rows that there are, not the compressed file's bytes."""
+    for df in lattice(spark, "/root/testdata/sf0.1")[:2]:
+        expected = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        assert expected >= df.count() * 8 * len(df.columns)
+
+
+def test_hundreds_of_thousands_of_vertices_are_not_broadcast(spark):
+    v = spark.range(300_000).selectExpr("id vid", "1.0D x", "2.0D y", "3.0D z")
+    t = spark.createDataFrame([(1, 0, 1, 2, 299_999)], "tid long, v0 long, v1 long, v2 long, v3 long")
+    at = topology.attach_corners(t, v)
+    assert "ResolvedHint (strategy=broadcast)" not in at._jdf.queryExecution().analyzed().toString() and at.count() == 1

@@ -20,8 +20,8 @@ def _kept(df: DataFrame, wanted: tuple[str, ...]) -> list[str]:
     return [c for c in wanted if c in df.columns]
 
 
-#: Vertices that are sent to every task; beyond, corners and vertices meet in exchanges.
-FEW_VERTICES = 1_000_000
+#: Vertices that are sent to every task, some 30 MB; beyond, corners and vertices meet in exchanges.
+FEW_VERTICES = 200_000
 
 
 def attach_corners(tetra: DataFrame, vertices: DataFrame, columns: tuple[str, ...] = ("x", "y", "z"), corners: tuple[str, ...] = CORNERS, key: str = "tid") -> DataFrame:

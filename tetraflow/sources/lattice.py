@@ -26,13 +26,19 @@ def side(n: int) -> int:
 
 
 def lattice_vertices(orders: DataFrame, m: int) -> DataFrame:
-    """(vid, i, j, k, x, y, z, val, cust, size) from the rows with o_orderkey < m**3."""
+    """(vid, i, j, k, x, y, z, val, cust, size) from the rows with o_orderkey < m**3.
+
+    m comes as a table of one row: Spark takes a table for as large as its
+    compressed file, and this join makes that eight times as much, which its
+    rows take in memory. Else millions of vertices pass for few and are broadcast.
+    """
     key = F.col("o_orderkey")
-    base = orders.where(key < m**3).select(
+    sides = orders.sparkSession.range(m, m + 1).toDF("m")
+    base = orders.where(key < m**3).crossJoin(F.broadcast(sides)).select(
         key.alias("vid"),
-        (key % m).alias("i"),
-        (F.expr(f"o_orderkey div {m}") % m).alias("j"),
-        F.expr(f"o_orderkey div {m * m}").alias("k"),
+        (key % F.col("m")).alias("i"),
+        (F.expr("o_orderkey div m") % F.col("m")).alias("j"),
+        F.expr("o_orderkey div (m * m)").alias("k"),
         F.col("o_totalprice").alias("val"),
         F.col("o_custkey").alias("cust"),
         (F.lit(0.5) + ((key * 7919) % 100) / F.lit(64.0)).alias("size"),
@@ -41,23 +47,28 @@ def lattice_vertices(orders: DataFrame, m: int) -> DataFrame:
 
 
 def lattice_tetra(vertices: DataFrame, m: int, n_parts: int = N_PARTS) -> DataFrame:
-    """(tid, v0..v3, ref, part, block): part cuts slabs along i, block is 2 x 2 in i and j."""
+    """(tid, v0..v3, ref, part, block): part cuts slabs along i, block is 2 x 2 in i and j.
+
+    The six tetra of a cell come by a join with six rows; of an ``explode``
+    Spark expects no more rows than go in, and would broadcast all tetra.
+    """
     cells = vertices.where((F.col("i") < m - 1) & (F.col("j") < m - 1) & (F.col("k") < m - 1))
     steps, kinds = (1, m, m * m), []
     for a in range(3):
         for b in range(3):
             if a != b:
                 kinds.append((len(kinds), *((steps[a], steps[a] + steps[b]) if (b - a) % 3 == 1 else (steps[a] + steps[b], steps[a]))))
-    each = F.explode(F.array(*[F.struct(F.lit(p).alias("p"), F.lit(d1).cast("long").alias("d1"), F.lit(d2).cast("long").alias("d2")) for p, d1, d2 in kinds]))
+    step = lambda n: F.element_at(F.array(*[F.lit(kind[n]).cast("long") for kind in kinds]), F.col("p").cast("int") + 1)
+    each = vertices.sparkSession.range(len(kinds)).toDF("p").select("p", step(1).alias("d1"), step(2).alias("d2"))
     cuts = max(1, m - 1)
     slab = F.least(F.floor(F.col("i") * n_parts / cuts), F.lit(n_parts - 1)).cast("int")
     block = (F.floor(F.col("i") * 2 / cuts) * 2 + F.floor(F.col("j") * 2 / cuts)).cast("int")
-    cells = cells.select("vid", slab.alias("part"), block.alias("block"), (F.col("cust") % 2).cast("int").alias("ref"), each.alias("e"))
-    return cells.select(
-        (F.col("vid") * 6 + F.col("e.p")).alias("tid"),
+    cells = cells.select("vid", slab.alias("part"), block.alias("block"), (F.col("cust") % 2).cast("int").alias("ref"))
+    return cells.crossJoin(F.broadcast(each)).select(
+        (F.col("vid") * 6 + F.col("p")).alias("tid"),
         F.col("vid").alias("v0"),
-        (F.col("vid") + F.col("e.d1")).alias("v1"),
-        (F.col("vid") + F.col("e.d2")).alias("v2"),
+        (F.col("vid") + F.col("d1")).alias("v1"),
+        (F.col("vid") + F.col("d2")).alias("v2"),
         (F.col("vid") + (1 + m + m * m)).alias("v3"),
         "ref",
         "part",
