@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tetraflow import schema as S
+from tetraflow import staging
 from tetraflow.functions import geometry as G
 from tetraflow.operators import components, exchange, interpolate, levelset, locate, partition, stats, surface, tags, topology
 from tetraflow.plans import adapt
@@ -404,3 +405,15 @@ def test_hundreds_of_thousands_of_vertices_are_not_broadcast(spark):
     t = spark.createDataFrame([(1, 0, 1, 2, 299_999)], "tid long, v0 long, v1 long, v2 long, v3 long")
     at = topology.attach_corners(t, v)
     assert "ResolvedHint (strategy=broadcast)" not in at._jdf.queryExecution().analyzed().toString() and at.count() == 1
+
+
+def test_components_leave_only_tables_that_are_read(spark, cube, tmp_path, monkeypatch):
+    """What a round has replaced goes; a tetra without a part is linked to none."""
+    _, t = cube
+    none = t.withColumn("part", F.when(F.col("tid") % 7 != 0, F.lit(1)))
+    monkeypatch.setattr(staging, "shared_folder", lambda _: f"file://{tmp_path}")
+    found = {r.tid: (r.part, r.comp) for r in components.part_components(none).collect()}
+    assert sorted(p.name.split("-")[0] for p in tmp_path.iterdir()) == ["ends", "stars"]
+    assert len(found) == t.count() and all(comp == tid for tid, (part, comp) in found.items() if part is None)
+    inner = topology.dual_edges(t).collect()
+    assert all(found[r.tid_a][1] == found[r.tid_b][1] for r in inner if r.tid_a % 7 and r.tid_b % 7)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tetraflow.operators.topology import CORNERS, face_adjacency, neighbours
+from tetraflow.operators.topology import CORNERS, neighbours, tetra_faces
 from tetraflow.staging import staged
 
 
@@ -74,6 +74,12 @@ def contracted(links: DataFrame) -> DataFrame:
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, comp): the smallest node that each node (one column) reaches over links (a, b)."""
+    own = nodes.toDF("node")
+    return own.join(roots(links).toDF("node", "root"), "node", "left").select("node", F.coalesce("root", "node").alias("comp"))
+
+
+def roots(links: DataFrame) -> DataFrame:
+    """(a, b): each node of ``links`` but the least of its component, and that."""
     links = links.toDF("a", "b").where("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b")
     whole = isinstance(links.schema["a"].dataType, T.IntegralType)
     if whole:
@@ -88,9 +94,9 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     leaves = None
     if whole:
         # a node with one link, to a smaller one, goes where that goes; what is left is small after the contraction
-        rows = staged(links.distinct(), "contracted")
-        ends = rows.select(F.explode(F.array("a", "b")).alias("a")).groupBy("a").agg(F.count("*").alias("n"))
-        rows = staged(rows.join(ends, "a"), "ends")
+        contract = staged(links, "contracted")
+        ends = contract.select(F.explode(F.array("a", "b")).alias("a")).groupBy("a").agg(F.count("*").alias("n"))
+        rows = staged(contract.join(ends, "a"), "ends", instead=contract)
         leaves, links = rows.where("n = 1").select("a", "b"), rows.where("n > 1").select("a", "b")
     state = staged(links.distinct(), "stars")
     seen = None
@@ -100,7 +106,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         large = met(both, least, "u").where("v > u and v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = met(large, low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        state = staged(small.unionAll(low.select("a", F.col("m").alias("b"))).distinct(), "stars")
+        state = staged(small.unionAll(low.select("a", F.col("m").alias("b"))).distinct(), "stars", instead=state)
         now = state.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             break
@@ -108,16 +114,18 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     if leaves is not None:
         further = leaves.join(state.toDF("b", "root"), "b", "left").select("a", F.coalesce("root", "b").alias("b"))
         state = state.unionAll(further)
-    own = nodes.toDF("node")
-    return own.join(state.toDF("node", "root"), "node", "left").select("node", F.coalesce("root", "node").alias("comp"))
+    return state
 
 
 def part_components(tetra: DataFrame, part: str = "part") -> DataFrame:
     """(tid, part, comp): face-connected pieces of each partition."""
     side = tetra.select("tid", F.col(part).alias("part"))
-    faces = face_adjacency(tetra.select("tid", *CORNERS, F.col(part).alias("part"))).where((F.col("n") == 2) & (F.col("a.part") == F.col("b.part")))
-    found = components(side.select("tid"), faces.select(F.col("a.tid").alias("tid_a"), F.col("b.tid").alias("tid_b")))
-    return side.join(found.toDF("tid", "comp"), "tid")
+    # of a face of two tetra least and largest are all there is, and plain numbers take half the room of structs and no sort
+    tid, own = F.col("tid"), F.col("part")
+    faces = tetra_faces(tetra.select("tid", *CORNERS, F.col(part).alias("part"))).groupBy("f0", "f1", "f2")
+    faces = faces.agg(F.count("*").alias("n"), F.count(own).alias("n_own"), F.min(tid).alias("tid_a"), F.max(tid).alias("tid_b"), F.min(own).alias("part_a"), F.max(own).alias("part_b"))
+    inner = faces.where("n = 2 and n_own = 2 and part_a = part_b").select("tid_a", "tid_b")
+    return side.join(roots(inner).toDF("tid", "root"), "tid", "left").select("tid", "part", F.coalesce("root", "tid").alias("comp"))
 
 
 def contiguity(pieces: DataFrame) -> DataFrame:
