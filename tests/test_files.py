@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from tetraflow import schema as S
@@ -199,3 +200,10 @@ def test_pieces_and_the_file_that_names_them(spark, tmp_path):
     assert (tmp_path / "g" / "a-b.pvtu").read_text().count('Source="a-b.') == 2
     mesh = vtk.read_vtu(spark, f"{tmp_path}/g/a-b.1.vtu")
     assert mesh.tetra.count() == 1 and sorted(r.x for r in mesh.vertices.collect()) == [2.0, 2.0, 2.0, 3.0]
+
+
+def test_grid_rows_come_one_by_one():
+    """A piece's rows are never all in memory at once."""
+    rows = vtk._rows(np.zeros((2, 3)), [(10, [0, 1, 2, 3]), (5, [0, 1, 2])], {"h": np.ones((2, 1))})
+    assert iter(rows) is rows
+    assert [r[:3] for r in rows] == [("p", 1, None), ("p", 2, None), ("t", 1, None), ("f", 1, None), ("d", 1, "h"), ("d", 2, "h")]
