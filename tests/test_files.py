@@ -207,3 +207,21 @@ def test_grid_rows_come_one_by_one():
     rows = vtk._rows(np.zeros((2, 3)), [(10, [0, 1, 2, 3]), (5, [0, 1, 2])], {"h": np.ones((2, 1))})
     assert iter(rows) is rows
     assert [r[:3] for r in rows] == [("p", 1, None), ("p", 2, None), ("t", 1, None), ("f", 1, None), ("d", 1, "h"), ("d", 2, "h")]
+
+
+def test_files_are_read_once_and_tokenised_without_an_object_a_number(spark, tmp_path):
+    import tracemalloc
+
+    (tmp_path / "once.mesh").write_text(CUBE)
+    mesh = medit.read_mesh(spark, f"{tmp_path}/once.mesh")
+    (tmp_path / "once.mesh").unlink()
+    assert mesh.vertices.count() == 5 and mesh.tetra.count() == 2
+    text = "Vertices 100000\n" + "0.5 0.25 1e-3 7\n" * 100_000 + "End"
+    tracemalloc.start()
+    rows = medit.tokenise(text)["Vertices"]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows.shape == (100_000, 4) and rows[-1].tolist() == [0.5, 0.25, 1e-3, 7.0]
+    assert peak < 8 * len(text)
+    with pytest.raises(S.MeshInvalid, match="no number"):
+        medit.tokenise("Vertices 1 1 2 1x 4")

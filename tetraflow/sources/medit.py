@@ -10,6 +10,7 @@ from. Both a keyword and its rows may break lines anywhere; # starts a comment.
 from __future__ import annotations
 
 import re
+import warnings
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 from tetraflow import schema as S
 from tetraflow.frame import MeshFrame
+from tetraflow.staging import staged
 
 # Section keywords with the numbers in a row of each.
 SECTIONS = {
@@ -56,52 +58,73 @@ CODES = {
 #: Sections of real numbers, with how many of a row's are; all others hold integers.
 _REALS = {"Vertices": 3, "Normals": 3}
 _COMMENT = re.compile(r"#[^\n]*")
+#: A keyword; numbers that are written as words are none.
+_WORD = re.compile(r"(?<!\S)(?!(?i:nan|inf|infinity)(?!\S))[^\s\d+.-]\S*")
 _PART = re.compile(r"\.(\d+)\.(?:mesh|sol)b?$|/part=(\d+)/[^/]*$")
 _SCHEMA = "part int, section string, pos long, v array<double>"
 
 
+def _stretches(text: str) -> Iterator[tuple[str, int, int]]:
+    """Each keyword of a text without comments, and where the numbers after it begin and end."""
+    found = None
+    for word in _WORD.finditer(text):
+        if found:
+            yield found[0], found.end(), word.start()
+        found = word
+    if found:
+        yield found[0], found.end(), len(text)
+
+
+def _numbers(text: str, word: str) -> np.ndarray:
+    """The numbers of a text, parsed without a Python object for each."""
+    try:
+        with warnings.catch_warnings():
+            warnings.simplefilter("error", DeprecationWarning)
+            return np.fromstring(text, dtype=np.float64, sep=" ")
+    except (DeprecationWarning, ValueError):
+        raise S.MeshInvalid(f"section {word} holds what is no number") from None
+
+
+def _count(numbers: np.ndarray, word: str) -> int:
+    if not len(numbers) or numbers[0] < 0 or numbers[0] != int(numbers[0]):
+        raise S.MeshInvalid(f"section {word} has no count")
+    return int(numbers[0])
+
+
 def tokenise(text: str) -> dict[str, np.ndarray]:
-    """Sections of a mesh file by keyword, each a matrix of numbers."""
-    tokens, out, at = _COMMENT.sub(" ", text).split(), {}, 0
-    while at < len(tokens):
-        word = tokens[at]
-        at += 1
+    """Sections of a mesh file by keyword, each a matrix of numbers; unknown ones are passed over."""
+    text, out = _COMMENT.sub(" ", text) if "#" in text else text, {}
+    for word, start, end in _stretches(text):
         if word == "End":
             break
+        if word not in SINGLE and word not in SECTIONS and word not in ITEMS:
+            continue
+        numbers = _numbers(text[start:end], word)
         if word in SINGLE:
-            out[word] = np.array([[float(tokens[at])]])
-            at += 1
+            n, width = 1, 1
         elif word in SECTIONS:
-            n, width = int(tokens[at]), SECTIONS[word]
-            rows = np.array(tokens[at + 1 : at + 1 + n * width], dtype=np.float64)
-            if len(rows) != n * width:
-                raise S.MeshInvalid(f"section {word} ends early")
-            out[word] = rows.reshape(n, width)
-            at += 1 + n * width
-        elif word in ITEMS:
-            n = int(out.get(ITEMS[word], np.empty((0, 2)))[:, 1].sum())
-            rows = np.array(tokens[at : at + 3 * n], dtype=np.float64)
-            if len(rows) != 3 * n:
-                raise S.MeshInvalid(f"section {word} ends early")
-            out[word] = rows.reshape(n, 3)
-            at += 3 * n
-        elif not re.match(r"[-+0-9.]", word):
-            n = int(tokens[at]) if at < len(tokens) and tokens[at].isdigit() else 0
-            at += 1 if n else 0  # an unknown section: its numbers are passed over
+            n, width, numbers = _count(numbers, word), SECTIONS[word], numbers[1:]
+        else:
+            n, width = int(out.get(ITEMS[word], np.empty((0, 2)))[:, 1].sum()), 3
+        if len(numbers) < n * width:
+            raise S.MeshInvalid(f"section {word} ends early")
+        out[word] = numbers[: n * width].reshape(n, width)
     return out
 
 
 def tokenise_sol(text: str) -> tuple[list[int], np.ndarray]:
     """(component counts of the solutions, one row of values per vertex)."""
-    tokens = _COMMENT.sub(" ", text).split()
-    if "SolAtVertices" not in tokens:
+    text = _COMMENT.sub(" ", text) if "#" in text else text
+    for word, start, end in _stretches(text):
+        if word == "SolAtVertices":
+            break
+    else:
         raise S.MeshInvalid("the file has no solution at vertices")
-    at = tokens.index("SolAtVertices") + 1
-    n, k = int(tokens[at]), int(tokens[at + 1])
-    sizes = [{1: 1, 2: 3, 3: 6}[int(t)] for t in tokens[at + 2 : at + 2 + k]]
-    at += 2 + k
-    values = np.array(tokens[at : at + n * sum(sizes)], dtype=np.float64)
-    if len(values) != n * sum(sizes):
+    numbers = _numbers(text[start:end], word)
+    n, k = _count(numbers, word), _count(numbers[1:], word)
+    sizes = [{1: 1, 2: 3, 3: 6}[int(x)] for x in numbers[2 : 2 + k]]
+    values = numbers[2 + k : 2 + k + n * sum(sizes)]
+    if len(sizes) != k or len(values) != n * sum(sizes):
         raise S.MeshInvalid("the solution ends early")
     return sizes, values.reshape(n, sum(sizes))
 
@@ -260,8 +283,9 @@ def read_mesh(spark: SparkSession, path: str, params: S.AdaptParams | None = Non
     """A mesh of one file, or of one per partition (a glob). Ids are the files'; part tells them apart.
 
     The files found must be as many as NumberOfPartitions, where it is given.
+    They are read once and staged; each table then reads its own sections.
     """
-    sections = read_sections(spark, path)
+    sections = staged(read_sections(spark, path), "sections")
     declared = sections.where("section = 'NumberOfPartitions'").agg(F.max(F.get("v", F.lit(0)))).first()[0]
     n_files = _files(spark, path).select("path").count() if declared is not None else None
     if declared is not None and int(declared) != n_files:
