@@ -225,3 +225,21 @@ def test_files_are_read_once_and_tokenised_without_an_object_a_number(spark, tmp
     assert peak < 8 * len(text)
     with pytest.raises(S.MeshInvalid, match="no number"):
         medit.tokenise("Vertices 1 1 2 1x 4")
+
+
+def test_tables_are_worked_out_once_for_a_file(spark, tmp_path):
+    import uuid
+
+    (tmp_path / "runs").mkdir()
+    runs = str(tmp_path / "runs")
+
+    def run(batches):
+        open(f"{runs}/{uuid.uuid4().hex}", "w").close()
+        yield from batches
+
+    kind = "part int, vid long, x double, y double, z double, ref int, tag int"
+    vertices = spark.createDataFrame([(0, 1, 0.0, 0.0, 0.0, 1, S.CRN), (0, 2, 1.0, 0.0, 0.0, 1, 0)], kind).coalesce(1).mapInArrow(run, kind)
+    medit.write_mesh(MeshFrame(spark, {"vertices": vertices}), f"{tmp_path}/w")
+    assert len(list((tmp_path / "runs").iterdir())) == 1
+    back = medit.read_mesh(spark, f"{tmp_path}/w").vertices
+    assert sorted((r.vid, r.x, r.tag) for r in back.collect()) == [(1, 0.0, S.CRN), (2, 1.0, 0)]
