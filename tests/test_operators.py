@@ -417,3 +417,11 @@ def test_components_leave_only_tables_that_are_read(spark, cube, tmp_path, monke
     assert len(found) == t.count() and all(comp == tid for tid, (part, comp) in found.items() if part is None)
     inner = topology.dual_edges(t).collect()
     assert all(found[r.tid_a][1] == found[r.tid_b][1] for r in inner if r.tid_a % 7 and r.tid_b % 7)
+
+
+def test_border_kinds_are_counted_without_a_lambda(spark):
+    rows = [(1.0, 0.0, 0.0, 0.0), (0.5, 0.5, 0.0, 0.0), (0.5, 0.25, 0.25, 0.0), (0.25, 0.25, 0.25, 0.25), (0.0, 0.0, 0.0, 0.0), (None, 0.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    kinds = df.select(locate.border(F.array("a", "b", "c", "d")).alias("kind"))
+    assert "lambda" not in kinds._jdf.queryExecution().optimizedPlan().toString()
+    assert [r.kind for r in kinds.collect()] == ["vertex", "edge", "face", "inside", "vertex", "face"]

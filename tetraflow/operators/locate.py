@@ -154,8 +154,9 @@ def locate_on_surface(points: DataFrame, triangles: DataFrame, vertices: DataFra
 
 
 def border(phi: Column, eps: float = EPS) -> Column:
-    """vertex, edge, face or inside: how many of the four coordinates vanish."""
-    small = F.size(F.filter(phi, lambda x: x < eps))
-    return F.when(small >= 3, "vertex").when(small == 2, "edge").when(small == 1, "face").otherwise("inside")
-
+    """vertex, edge, face or inside: how many of the four coordinates vanish.
 
+    Counted without a lambda, which would have Spark interpret the coordinates' own expressions, once for each outcome.
+    """
+    small = sum((F.coalesce(F.get(phi, F.lit(i)) < eps, F.lit(False)).cast("int") for i in range(1, 4)), F.coalesce(F.get(phi, F.lit(0)) < eps, F.lit(False)).cast("int"))
+    return F.element_at(F.array(*[F.lit(x) for x in ("inside", "face", "edge", "vertex", "vertex")]), small + 1)
