@@ -425,3 +425,15 @@ def test_border_kinds_are_counted_without_a_lambda(spark):
     kinds = df.select(locate.border(F.array("a", "b", "c", "d")).alias("kind"))
     assert "lambda" not in kinds._jdf.queryExecution().optimizedPlan().toString()
     assert [r.kind for r in kinds.collect()] == ["vertex", "edge", "face", "inside", "vertex", "face"]
+
+
+def test_ids_of_vertices_alone_do_not_pass_for_no_bytes(spark):
+    """AQE measures no bytes of a row without columns, nor of a product with it, and would broadcast any number of ids."""
+    orders = spark.range(125).selectExpr("id o_orderkey", "cast(id as double) o_totalprice", "id o_custkey")
+    vertices = lattice_vertices(orders, 5)
+    for df in (vertices.select("vid"), vertices.select("vid", F.array("size").alias("val"))):
+        node = df._jdf.queryExecution().optimizedPlan()
+        while node.children().size() == 1:
+            node = node.children().head()
+        assert [node.children().apply(i).output().size() for i in (0, 1)] == [1, 1]
+    assert sorted(r.vid for r in vertices.select("vid").collect()) == list(range(125))

@@ -31,10 +31,13 @@ def lattice_vertices(orders: DataFrame, m: int) -> DataFrame:
     m comes as a table of one row: Spark takes a table for as large as its
     compressed file, and this join makes that eight times as much, which its
     rows take in memory. Else millions of vertices pass for few and are broadcast.
+    m stands in the join's condition, so it is not left out where only ids are
+    asked for: of a row without columns AQE measures no bytes, and of the
+    product with any table neither.
     """
     key = F.col("o_orderkey")
     sides = orders.sparkSession.range(m, m + 1).toDF("m")
-    base = orders.where(key < m**3).crossJoin(F.broadcast(sides)).select(
+    base = orders.where(key < m**3).join(F.broadcast(sides), key < F.col("m") * F.col("m") * F.col("m")).select(
         key.alias("vid"),
         (key % F.col("m")).alias("i"),
         (F.expr("o_orderkey div m") % F.col("m")).alias("j"),
