@@ -437,3 +437,12 @@ def test_ids_of_vertices_alone_do_not_pass_for_no_bytes(spark):
             node = node.children().head()
         assert [node.children().apply(i).output().size() for i in (0, 1)] == [1, 1]
     assert sorted(r.vid for r in vertices.select("vid").collect()) == list(range(125))
+
+
+def test_transfer_locates_nothing_where_every_vertex_keeps_its_value(spark, cube, monkeypatch):
+    vertices, tetra = cube
+    monkeypatch.setattr(interpolate, "at_points", None)
+    monkeypatch.setattr(interpolate, "on_surface", None)
+    new = vertices.select("vid", "x", "y", "z", F.lit(True).alias("required"), F.lit(False).alias("on_boundary"))
+    got = interpolate.transfer(new, vertices, tetra, None, vertices.select("vid", F.array("x").alias("val")), 0.1)
+    assert {r.vid: r.val[0] for r in got.collect()} == {r.vid: r.x for r in vertices.collect()}

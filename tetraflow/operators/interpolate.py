@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tetraflow.functions import geometry as G
 from tetraflow.operators.locate import locate, locate_on_surface
 from tetraflow.operators.topology import CORNERS
+from tetraflow.staging import measured, staged
 
 
 def _weighted(values: Column, phi: Column, size: int) -> list[Column]:
@@ -54,14 +55,18 @@ def transfer(
 
     Required vertices keep the value they had; boundary ones use the surface,
     and the volume where no triangle is near; all others the volume. With
-    ``constant`` every vertex has that value and nothing is located.
+    ``constant`` every vertex has that value and nothing is located; nor is
+    it where every vertex keeps what it had.
     """
     if constant is not None:
         return new.select("vid", F.array(F.lit(constant)).alias("val"))
     kept = new.where("required").join(values, "vid").select("vid", "val")
     rest = new.join(kept.select("vid"), "vid", "left_anti")
-    points = rest.select(F.col("vid").alias("pid"), "x", "y", "z", "on_boundary")
-    surface = on_surface(points.where("on_boundary"), old_triangles, old_vertices, values, hausd, size, tensor_metric)
-    inner = points.join(surface.select("pid"), "pid", "left_anti")
+    points = measured(staged(rest.select(F.col("vid").alias("pid"), "x", "y", "z", "on_boundary"), "asked"))
+    if points.isEmpty():
+        return kept
+    # staged, as the volume's points are those that it leaves, and they are asked for in two queries
+    surface = measured(staged(on_surface(points.where("on_boundary"), old_triangles, old_vertices, values, hausd, size, tensor_metric), "on-surface"))
+    inner = staged(points.join(surface.select("pid"), "pid", "left_anti"), "in-volume")
     volume = at_points(inner.drop("on_boundary"), old_tetra, old_vertices, values, size, tensor_metric)
     return kept.unionAll(surface.select("pid", "val")).unionAll(volume.select("pid", "val"))

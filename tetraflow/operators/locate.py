@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from tetraflow.functions import geometry as G
 from tetraflow.operators.stats import surface_normals
-from tetraflow.operators.topology import attach_corners
+from tetraflow.operators.topology import FEW_VERTICES, attach_corners
 from tetraflow.schema import EPS
-from tetraflow.staging import staged
+from tetraflow.staging import measured, staged
 
 
 def _corner(i: int) -> G.Vec:
@@ -51,12 +51,18 @@ def _cells(at: DataFrame, key: str, corners: int, margin: Column) -> DataFrame:
     return at.select(key, "level", F.inline(cells))
 
 
+def _few_or_exchanged(rows: DataFrame, n: int) -> DataFrame:
+    """``rows``, n of them: for Spark to broadcast if they are few, else never; it expects no more of an ``explode`` than goes in, and goes by compressed files."""
+    return rows if n <= FEW_VERTICES else rows.hint("merge")
+
+
 def _candidates(points: DataFrame, at: DataFrame, key: str, corners: int, margin: Column) -> DataFrame:
     """(pid, px, py, pz, the columns of ``at``): each point with the elements whose box may hold it."""
     levels = [r.level for r in at.select("level").distinct().collect()]  # exponents of doubles: 2,100 at most
     grids = F.explode(F.array(*[F.lit(x) for x in levels]) if levels else F.array().cast("array<int>"))
     asked = points.select("pid", *[F.col(c).alias(f"p{c}") for c in "xyz"], grids.alias("level"))
     asked = asked.select("*", *[_cell(F.col(f"p{c}"), F.col("level")).alias(f"c{n}") for c, n in zip("xyz", "ijk")])
+    asked = _few_or_exchanged(asked, points.count() * len(levels))
     hits = asked.join(_cells(at, key, corners, margin), ["level", "ci", "cj", "ck"]).select("pid", "px", "py", "pz", key)
     return hits.join(at.drop("level"), key)
 
@@ -72,7 +78,7 @@ def locate(points: DataFrame, tetra: DataFrame, vertices: DataFrame, eps: float
     Points on a shared face go to the smallest tid. A point in no tetra takes
     the nearest vertex, with weight one on it (the smallest tid of its ball).
     """
-    at = staged(_leveled(attach_corners(tetra.select("tid", "v0", "v1", "v2", "v3"), vertices), 4), "located-tetra")
+    at = measured(staged(_leveled(attach_corners(tetra.select("tid", "v0", "v1", "v2", "v3"), vertices), 4), "located-tetra"))
     met = _candidates(points, at, "tid", 4, eps * F.pow(F.lit(2.0), F.col("level")))
     q = (F.col("px"), F.col("py"), F.col("pz"))
     phi = F.array(*G.barycentric([_corner(i) for i in range(4)], q))
@@ -81,7 +87,7 @@ def locate(points: DataFrame, tetra: DataFrame, vertices: DataFrame, eps: float
     hit = F.when(inside, F.struct("tid", "phi"))
     found = tested.groupBy("pid").agg(F.min(hit).alias("hit"), F.count("*").alias("candidates")).where("hit is not null")
     found = staged(found.select("pid", "hit.tid", "hit.phi", F.lit("inside").alias("how"), "candidates"), "located")
-    lost = points.join(found.select("pid"), "pid", "left_anti")
+    lost = points.join(_few_or_exchanged(found.select("pid"), found.count()), "pid", "left_anti")
     return found.unionByName(_nearest(lost, at))
 
 
@@ -128,7 +134,7 @@ def locate_on_surface(points: DataFrame, triangles: DataFrame, vertices: DataFra
     its inside, edges and corners, so no cone or wedge about them is needed.
     """
     met = attach_corners(surface_normals(triangles, vertices), vertices, corners=("v0", "v1", "v2"), key="fid")
-    at = staged(_leveled(met.select("fid", *[f"{c}{i}" for i in range(3) for c in "xyz"]), 3, hausd), "surface")
+    at = measured(staged(_leveled(met.select("fid", *[f"{c}{i}" for i in range(3) for c in "xyz"]), 3, hausd), "surface"))
     pairs = _candidates(points, at, "fid", 3, F.lit(hausd))
     p, q = [_corner(i) for i in range(3)], (F.col("px"), F.col("py"), F.col("pz"))
     flat, _ = G.barycentric2d(p, q)
