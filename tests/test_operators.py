@@ -456,3 +456,21 @@ def test_staged_tables_are_measured_by_their_rows(spark):
     assert size(table) < size(expected) / 4 and expected.columns == table.columns
     assert sorted(expected.groupBy("a").count().collect(), key=str) == sorted(table.groupBy("a").count().collect(), key=str)
     assert staging.measured(table.where("b > 2")).count() == 0
+
+
+def test_many_points_and_links_are_not_broadcast(spark, cube, monkeypatch):
+    vertices, tetra = cube
+    plans = []
+    for module in (components, locate):
+        monkeypatch.setattr(module, "staged", lambda df, *a, **k: plans.append(df._jdf.queryExecution().executedPlan().toString()) or staging.staged(df, *a, **k))
+    points = vertices.select(F.col("vid").alias("pid"), "x", "y", "z")
+    nodes = spark.range(40).select(F.struct((F.col("id") % 2).alias("s"), "id").alias("node"))
+    links = spark.range(38).select(F.struct((F.col("id") % 2).alias("s"), "id").alias("a"), F.struct((F.col("id") % 2).alias("s"), (F.col("id") + 2).alias("id")).alias("b"))
+    for few in (200_000, 0):
+        plans.clear()
+        monkeypatch.setattr(components, "FEW_LINKS", few)
+        monkeypatch.setattr(locate, "FEW_VERTICES", few)
+        assert {r.comp.id for r in components.components(nodes, links).collect()} == {0, 1}
+        assert locate.locate(points, tetra, vertices).where("how = 'inside'").count() == 125
+        merged = [p for p in plans if "SortMergeJoin" in p]
+        assert bool(merged) == (few == 0)

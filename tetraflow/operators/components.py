@@ -23,6 +23,8 @@ from tetraflow.staging import staged
 
 #: Links that a task holds before it gives out the stars it has.
 LOCAL_LINKS = 2_000_000
+#: Links whose joins Spark may choose; of more, what it takes for few takes several times as much as a broadcast table, in every round.
+FEW_LINKS = 50_000
 #: Numbers that differ in these bits only are contracted in the same task.
 BLOCK_BITS = 16
 
@@ -87,6 +89,8 @@ def roots(links: DataFrame) -> DataFrame:
 
     def met(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
         """Joined by another key than ``small`` was grouped by: the rows of a hub are dealt anew, so that they can be split."""
+        if many:
+            small = small.hint("merge")
         if not whole:
             return rows.join(small, key)
         return rows.withColumn(key, F.bitwise_not(key)).join(small.withColumn(key, F.bitwise_not(key)), key).withColumn(key, F.bitwise_not(key))
@@ -99,7 +103,7 @@ def roots(links: DataFrame) -> DataFrame:
         rows = staged(contract.join(ends, "a"), "ends", instead=contract)
         leaves, links = rows.where("n = 1").select("a", "b"), rows.where("n > 1").select("a", "b")
     state = staged(links.distinct(), "stars")
-    seen = None
+    seen, many = None, state.count() > FEW_LINKS
     while True:
         both = state.unionAll(state.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
