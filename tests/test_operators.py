@@ -474,3 +474,15 @@ def test_many_points_and_links_are_not_broadcast(spark, cube, monkeypatch):
         assert locate.locate(points, tetra, vertices).where("how = 'inside'").count() == 125
         merged = [p for p in plans if "SortMergeJoin" in p]
         assert bool(merged) == (few == 0)
+
+
+def test_pieces_of_the_cut_are_not_staged(spark, monkeypatch):
+    from tetraflow.plans import lattice_queries
+
+    names = []
+    monkeypatch.setattr(lattice_queries, "staged", lambda df, name="staged", **k: names.append(name) or staging.staged(df, name, **k))
+    d = "/root/testdata/sf0.001"
+    assert lattice_queries.ls_conforming(spark, d).first()[1:] == (0, 0)
+    assert {r.ref for r in lattice_queries.ls_volume(spark, d).collect()} == {2, 3}
+    assert lattice_queries.ls_split_counts(spark, d).agg(F.sum("n_parents")).first()[0] == lattice(spark, d)[1].count()
+    assert "cut" not in names

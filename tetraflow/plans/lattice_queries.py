@@ -483,7 +483,7 @@ def ls_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _cut(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, int]:
     vertices, tetra, m = lattice(spark, sf_dir)
     cut, points = levelset.discretise(tetra, vertices, vertices.select("vid", F.col("val").alias("v")), LS_VALUE)
-    return tetra, staged(cut, "cut"), points, m
+    return tetra, cut, points, m  # not staged: each query reads the pieces once
 
 
 @_query("ls_split_counts", """
@@ -503,7 +503,8 @@ def ls_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ls_conforming(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faces of the cut mesh with more than two tetra, and free faces inside the cube: none, if both sides of every face agree."""
     _, cut, points, m = _cut(spark, sf_dir)
-    faces = topology.face_adjacency(cut)
+    odd = topology.tetra_faces(cut.select("tid", *topology.CORNERS)).groupBy("f0", "f1", "f2").agg(F.count("*").alias("n")).where("n <> 2")
+    faces = staged(odd, "odd-faces")
     free = faces.where("n = 1").select(F.xxhash64("f0", "f1", "f2").alias("fid"), F.col("f0").alias("v0"), F.col("f1").alias("v1"), F.col("f2").alias("v2"))
     at = topology.attach_corners(free, points, corners=("v0", "v1", "v2"), key="fid")
     outer = F.lit(False)
@@ -530,7 +531,8 @@ SELECT 3 AS ref, round(sum(f) / 6, 3) AS volume FROM fr UNION ALL SELECT 2, roun
 def ls_volume(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Volume on each side from the pieces; the oracle has it in closed form from the values at the corners."""
     _, cut, points, _ = _cut(spark, sf_dir)
-    at = topology.attach_corners(cut, points)
+    each = cut.select("tid", "ref", F.posexplode(F.array(*topology.CORNERS)).alias("corner", "vid")).join(points.select("vid", "x", "y", "z"), "vid")
+    at = each.groupBy("tid", "ref").agg(*[F.max(F.when(F.col("corner") == i, F.col(c))).alias(f"{c}{i}") for i in range(4) for c in "xyz"])
     p = [G.point("", i) for i in range(4)]
     return at.groupBy("ref").agg(F.round(F.sum(G.volume(p)), 3).alias("volume"))
 
