@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tetraflow import schema as S
 from tetraflow import staging
 from tetraflow.functions import geometry as G
-from tetraflow.operators import components, exchange, interpolate, levelset, locate, partition, stats, surface, tags, topology
+from tetraflow.operators import checks, components, exchange, interpolate, levelset, locate, partition, stats, surface, tags, topology
 from tetraflow.plans import adapt
 from tetraflow.sources.lattice import lattice, lattice_tetra, lattice_vertices, side
 
@@ -486,3 +486,15 @@ def test_pieces_of_the_cut_are_not_staged(spark, monkeypatch):
     assert {r.ref for r in lattice_queries.ls_volume(spark, d).collect()} == {2, 3}
     assert lattice_queries.ls_split_counts(spark, d).agg(F.sum("n_parents")).first()[0] == lattice(spark, d)[1].count()
     assert "cut" not in names
+
+
+def test_rules_are_counted_one_after_the_other(spark):
+    """No plan holds all of them: neither the query's own, nor any before it."""
+    from tetraflow.plans import lattice_queries
+
+    out = lattice_queries.consistency(spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan and "Aggregate" not in plan and "parquet" not in plan
+    assert {r.rule: r.broken for r in out.collect()} == dict.fromkeys(("crowded_faces", "dangling", "inverted", "merged_nodes", "split_nodes", "unmirrored", "unused_vertices"), 0)
+    found = checks.counted(spark, {"some": spark.range(3), "none": spark.range(0)})
+    assert {r.rule: r.broken for r in found.collect()} == {"some": 3, "none": 0}

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tetraflow.operators.exchange import SAME_PLACE, places
 from tetraflow.operators.topology import CORNERS, face_adjacency
 from tetraflow.schema import MeshDegraded, MeshInvalid
+from tetraflow.staging import shuffles_dropped
 
 
 def split_nodes(copies: DataFrame, eps: float = 1e-9) -> DataFrame:
@@ -59,6 +60,15 @@ def differing(declared: DataFrame, read_back: DataFrame) -> DataFrame:
     return one.unionAll(read_back.select(*names).exceptAll(declared).withColumn("side", F.lit("read")))
 
 
+def counted(spark: SparkSession, found: dict[str, DataFrame]) -> DataFrame:
+    """(rule, broken): how many rows each check has found, worked out one after the other; a row per rule."""
+    rows = []
+    with shuffles_dropped(spark):
+        for rule, df in found.items():
+            rows.append((rule, df.count()))
+    return spark.createDataFrame(rows, "rule string, broken long")
+
+
 def require_empty(df: DataFrame, what: str, strong: bool = True) -> None:
     """Raise (or, for a low failure, warn) if a check has found a row."""
     if not df.isEmpty():

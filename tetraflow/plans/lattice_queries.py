@@ -416,11 +416,8 @@ def consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
         "unmirrored": checks.unmirrored(topology.interface_faces(tetra, "block"), ("f0", "f1", "f2")),
         "unused_vertices": checks.unused_vertices(tetra, vertices),
     }
-    out = None
-    for rule, df in found.items():
-        one = df.agg(F.count("*").alias("broken")).select(F.lit(rule).alias("rule"), "broken")
-        out = one if out is None else out.unionAll(one)
-    return out
+    # one rule after the other: a union of all would hold the shuffle files, and plan the lattice, of all rules at once
+    return checks.counted(spark, found)
 
 
 def _asked(spark: SparkSession, sf_dir: str, m: int) -> DataFrame:
