@@ -498,3 +498,25 @@ def test_rules_are_counted_one_after_the_other(spark):
     assert {r.rule: r.broken for r in out.collect()} == dict.fromkeys(("crowded_faces", "dangling", "inverted", "merged_nodes", "split_nodes", "unmirrored", "unused_vertices"), 0)
     found = checks.counted(spark, {"some": spark.range(3), "none": spark.range(0)})
     assert {r.rule: r.broken for r in found.collect()} == {"some": 3, "none": 0}
+
+
+def test_boundary_faces_are_hashed_and_keep_their_turn(spark, cube):
+    """Plain minima need no sort; corners come in the tetra's own outward order, whichever number is the least."""
+    _, tetra = cube
+    renamed = tetra.select("tid", *[((F.col(c) * 37) % 127).alias(c) for c in topology.CORNERS], "ref", "part")
+    out = topology.boundary_faces(renamed)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" in plan and "SortAggregate" not in plan
+    wanted = topology.face_adjacency(renamed).where("n = 1").select("f0", "f1", "f2", "a.n0", "a.n1", "a.n2", "a.tid", "a.ifac", "a.ref", "a.part")
+    assert out.columns == wanted.columns and out.count() == 192
+    assert out.exceptAll(wanted).count() == 0 and wanted.exceptAll(out).count() == 0
+
+
+def test_surface_corners_are_attached_once(spark, cube, monkeypatch):
+    v, _ = cube
+    calls = []
+    monkeypatch.setattr(locate, "attach_corners", lambda *a, **k: calls.append(a) or topology.attach_corners(*a, **k))
+    monkeypatch.setattr(stats, "attach_corners", lambda *a, **k: calls.append(a) or topology.attach_corners(*a, **k))
+    points = spark.createDataFrame([(1, 4.25, 1.5, 2.5)], "pid long, x double, y double, z double")
+    assert locate.locate_on_surface(points, skin(cube), v, 0.5).first().distance == 0.25
+    assert len(calls) == 1 and calls[0][0]._staged_at

@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tetraflow.functions import geometry as G
-from tetraflow.operators.stats import surface_normals
 from tetraflow.operators.topology import FEW_VERTICES, attach_corners
 from tetraflow.schema import EPS
 from tetraflow.staging import measured, staged
@@ -133,7 +132,7 @@ def locate_on_surface(points: DataFrame, triangles: DataFrame, vertices: DataFra
     phi are the coordinates of the closest point of the triangle, exact for
     its inside, edges and corners, so no cone or wedge about them is needed.
     """
-    met = attach_corners(surface_normals(triangles, vertices), vertices, corners=("v0", "v1", "v2"), key="fid")
+    met = attach_corners(staged(triangles.select("fid", "v0", "v1", "v2"), "triangles"), vertices, corners=("v0", "v1", "v2"), key="fid")
     at = measured(staged(_leveled(met.select("fid", *[f"{c}{i}" for i in range(3) for c in "xyz"]), 3, hausd), "surface"))
     pairs = _candidates(points, at, "fid", 3, F.lit(hausd))
     p, q = [_corner(i) for i in range(3)], (F.col("px"), F.col("py"), F.col("pz"))

@@ -82,12 +82,20 @@ def neighbours(tetra: DataFrame) -> DataFrame:
 
 def boundary_faces(tetra: DataFrame, between_refs: bool = False) -> DataFrame:
     """(f0, f1, f2, n0, n1, n2, tid, ifac, ref): faces of one tetra; with ``between_refs`` also faces whose two sides differ in ref, taken from the lower."""
+    kept = _kept(tetra, ("ref", "part"))
+    if not between_refs:
+        # of a face of one tetra every minimum is its own value: plain numbers are hashed, where structs are sorted and spilled
+        sorted_ids, outward = [F.col(f"f{i}") for i in range(3)], [F.col(f"n{i}") for i in range(3)]
+        place = lambda n: F.when(n == sorted_ids[0], 0).when(n == sorted_ids[1], 1).otherwise(2)
+        code = place(outward[0]) * 9 + place(outward[1]) * 3 + place(outward[2])
+        alone = tetra_faces(tetra).withColumn("turn", code).groupBy("f0", "f1", "f2").agg(F.count("*").alias("n"), *[F.min(c).alias(c) for c in ("turn", "tid", "ifac", *kept)]).where("n = 1")
+        at = lambda i: F.when(i == 0, F.col("f0")).when(i == 1, F.col("f1")).otherwise(F.col("f2"))
+        turned = [at(F.expr(x)).alias(f"n{i}") for i, x in enumerate(("turn div 9", "turn div 3 % 3", "turn % 3"))]
+        return alone.select("f0", "f1", "f2", *turned, "tid", "ifac", *kept)
     faces = face_adjacency(tetra)
-    keep, side = F.col("n") == 1, F.col("a")
-    if between_refs:
-        keep = keep | ((F.col("n") == 2) & (F.col("a.ref") != F.col("b.ref")))
-        side = F.when((F.col("n") == 2) & (F.col("b.ref") < F.col("a.ref")), F.col("b")).otherwise(F.col("a"))
-    return faces.where(keep).withColumn("s", side).select("f0", "f1", "f2", "s.n0", "s.n1", "s.n2", "s.tid", "s.ifac", *[f"s.{c}" for c in ("ref", "part") if c in tetra.columns])
+    keep = (F.col("n") == 1) | ((F.col("n") == 2) & (F.col("a.ref") != F.col("b.ref")))
+    side = F.when((F.col("n") == 2) & (F.col("b.ref") < F.col("a.ref")), F.col("b")).otherwise(F.col("a"))
+    return faces.where(keep).withColumn("s", side).select("f0", "f1", "f2", "s.n0", "s.n1", "s.n2", "s.tid", "s.ifac", *[f"s.{c}" for c in kept])
 
 
 def tetra_edges(tetra: DataFrame) -> DataFrame:
