@@ -520,3 +520,14 @@ def test_surface_corners_are_attached_once(spark, cube, monkeypatch):
     points = spark.createDataFrame([(1, 4.25, 1.5, 2.5)], "pid long, x double, y double, z double")
     assert locate.locate_on_surface(points, skin(cube), v, 0.5).first().distance == 0.25
     assert len(calls) == 1 and calls[0][0]._staged_at
+
+
+def test_faces_are_met_once_to_fix_contiguity(spark, cube, monkeypatch):
+    _, t = cube
+    calls = []
+    monkeypatch.setattr(components, "tetra_faces", lambda df: calls.append(df) or topology.tetra_faces(df))
+    monkeypatch.setattr(topology, "face_adjacency", None)
+    striped = t.withColumn("part", (F.col("v0") % 5 % 2).cast("int"))
+    out = components.fix_contiguity(striped)
+    assert len(calls) == 1 and out.schema["part"].dataType == striped.schema["part"].dataType
+    assert out.count() == t.count() and {(r.i, r.part) for r in out.select((F.col("v0") % 5).alias("i"), "part").collect()} == {(0, 0), (1, 1), (2, 1), (3, 0)}

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tetraflow.operators.topology import CORNERS, neighbours, tetra_faces
+from tetraflow.operators.topology import CORNERS, tetra_faces
 from tetraflow.staging import staged
 
 
@@ -26,7 +26,7 @@ LOCAL_LINKS = 2_000_000
 #: Links whose joins Spark may choose; of more, what it takes for few takes several times as much as a broadcast table, in every round.
 FEW_LINKS = 50_000
 #: Numbers that differ in these bits only are contracted in the same task.
-BLOCK_BITS = 16
+BLOCK_BITS = 20
 
 
 def merged(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -53,7 +53,12 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def contracted(links: DataFrame) -> DataFrame:
-    """(a, b) with a > b: fewer links of integer nodes that connect the same nodes; stars of each block of a."""
+    """(a, b) with a > b: fewer links of integer nodes that connect the same nodes; stars of each block of a.
+
+    With two more columns p and q, longs, only links of equal p and q connect;
+    the others come through as they are, and stars have zeros there.
+    """
+    names = links.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -62,16 +67,22 @@ def contracted(links: DataFrame) -> DataFrame:
             if held:
                 out = stars(*map(np.concatenate, zip(*held)))
                 held.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], ["a", "b"])
+                zeros = [np.zeros(len(out[0]), np.int64)] * (len(names) - 2)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*out, *zeros)], names)
 
         for batch in batches:
-            held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)))
+            columns = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
+            if len(columns) > 2:
+                apart = columns[2] != columns[3]
+                yield pa.RecordBatch.from_arrays([pa.array(x[apart], pa.int64()) for x in columns], names)
+                columns = [x[~apart] for x in columns]
+            held.append(tuple(columns[:2]))
             if sum(len(x) for x, _ in held) > LOCAL_LINKS:
                 yield from given()
         yield from given()
 
     # blocks of numbers near each other, without the pass that a range partitioning takes to find its bounds
-    return links.selectExpr("cast(a as long) a", "cast(b as long) b").repartition(F.shiftright("a", BLOCK_BITS)).mapInArrow(run, "a long, b long")
+    return links.selectExpr(*[f"cast({c} as long) {c}" for c in names]).repartition(F.shiftright("a", BLOCK_BITS)).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -83,9 +94,15 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def roots(links: DataFrame) -> DataFrame:
     """(a, b): each node of ``links`` but the least of its component, and that."""
     links = links.toDF("a", "b").where("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b")
-    whole = isinstance(links.schema["a"].dataType, T.IntegralType)
-    if whole:
-        links = contracted(links)
+    if isinstance(links.schema["a"].dataType, T.IntegralType):
+        contract = staged(contracted(links), "contracted")
+        return gathered(contract, contract)
+    return gathered(links)
+
+
+def gathered(links: DataFrame, contract: DataFrame | None = None) -> DataFrame:
+    """``roots`` of links with a > b; contract: the staged table that holds them, where they are contracted, whose files go."""
+    whole = contract is not None
 
     def met(rows: DataFrame, small: DataFrame, key: str) -> DataFrame:
         """Joined by another key than ``small`` was grouped by: the rows of a hub are dealt anew, so that they can be split."""
@@ -98,9 +115,8 @@ def roots(links: DataFrame) -> DataFrame:
     leaves = None
     if whole:
         # a node with one link, to a smaller one, goes where that goes; what is left is small after the contraction
-        contract = staged(links, "contracted")
-        ends = contract.select(F.explode(F.array("a", "b")).alias("a")).groupBy("a").agg(F.count("*").alias("n"))
-        rows = staged(contract.join(ends, "a"), "ends", instead=contract)
+        ends = links.select(F.explode(F.array("a", "b")).alias("a")).groupBy("a").agg(F.count("*").alias("n"))
+        rows = staged(links.join(ends, "a"), "ends", instead=contract)
         leaves, links = rows.where("n = 1").select("a", "b"), rows.where("n > 1").select("a", "b")
     state = staged(links.distinct(), "stars")
     seen, many = None, state.count() > FEW_LINKS
@@ -123,13 +139,21 @@ def roots(links: DataFrame) -> DataFrame:
 
 def part_components(tetra: DataFrame, part: str = "part") -> DataFrame:
     """(tid, part, comp): face-connected pieces of each partition."""
-    side = tetra.select("tid", F.col(part).alias("part"))
+    return _labelled(tetra, part, roots(_inner(tetra, part).where("part_a = part_b").select("tid_a", "tid_b")))
+
+
+def _inner(tetra: DataFrame, part: str) -> DataFrame:
+    """(tid_a, tid_b, part_a, part_b): faces of two tetra that both have a partition; each pair in ascending order by itself."""
     # of a face of two tetra least and largest are all there is, and plain numbers take half the room of structs and no sort
     tid, own = F.col("tid"), F.col("part")
     faces = tetra_faces(tetra.select("tid", *CORNERS, F.col(part).alias("part"))).groupBy("f0", "f1", "f2")
     faces = faces.agg(F.count("*").alias("n"), F.count(own).alias("n_own"), F.min(tid).alias("tid_a"), F.max(tid).alias("tid_b"), F.min(own).alias("part_a"), F.max(own).alias("part_b"))
-    inner = faces.where("n = 2 and n_own = 2 and part_a = part_b").select("tid_a", "tid_b")
-    return side.join(roots(inner).toDF("tid", "root"), "tid", "left").select("tid", "part", F.coalesce("root", "tid").alias("comp"))
+    return faces.where("n = 2 and n_own = 2").select("tid_a", "tid_b", "part_a", "part_b")
+
+
+def _labelled(tetra: DataFrame, part: str, found: DataFrame) -> DataFrame:
+    side = tetra.select("tid", F.col(part).alias("part"))
+    return side.join(found.toDF("tid", "root"), "tid", "left").select("tid", "part", F.coalesce("root", "tid").alias("comp"))
 
 
 def contiguity(pieces: DataFrame) -> DataFrame:
@@ -144,16 +168,18 @@ def fix_contiguity(tetra: DataFrame, part: str = "part") -> DataFrame:
     A piece takes the neighbouring partition with which it shares most faces
     (the smallest on ties); one that has none stays, to be reported.
     """
-    pieces = staged(part_components(tetra, part), "pieces")
+    # faces are met once: those within a partition link its pieces, those between two are the votes
+    both = _inner(tetra, part).where("tid_a <> tid_b").select(F.col("tid_b").alias("a"), F.col("tid_a").alias("b"), F.col("part_a").alias("p"), F.col("part_b").alias("q"))
+    dealt = staged(contracted(both), "contracted")
+    between = staged(dealt.where("p <> q").select(F.explode(F.array("a", "b")).alias("tid"), "p", "q"), "between")
+    pieces = staged(_labelled(tetra, part, gathered(dealt.where("p = q").select("a", "b"), dealt)), "pieces")
     sizes = pieces.groupBy("part", "comp").agg(F.count("*").alias("n"))
     order = Window.partitionBy("part").orderBy(F.desc("n"), "comp")
-    small = sizes.withColumn("rank", F.row_number().over(order)).where("rank > 1").select("part", "comp")
-    moving = pieces.join(small, ["part", "comp"])
-    beside = neighbours(tetra).where("tid_n is not null").select("tid", "tid_n").join(moving.select("tid", "part", "comp"), "tid")
-    beside = beside.join(pieces.select(F.col("tid").alias("tid_n"), F.col("part").alias("part_n")), "tid_n").where("part_n <> part")
+    small = staged(sizes.withColumn("rank", F.row_number().over(order)).where("rank > 1").select("part", "comp"), "small")
+    beside = between.join(pieces, "tid").join(small, ["part", "comp"]).withColumn("part_n", F.when(F.col("part") == F.col("p"), F.col("q")).otherwise(F.col("p")))
     votes = beside.groupBy("part", "comp", "part_n").agg(F.count("*").alias("n"))
-    to = votes.groupBy("part", "comp").agg(F.max_by("part_n", F.struct("n", -F.col("part_n"))).alias("to"))
-    moved = moving.join(to, ["part", "comp"]).select("tid", "to")
+    to = staged(votes.groupBy("part", "comp").agg(F.max_by("part_n", F.struct("n", -F.col("part_n"))).cast(tetra.schema[part].dataType).alias("to")), "to")
+    moved = pieces.join(to, ["part", "comp"]).select("tid", "to")
     return tetra.join(moved, "tid", "left").withColumn(part, F.coalesce("to", part)).drop("to")
 
 
