@@ -531,3 +531,17 @@ def test_faces_are_met_once_to_fix_contiguity(spark, cube, monkeypatch):
     out = components.fix_contiguity(striped)
     assert len(calls) == 1 and out.schema["part"].dataType == striped.schema["part"].dataType
     assert out.count() == t.count() and {(r.i, r.part) for r in out.select((F.col("v0") % 5).alias("i"), "part").collect()} == {(0, 0), (1, 1), (2, 1), (3, 0)}
+
+
+def test_fronts_move_without_an_exchange_of_tetra(spark, cube, monkeypatch):
+    """Few vertices between parts are broadcast; many are exchanged, with the same result."""
+    _, t = cube
+    plans, got, joins = [], [], []
+    monkeypatch.setattr(partition, "staged", lambda df, name="staged", **k: plans.append((name, df._jdf.queryExecution().executedPlan().toString())) or staging.staged(df, name, **k))
+    for few in (200_000, 0):
+        plans.clear()
+        monkeypatch.setattr(partition, "FEW_VERTICES", few)
+        got.append({r.tid: r.part for r in partition.displaced_front(t, 1).collect()})
+        joins.append(sum(p.count("SortMergeJoin") for name, p in plans if name == "front"))
+        assert not any("SortAggregate" in p for _, p in plans)
+    assert joins[0] < joins[1] and got[0] == got[1] and got[0] != {r.tid: r.part for r in t.collect()}

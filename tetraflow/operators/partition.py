@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tetraflow.functions import geometry as G
 from tetraflow.operators.components import fix_contiguity
-from tetraflow.operators.topology import CORNERS, attach_corners, dual_edges, face_adjacency, interface_faces, part_vertices, vertex_ball
+from tetraflow.operators.topology import CORNERS, FEW_VERTICES, attach_corners, dual_edges, face_adjacency, interface_faces, part_vertices
 from tetraflow.schema import WEIGHT_EXPONENT, WEIGHT_MOST, AdaptParams
 from tetraflow.staging import staged
 
@@ -172,22 +172,34 @@ def displaced_front(tetra: DataFrame, layers: int = 2, least: int = 6) -> DataFr
     from pyspark.sql.types import IntegerType
 
     state = staged(tetra.withColumn("part", F.col("part").cast(IntegerType())), "front")
-    sizes = staged(state.groupBy("part").agg(F.count("*").alias("n")), "front-sizes")
+    counts = state.where("part is not null").groupBy("part").agg(F.count("*").alias("n"))
+    # a row per part; the place in the order by (n, part) stands for both and is a plain number, which is hashed and not sorted
+    sizes = staged(counts.withColumn("rank", F.row_number().over(Window.orderBy("n", "part"))), "front-sizes")
     for _ in range(layers):
-        tagged = state.select("tid", "part").join(F.broadcast(sizes), "part")  # a row per part
-        ball = vertex_ball(state).join(tagged, "tid")
-        best = F.struct("n", "part")
-        vertex = ball.groupBy("vid").agg(F.min(best).alias("best"), F.max(best).alias("most")).where("best.part <> most.part")
-        follow = ball.join(vertex.select("vid", "best"), "vid").groupBy("tid").agg(F.min("best").alias("best"))
-        moved = state.join(follow, "tid", "left").withColumn("to", F.coalesce("best.part", "part")).drop("best")
+        ranked = state.join(F.broadcast(sizes.select("part", "rank")), "part").select("rank", F.explode(F.array(*CORNERS)).alias("vid"))
+        around = ranked.groupBy("vid").agg(F.min("rank").alias("best"), F.max("rank").alias("most"))
+        vertex = staged(around.where("best <> most").select("vid", "best"), "front-vertices")
+        moved = _followed(state, vertex).join(F.broadcast(sizes.select(F.col("rank").alias("__best"), F.col("part").alias("to"))), "__best", "left").drop("__best")
+        moved = moved.withColumn("to", F.when(F.col("part").isNotNull(), F.coalesce("to", "part")))
         left = moved.groupBy("to").agg(F.count("*").alias("m")).withColumnRenamed("to", "part")
         enough = F.least(F.lit(least), F.floor(F.col("n") / 2) + 1)
         frozen = sizes.join(left, "part", "left").where(F.coalesce("m", F.lit(0)) < enough).select("part", F.lit(True).alias("frozen"))
         moved = moved.join(F.broadcast(frozen), "part", "left").withColumn("part", F.when(F.col("frozen"), F.col("part")).otherwise(F.col("to")))
-        state = staged(moved.drop("to", "frozen").select(*tetra.columns), "front")
+        state = staged(moved.drop("to", "frozen").select(*tetra.columns), "front", instead=state)
     return state
 
 
+def _followed(state: DataFrame, vertex: DataFrame) -> DataFrame:
+    """``state`` with __best: the least ``best`` of its corners in ``vertex`` (vid, best); few of these are broadcast and no tetra is exchanged."""
+    if vertex.count() > FEW_VERTICES:
+        each = state.select("tid", F.explode(F.array(*CORNERS)).alias("vid"))
+        return state.join(each.join(vertex.hint("merge"), "vid").groupBy("tid").agg(F.min("best").alias("__best")), "tid", "left")
+    out, names = state, [f"__{c}" for c in CORNERS]
+    for corner, name in zip(CORNERS, names):
+        out = out.join(F.broadcast(vertex.select(F.col("vid").alias(corner), F.col("best").alias(name))), corner, "left")
+    return out.withColumn("__best", F.least(*names)).drop(*names)
+
+
 def load_balance(tetra: DataFrame, vertices: DataFrame, params: AdaptParams) -> DataFrame:
     """``tetra`` with new parts: displaced interfaces, or a fresh bisection if that leaves the parts out of balance; contiguous."""
     moved = displaced_front(tetra, params.ifc_layers, params.min_group_elements)
