@@ -113,3 +113,18 @@ def test_a_lost_chunk_is_found(spark, tmp_path):
     spark.createDataFrame(kept, schema).write.mode("overwrite").parquet(f"{path}/chunks")
     with pytest.raises(Exception, match="does not have"):
         store.verify(spark, path).collect()
+
+
+def test_words_before_a_comma_take_no_general_path(monkeypatch):
+    import public_tokenizers
+
+    from tetraflow.llm._tokens import Encoder
+
+    coder, text = Encoder(public_tokenizers.path("byte_bpe_50k.json")), "alpha, beta gamma. Äpfel, x.\nnext, ü."
+    monkeypatch.setattr(coder, "line_break", coder.fresh("\n"))
+    coder.at_start["."], coder.at_start[","] = coder.fresh("."), coder.fresh(",")
+    wanted = coder.whole.encode(text, add_special_tokens=False).ids
+    met, fresh = [], coder.fresh
+    monkeypatch.setattr(coder, "fresh", lambda x: met.append(x) or fresh(x))
+    assert coder.encode(text).tolist() == wanted
+    assert not [x for x in met if x[-1] in ".,"]
