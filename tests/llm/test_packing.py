@@ -61,6 +61,12 @@ def test_encoder_equals_the_library_on_any_text(text):
     assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+def test_a_line_that_ends_in_a_blank():
+    own, library = _both()
+    for text in (" ", "word ", "one \ntwo", "\none. ", "a , b .c ", ". a"):
+        assert own.encode(text).tolist() == library.encode(text, add_special_tokens=False).ids
+
+
 @given(st.text(alphabet="ab \n\t\x0b\x1c\x85\xa0\u2003\u3000\u200b", max_size=8))
 @settings(max_examples=500, deadline=None)
 def test_blanks_that_meet_are_seen(text):

@@ -53,7 +53,7 @@ class _Cache(dict):
         known = self.encoder
         if piece.isascii() and piece.isalpha():
             ids = b"".join([known.packed[t.id] for t in known.tokenize(self.letters + piece)])
-        elif piece[-1] in ".," and piece[:-1].isalpha():  # as ``fresh`` has it, without a copy of the word and its tests
+        elif piece and piece[-1] in ".," and piece[:-1].isalpha():  # as ``fresh`` has it, without a copy of the word and its tests
             ids = self[piece[:-1]] + known.at_start[piece[-1]]
         else:
             ids = known.fresh(self.before + piece)
