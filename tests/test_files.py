@@ -243,3 +243,28 @@ def test_tables_are_worked_out_once_for_a_file(spark, tmp_path):
     assert len(list((tmp_path / "runs").iterdir())) == 1
     back = medit.read_mesh(spark, f"{tmp_path}/w").vertices
     assert sorted((r.vid, r.x, r.tag) for r in back.collect()) == [(1, 0.0, S.CRN), (2, 1.0, 0)]
+
+
+def test_text_is_read_in_splits_wherever_they_cut(spark, tmp_path):
+    """No task holds a file: keywords, counts, rows and comments are cut at any line, and all comes out as from the whole text."""
+    text = CUBE.replace("End\n", "ParallelVertexCommunicators 2\n1 1 2\n1\nParallelCommunicatorVertices 1 11 0\n2\n22 1 9 9 9\nVertices\n4\n" + "1\n2 3 # x 7\n4\n" * 4 + "End\n")
+    for part in (0, 1):
+        (tmp_path / f"s.{part}.mesh").write_text(text)
+    want = {k: x.tolist() for k, x in medit.tokenise(text).items()}
+    keys = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    try:
+        for size in (60, 10_000):
+            spark.conf.set(keys[0], str(size)), spark.conf.set(keys[1], "0"), spark.conf.set(keys[2], "1")
+            sections = medit.read_sections(spark, f"{tmp_path}/s.*.mesh")
+            for part in (0, 1):
+                got = {}
+                for r in sections.where(f"part = {part}").orderBy("section", "pos").collect():
+                    got.setdefault(r.section, []).append(r.v)
+                assert got == want
+    finally:
+        for key in keys:
+            spark.conf.unset(key)
+    assert spark.read.option("lineSep", "\n").text(f"{tmp_path}/s.0.mesh").count() > 20
+    (tmp_path / "n.mesh").write_text("Vertices 1 1 2 1x 4")
+    with pytest.raises(Exception, match="no number"):
+        medit.read_mesh(spark, f"{tmp_path}/n.mesh")

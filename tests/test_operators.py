@@ -545,3 +545,14 @@ def test_fronts_move_without_an_exchange_of_tetra(spark, cube, monkeypatch):
         joins.append(sum(p.count("SortMergeJoin") for name, p in plans if name == "front"))
         assert not any("SortAggregate" in p for _, p in plans)
     assert joins[0] < joins[1] and got[0] == got[1] and got[0] != {r.tid: r.part for r in t.collect()}
+
+
+def test_corners_meet_their_vertices_in_blocks(spark):
+    """Rows whose corners lie in other blocks, have no vertex or are null, by part too; no row is exchanged for each corner."""
+    from tetraflow.operators import blocks
+
+    far = 5 << blocks.BLOCK_BITS
+    rows = spark.createDataFrame([(1, 0, 1, far), (1, 1, far, far + 1), (2, 2, far, 1), (2, 3, None, 1), (1, 4, 77, 78)], "part int, tid long, v0 long, v1 long")
+    points = spark.createDataFrame([(1, 1, 0.5, "a"), (1, far, 1.5, "b"), (2, 1, 2.5, "c")], "part int, vid long, x double, s string")
+    got = {r.tid: (r.x0, r.x1, r.s0, r.s1) for r in blocks.met(rows, ("v0", "v1"), points, ("x", "s"), ("part",)).collect()}
+    assert got == {0: (0.5, 1.5, "a", "b"), 1: (1.5, None, "b", None), 2: (None, 2.5, None, "c"), 3: (None, 2.5, None, "c"), 4: (None, None, None, None)}
