@@ -556,3 +556,23 @@ def test_corners_meet_their_vertices_in_blocks(spark):
     points = spark.createDataFrame([(1, 1, 0.5, "a"), (1, far, 1.5, "b"), (2, 1, 2.5, "c")], "part int, vid long, x double, s string")
     got = {r.tid: (r.x0, r.x1, r.s0, r.s1) for r in blocks.met(rows, ("v0", "v1"), points, ("x", "s"), ("part",)).collect()}
     assert got == {0: (0.5, 1.5, "a", "b"), 1: (1.5, None, "b", None), 2: (None, 2.5, None, "c"), 3: (None, 2.5, None, "c"), 4: (None, None, None, None)}
+
+
+def test_pieces_of_faces_met_in_blocks(spark):
+    """Against links of every face: blocks far apart, odd ids, faces of three tetra, no partition."""
+    from tetraflow.operators import components as C
+
+    draw = random.Random(5)
+    step = 1 << C.FACE_BITS
+    for spread in (1, step // 3, step * 7 + 1):
+        rows = [(draw.randrange(1000) * 1000 + i, *[v * spread for v in draw.sample(range(9), 4)], draw.choice((0, 1, 1, None))) for i in range(60)]
+        tetra = spark.createDataFrame(rows, "tid long, v0 long, v1 long, v2 long, v3 long, part int")
+        links = C._inner(tetra, "part").where("part_a = part_b").select("tid_a", "tid_b")
+        want = sorted(map(tuple, C._labelled(tetra, "part", C.roots(links)).collect()), key=str)
+        assert sorted(map(tuple, C.part_components(tetra).collect()), key=str) == want
+        own = tetra.join(spark.createDataFrame(want, "tid long, part int, comp long").drop("part"), "tid")
+        comp = {r.tid: r.comp for r in own.collect()}
+        part = {r.tid: r.part for r in own.collect()}
+        both = topology.face_adjacency(tetra).where("n = 2").select("a.tid", F.col("b.tid").alias("other")).collect()
+        beside = {(part[x], comp[x], part[y]) for r in both for x, y in ((r[0], r[1]), (r[1], r[0])) if None not in (part[x], part[y]) and part[x] != part[y]}
+        assert {tuple(r) for r in C.reachable_parts(tetra).collect()} == beside

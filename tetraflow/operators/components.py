@@ -139,7 +139,108 @@ def gathered(links: DataFrame, contract: DataFrame | None = None) -> DataFrame:
 
 def part_components(tetra: DataFrame, part: str = "part") -> DataFrame:
     """(tid, part, comp): face-connected pieces of each partition."""
-    return _labelled(tetra, part, roots(_inner(tetra, part).where("part_a = part_b").select("tid_a", "tid_b")))
+    if not _whole_numbers(tetra, part):
+        return _labelled(tetra, part, roots(_inner(tetra, part).where("part_a = part_b").select("tid_a", "tid_b")))
+    dealt = staged(faces_met(tetra, part), "met")
+    return _pieces_met(dealt, _met_roots(dealt), tetra, part)
+
+
+def reachable_parts(tetra: DataFrame, part: str = "part") -> DataFrame:
+    """(part, comp, part_out): pieces of each partition, with the partitions they share a face with; faces are met once for both."""
+    if not _whole_numbers(tetra, part):
+        from tetraflow.operators.topology import interface_faces
+
+        return reachable(part_components(tetra, part), interface_faces(tetra, part))
+    dealt = staged(faces_met(tetra, part), "met")
+    beside = dealt.where(F.col("kind") == BESIDE).select(F.col("a").alias("node"), "p", "q").distinct()
+    out = beside.join(_met_roots(dealt).toDF("node", "root"), "node", "left").select("p", F.coalesce("root", "node").alias("comp"), "q").distinct()
+    own = tetra.schema[part].dataType
+    return out.select(F.col("p").cast(own).alias("part"), "comp", F.col("q").cast(own).alias("part_out"))
+
+
+def _whole_numbers(tetra: DataFrame, part: str) -> bool:
+    return all(isinstance(tetra.schema[c].dataType, T.IntegralType) for c in ("tid", part, *CORNERS))
+
+
+#: Rows of ``faces_met``: a tetra and its root in a block; a link; a root and a partition beside it.
+TETRA, LINK, BESIDE = 0, 1, 2
+#: Faces belong to the block of their least vertex; of numbers that differ in these bits only.
+FACE_BITS = 16
+
+
+def faces_met(tetra: DataFrame, part: str) -> DataFrame:
+    """(kind, a, b, p, q): faces met in blocks of vertex numbers, each block contracted where it is met.
+
+    TETRA: tetra a of partition p has root b in the block of its least vertex.
+    LINK: a and b, of which one root at least, are connected. BESIDE: what root a
+    stands for, in partition p, has a face with partition q. A tetra goes to the
+    one or two blocks that its faces belong to; a row without three more for
+    each face is exchanged.
+    """
+    ids = [F.col(c).cast("long") for c in CORNERS]
+    # faces without the largest or second largest vertex have the least; the one without the least has the next
+    order = F.array_sort(F.array(*ids))
+    rows = tetra.select(F.col("tid").cast("long").alias("tid"), F.col(part).cast("long").alias("part"), *[c.alias(n) for c, n in zip(ids, CORNERS)], F.shiftright(F.least(*ids), FACE_BITS).alias("home"), F.shiftright(F.get(order, F.lit(1)), FACE_BITS).alias("next"))
+    each = rows.select("tid", "part", *CORNERS, "home", F.explode(F.when(F.col("home") == F.col("next"), F.array("home")).otherwise(F.array("home", "next"))).alias("block"))
+
+    def run(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+        block = key[0].as_py()
+        tid = table["tid"].to_numpy()
+        known = table["part"].is_valid().to_numpy()
+        own = table["part"].fill_null(0).to_numpy()
+        corners = np.sort(np.stack([table[c].to_numpy() for c in CORNERS], axis=1), axis=1)
+        home = table["home"].to_numpy() == block
+        n = len(tid)
+        both = (corners[:, 0] >> FACE_BITS) == (corners[:, 1] >> FACE_BITS)
+        # faces of this block: three with the least vertex at home, one without it where the next vertex is here
+        here, after = np.flatnonzero(home), np.flatnonzero((corners[:, 1] >> FACE_BITS) == block)
+        row = np.concatenate((here, here, here, after))
+        f = [np.concatenate([corners[here, i] for i in three] + [corners[after, last]]) for three, last in (((0, 0, 0), 1), ((1, 1, 2), 2), ((2, 3, 3), 3))]
+        order = _sorted_faces(*f)
+        row, f = row[order], [x[order] for x in f]
+        same = (f[0][1:] == f[0][:-1]) & (f[1][1:] == f[1][:-1]) & (f[2][1:] == f[2][:-1])
+        before, behind = np.concatenate(([False], same[:-1])), np.concatenate((same[1:], [False]))
+        at = np.flatnonzero(same & ~before & ~behind) if len(same) else np.empty(0, np.int64)  # faces of two tetra, no more
+        x, y = row[at], row[at + 1]
+        two = known[x] & known[y]
+        x, y = x[two], y[two]
+        inner = own[x] == own[y]
+        # places by number, so that the least place is the least tid
+        rank = np.argsort(tid, kind="stable")
+        place = np.empty(n, np.int64)
+        place[rank] = np.arange(n)
+        root = tid[rank][merged(np.arange(n), place[x[inner]], place[y[inner]])][place]
+        link = ~both & (root != tid)  # of a tetra in two blocks both roots are its own
+        apart = [np.concatenate(z) for z in ((root[x[~inner]], root[y[~inner]]), (own[x[~inner]], own[y[~inner]]), (own[y[~inner]], own[x[~inner]]))]
+        apart = np.unique(np.stack(apart, axis=1), axis=0) if len(apart[0]) else np.empty((0, 3), np.int64)
+        sizes, zeros = (home.sum(), link.sum(), len(apart)), np.zeros(link.sum(), np.int64)
+        columns = [np.repeat([TETRA, LINK, BESIDE], sizes), np.concatenate((tid[home], tid[link], apart[:, 0])), np.concatenate((root[home], root[link], apart[:, 0])), np.concatenate((own[home], zeros, apart[:, 1])), np.concatenate((np.zeros(sizes[0], np.int64), zeros, apart[:, 2]))]
+        no_part = np.concatenate((~known[home], np.zeros(sizes[1] + sizes[2], bool)))
+        return pa.table([pa.array(columns[0].astype(np.int32)), *[pa.array(z) for z in columns[1:3]], pa.array(columns[3], mask=no_part), pa.array(columns[4])], ["kind", "a", "b", "p", "q"])
+
+    return each.groupBy("block").applyInArrow(run, "kind int, a long, b long, p long, q long")
+
+
+def _sorted_faces(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """The order of faces a < b < c, by one number where their differences leave room for it."""
+    if not len(a):
+        return np.empty(0, np.int64)
+    parts = (a - a.min(), b - a, c - b)
+    bits = [int(x.max()).bit_length() if 0 <= int(x.min()) and int(x.max()) >= 0 else 64 for x in parts]
+    if sum(bits) > 62:
+        return np.lexsort((c, b, a))
+    return np.argsort((parts[0] << (bits[1] + bits[2])) | (parts[1] << bits[2]) | parts[2], kind="stable")
+
+
+def _met_roots(dealt: DataFrame) -> DataFrame:
+    """(a, b): each tetra or root of a block, if links say of a smaller one, and the least of its component."""
+    return roots(dealt.where(F.col("kind") == LINK).select("a", "b"))
+
+
+def _pieces_met(dealt: DataFrame, found: DataFrame, tetra: DataFrame, part: str) -> DataFrame:
+    side = dealt.where(F.col("kind") == TETRA).select(F.col("a").alias("tid"), "b", F.col("p").cast(tetra.schema[part].dataType).alias("part"))
+    met = side.join(found.toDF("b", "root"), "b", "left")
+    return met.select(F.col("tid").cast(tetra.schema["tid"].dataType).alias("tid"), "part", F.coalesce("root", "b").cast(tetra.schema["tid"].dataType).alias("comp"))
 
 
 def _inner(tetra: DataFrame, part: str) -> DataFrame:
