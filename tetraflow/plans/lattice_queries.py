@@ -725,8 +725,7 @@ def repair_empty(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("reachable_pieces", ", st AS (SELECT tid, CAST((i // 3) % 2 AS INTEGER) AS part, i // 3 AS slab, min(tid) OVER (PARTITION BY i // 3) AS comp FROM tet) SELECT part, comp, 1 - part AS part_out FROM st WHERE (SELECT count(DISTINCT slab) FROM st) > 1 GROUP BY part, comp")
 def reachable_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stripes in two parts: every piece touches the other part."""
-    striped = _striped(spark, sf_dir)
-    return components.reachable(components.part_components(striped), topology.interface_faces(striped))
+    return components.reachable_parts(_striped(spark, sf_dir))
 
 
 @_query("ls_carried_field", "SELECT a, b, 200000.0::DOUBLE AS val FROM crs", _LS)
