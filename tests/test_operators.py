@@ -576,3 +576,17 @@ def test_pieces_of_faces_met_in_blocks(spark):
         both = topology.face_adjacency(tetra).where("n = 2").select("a.tid", F.col("b.tid").alias("other")).collect()
         beside = {(part[x], comp[x], part[y]) for r in both for x, y in ((r[0], r[1]), (r[1], r[0])) if None not in (part[x], part[y]) and part[x] != part[y]}
         assert {tuple(r) for r in C.reachable_parts(tetra).collect()} == beside
+
+
+def test_volumes_of_sides_are_those_of_the_pieces(spark):
+    """The volumes and numbers of pieces by side equal those of the pieces that the cut makes, values on the level and unordered corners included."""
+    draw = random.Random(3)
+    v = spark.createDataFrame([(i, *[draw.random() for _ in range(3)], draw.choice((0.0, draw.uniform(-1, 1)))) for i in range(12)], "vid long, x double, y double, z double, v double")
+    t = spark.createDataFrame([(i, *draw.sample(range(12), 4)) for i in range(40)], "tid long, v0 long, v1 long, v2 long, v3 long")
+    cut, points = levelset.discretise(t, v.select("vid", "x", "y", "z"), v.select("vid", "v"))
+    at = topology.attach_corners(cut, points)
+    want = {r.ref: (r.n, r.volume) for r in at.groupBy("ref").agg(F.count("*").alias("n"), F.sum(G.volume([G.point("", i) for i in range(4)])).alias("volume")).collect()}
+    got = {r.ref: (r.n, r.volume) for r in levelset.side_volumes(t, v.select("vid", "x", "y", "z"), v.select("vid", "v")).collect()}
+    assert got.keys() == want.keys() == {2, 3}
+    for ref in got:
+        assert got[ref][0] == want[ref][0] and got[ref][1] == pytest.approx(want[ref][1], abs=1e-12)
